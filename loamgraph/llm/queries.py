@@ -6,9 +6,25 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.llm import cooccurrence, leakage, tokens
+from loamgraph.llm import cooccurrence, leakage, lookalikes, tokens
 from loamgraph.runtime import table
 
+# ---- p2: texts that look the same
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    names = lookalikes.alike_records(table(spark, d, "knowledge_nodes"), "id", "scope_id", "name")
+    stored = table(spark, d, "captured_info").select(F.lit(0).alias("scope"), F.explode("tags").alias("tag")).where("tag <> ''")
+    tags = lookalikes.alike(stored, "scope", "tag")
+    return names.select(F.lit("name").alias("field"), "key_a", "key_b").unionByName(tags.select(F.lit("tag").alias("field"), F.col("a").alias("key_a"), F.col("b").alias("key_b")))
+
+
+def p2_canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's name in the consistent form."""
+    nodes = table(spark, d, "knowledge_nodes").select("id", "name")
+    return lookalikes.canonical_texts(nodes, "name").select("id", "name", "canonical")
+
+
 # ---- p5: items that appear together
 
 
@@ -82,6 +98,8 @@ SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (k, s)
 """
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_canonical_names": p2_canonical_names,
     "p5_found": p5_found,
     "p5_pair_scores": p5_pair_scores,
     "p8_ids": p8_ids,
