@@ -6,9 +6,38 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.llm import cooccurrence, leakage, lookalikes, tokens
+from loamgraph.llm import clusters, cooccurrence, leakage, lookalikes, neighbours, tokens, vectors
 from loamgraph.runtime import table
 
+#: Length of the embeddings and the cosine from which records count as similar.
+DIM, SIMILAR = 64, 0.82
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    captures = vectors.vector_rows(table(spark, d, "captured_info"), "id", "embedding", DIM, "capture")
+    return captures.unionByName(vectors.vector_rows(table(spark, d, "knowledge_nodes"), "id", "embedding", DIM, "node"))
+
+
+# ---- p1: similarity clusters
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    members = clusters.pivot_clusters(_vectors(spark, d), SIMILAR, DIM)
+    named = members.groupBy("kind", "pivot").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
+    return members.join(named, ["kind", "pivot"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    whole = _clusters(spark, d).where(F.col("isolated") & (F.col("size") >= 4))
+    return whole.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "cluster_id")
+
+
+def p1_cluster_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every cluster of similar records with its size and most typical members."""
+    found = _clusters(spark, d).select("kind", "id", "cluster_id")
+    return clusters.describe(found, _vectors(spark, d), DIM).withColumnRenamed("kind", "record_kind")
+
+
 # ---- p2: texts that look the same
 
 
@@ -56,6 +85,37 @@ ab AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS n_ab FROM u x JOIN u y
 SELECT tag_a, tag_b {columns} FROM ab JOIN n a ON a.tag = tag_a JOIN n b ON b.tag = tag_b, total {where}
 """
 
+# ---- p7: most similar vectors
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.pairs(neighbours.nearest(_vectors(spark, d), 5, SIMILAR, DIM))
+    return found.select(F.col("kind").alias("record_kind"), "id_a", "id_b")
+
+
+_VALID = """
+WITH r AS (
+    SELECT DISTINCT 'capture' AS kind, lower(id) AS id, embedding::DOUBLE[] AS e FROM captured_info WHERE len(embedding) = 64
+    UNION SELECT DISTINCT 'node', lower(id), embedding::DOUBLE[] FROM knowledge_nodes WHERE len(embedding) = 64
+), v AS (SELECT kind, id, e::DOUBLE[64] AS e FROM r WHERE id IS NOT NULL AND list_inner_product(e, e) > 0),
+s AS (
+    SELECT x.kind, x.id AS a, y.id AS b, array_cosine_similarity(x.e, y.e) AS cos FROM v x JOIN v y ON x.kind = y.kind AND x.id <> y.id
+    WHERE array_cosine_similarity(x.e, y.e) >= 0.8199
+)
+"""
+_NEAREST = (
+    _VALID
+    + """, top AS (SELECT * FROM s WHERE round(cos, 6) >= 0.82 QUALIFY row_number() OVER (PARTITION BY kind, a ORDER BY round(cos, 6) DESC, b) <= 5)
+SELECT DISTINCT kind AS record_kind, least(a, b) AS id_a, greatest(a, b) AS id_b FROM top"""
+)
+_CLIQUES = (
+    _VALID
+    + """, near AS (SELECT kind, a, b FROM s WHERE cos >= 0.82 UNION ALL SELECT kind, id, id FROM v),
+around AS (SELECT kind, a, min(b) AS cluster_id, list_sort(list(b)) AS members FROM near GROUP BY kind, a),
+same AS (SELECT kind, cluster_id, members FROM around GROUP BY ALL HAVING count(*) = len(members) AND len(members) >= 4)
+SELECT kind AS record_kind, unnest(members) AS record_id, cluster_id FROM same"""
+)
+
 # ---- p8: encoding with a public tokenizer
 
 
@@ -98,16 +158,21 @@ SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (k, s)
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_cluster_report": p1_cluster_report,
     "p2_found": p2_found,
     "p2_canonical_names": p2_canonical_names,
     "p5_found": p5_found,
     "p5_pair_scores": p5_pair_scores,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
 }
 ORACLES = {
+    "p1_found": _CLIQUES,
+    "p7_found": _NEAREST,
     "p5_found": _TAGS.format(columns="", where="WHERE n_ab >= 5 AND n_ab * total.n >= 6 * a.n * b.n"),
     "p5_pair_scores": _TAGS.format(columns=", n_ab, a.n AS n_a, b.n AS n_b, round(n_ab::DOUBLE * total.n / (a.n::DOUBLE * b.n), 6) AS lift", where=""),
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
