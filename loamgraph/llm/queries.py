@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.llm import clusters, cooccurrence, leakage, lookalikes, neighbours, tokens, vectors
+from loamgraph.llm import clusters, cooccurrence, encoding, leakage, lookalikes, neighbours, tokens, vectors
 from loamgraph.runtime import table
 
 #: Length of the embeddings and the cosine from which records count as similar.
@@ -157,6 +157,18 @@ dw AS (
 SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (k, s)
 """
 
+# ---- p10: garbled text
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_texts(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with the original text, as far as it can be had."""
+    return encoding.garbled_texts(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_cluster_report": p1_cluster_report,
@@ -169,6 +181,8 @@ QUERIES = {
     "p8_round_trip": p8_round_trip,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 ORACLES = {
     "p1_found": _CLIQUES,
