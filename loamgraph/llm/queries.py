@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.llm import clusters, cooccurrence, encoding, leakage, lookalikes, neighbours, tokens, vectors
+from loamgraph.llm import clusters, cooccurrence, encoding, leakage, lookalikes, neighbours, personal, tokens, vectors
 from loamgraph.runtime import table
 
 #: Length of the embeddings and the cosine from which records count as similar.
@@ -54,6 +54,26 @@ def p2_canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_texts(nodes, "name").select("id", "name", "canonical")
 
 
+# ---- p3: personal information
+
+
+def _names(captures: DataFrame, spark: SparkSession, d: str) -> personal.Names:
+    texts = captures.select(F.explode(F.array("content", "note")).alias("text")).where(F.col("text").isNotNull())
+    return personal.learn_names(texts, table(spark, d, "person_names"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    captures = table(spark, d, "captured_info").select("id", "content", "note")
+    found = personal.personal_entities(captures, "id", ["content", "note"], _names(captures, spark, d))
+    return found.select(F.lower("id").alias("capture_id"), "field", "pii_type", "nth").distinct()
+
+
+def p3_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    """The captures' texts with typed placeholders in the place of personal information."""
+    captures = table(spark, d, "captured_info").select("id", "content", "note")
+    return personal.sanitised(captures, ["content", "note"], _names(captures, spark, d))
+
+
 # ---- p5: items that appear together
 
 
@@ -174,6 +194,8 @@ QUERIES = {
     "p1_cluster_report": p1_cluster_report,
     "p2_found": p2_found,
     "p2_canonical_names": p2_canonical_names,
+    "p3_found": p3_found,
+    "p3_sanitised": p3_sanitised,
     "p5_found": p5_found,
     "p5_pair_scores": p5_pair_scores,
     "p7_found": p7_found,
