@@ -14,11 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from loamgraph.llm.vectors import Index, Tile, fit, matrix, over_tiles, place, unit, with_rank
+from loamgraph.llm.vectors import Index, Side, Tile, fit, matrix, over_tiles, place, unit, with_rank
 from loamgraph.runtime import cut
 
 #: Bytes of a record's hash that are summed over neighbourhoods to compare them.
 MARKS = 6
+#: Vectors in a cell on average.
+CELL = 2_500
 #: Members of a cluster that are named as its most typical.
 TYPICAL = 3
 
@@ -35,12 +37,6 @@ _SEEN = T.StructType(
 )
 
 
-def _marks(h: str = "h") -> list[F.Column]:
-    """Bytes of a second hash, which add up over sets of records."""
-    mixed = F.xxhash64(F.col(h), F.lit(29))
-    return [F.shiftright(mixed, 8 * i).bitwiseAND(F.lit(255)).alias(m) for i, m in enumerate(_MARKS)]
-
-
 def _look(threshold: float):
     """Reports for each asking record of a tile: its smallest and its closest giving neighbour, their number and marks."""
 
@@ -49,7 +45,7 @@ def _look(threshold: float):
         if len(t.left) and len(t.right):
             sides = []
             for s in (t.left, t.right):
-                weights = np.stack([s.t[c].to_numpy() for c in ("w", *_MARKS)], axis=1)
+                weights = _weights(s)
                 exact = np.float32 if weights.sum() < 1 << 24 else np.float64
                 sides.append((s.t["asks"].to_numpy(zero_copy_only=False), s.t["gives"].to_numpy(zero_copy_only=False), weights.astype(exact)))
             (l_asks, l_gives, l_w), (r_asks, r_gives, r_w) = sides
@@ -123,15 +119,53 @@ def _scan(active: DataFrame, index: Index, threshold: float, closest: bool = Fal
     return cut(seen.groupBy("kind", "id").agg(F.min("best").alias("best"), F.min("near").alias("near"), *[F.sum(c).alias(c) for c in ("n", *_MARKS)]))
 
 
+def _weights(s: Side) -> np.ndarray:
+    """Per record its weight and marks: those of its copies where given, else 1 and the bytes of a hash of its rank."""
+    bytes_ = mixed(s.h)
+    own = np.concatenate([np.ones((len(s), 1), dtype=np.int64), bytes_], axis=1)
+    if "sums" in s.t.column_names:
+        lists = s.t["sums"].to_pylist()
+        for i, x in enumerate(lists):
+            if x is not None:
+                own[i] = x
+    return own
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The marks of records by their rank: bytes of a mix of its 64 bits."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return np.stack([(z >> np.uint64(8 * i)) & np.uint64(255) for i in range(MARKS)], axis=1).astype(np.int64)
+
+
+def _with_marks(df: DataFrame) -> DataFrame:
+    """``df (..., id)`` with its rank and, as columns own_w and own_m..., its weight and marks."""
+    df = df.withColumn("h", F.xxhash64("id", F.lit(11)))
+    schema = T.StructType([*df.schema.fields, T.StructField("own_w", T.LongType()), *[T.StructField(f"own_{m}", T.LongType()) for m in _MARKS]])
+    at = df.columns.index("h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = mixed(b.column(at).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ones(b.num_rows, dtype=np.int64)), *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(MARKS)]], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def _copies(placed: DataFrame) -> DataFrame | None:
-    """``(kind, id, rep, w, marks)`` of the records whose vector has copies; rep is the smallest id among them."""
-    ids = placed.select("kind", "id", F.xxhash64("vec").alias("v1"), F.xxhash64("vec", F.lit(5)).alias("v2")).distinct()
-    marked = ids.withColumn("h", F.xxhash64("id", F.lit(11))).select("*", *_marks())
+    """``(kind, id, rep, sums)`` of the records whose vector has copies: rep is the smallest id among them, sums their
+    number and the sums of their marks."""
     group = ["kind", "v1", "v2"]
-    many = cut(marked.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("w"), *[F.sum(m).alias(m) for m in _MARKS]).where("w > 1"))
+    ids = placed.select("kind", "id", F.xxhash64("code").alias("v1"), F.xxhash64("code", F.lit(5)).alias("v2"))
+    many = cut(ids.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if many.isEmpty():
         return None
-    return cut(ids.join(many, group).select("kind", "id", "rep", "w", *_MARKS))
+    own = cut(_with_marks(ids.join(many, group, "left_semi")))
+    sums = own.groupBy(*group).agg(F.min("id").alias("rep"), F.array(F.sum("own_w"), *[F.sum(f"own_{m}") for m in _MARKS]).alias("sums"))
+    return cut(own.join(sums, group).select("kind", "id", "rep", "sums"))
 
 
 def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | None = None) -> DataFrame:
@@ -140,26 +174,23 @@ def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | N
     rows: as made by :func:`vectors.vector_rows`. Records without a similar one are clusters of their own and left
     out. isolated: whether every two members of the cluster are similar and no member is similar to a record outside,
     told by comparing, for each member, the number and hashed sums of its neighbourhood with those of the cluster.
-    Copies of one vector are united first. An empty table gives an empty result.
+    Vectors are compared in 16 bits a component, which moves cosines by some 1e-5. Copies of one vector are united first. An empty table gives an empty result.
     """
-    index = index or fit(rows, dim)
-    placed = with_rank(place(rows, index))
-    copies = _copies(placed)
-    plain = placed.select("*", F.lit(1).cast("long").alias("w"), *_marks())
+    index = index or fit(rows, dim, cell=CELL)
+    plain = with_rank(place(rows, index, short=True))
+    copies = _copies(plain)
     if copies is not None:
-        own = copies.where(F.col("id") == F.col("rep")).select("kind", "id", F.col("w").alias("cw"), *[F.col(m).alias(f"c{m}") for m in _MARKS])
+        own = copies.where(F.col("id") == F.col("rep")).select("kind", "id", "sums")
         extra = copies.where(F.col("id") != F.col("rep")).select("kind", "id")
-        plain = plain.join(extra, ["kind", "id"], "left_anti").join(own, ["kind", "id"], "left")
-        for m, c in (("w", "cw"), *((m, f"c{m}") for m in _MARKS)):
-            plain = plain.withColumn(m, F.coalesce(c, m)).drop(c)
-        plain = cut(plain)
+        plain = cut(plain.join(extra, ["kind", "id"], "left_anti").join(own, ["kind", "id"], "left"))
     flags = lambda asks, gives: [asks.alias("asks"), gives.alias("gives")]
-    first = _scan(plain.select("*", *flags(F.lit(True), F.lit(True))), index, threshold)
-    own_marks = plain.select("kind", "id", "h", F.col("w").alias("own_w"), *[F.col(m).alias(f"own_{m}") for m in _MARKS]).dropDuplicates(["kind", "id"])
-    joined = first.join(own_marks, ["kind", "id"])
+    joined = _scan(plain.select("*", *flags(F.lit(True), F.lit(True))), index, threshold)
     if copies is not None:  # copies alone are a cluster too
-        alone = own_marks.where("own_w > 1").join(first, ["kind", "id"], "left_anti")
-        joined = joined.unionByName(alone, allowMissingColumns=True)
+        joined = joined.join(own, ["kind", "id"], "full_outer")
+    joined = _with_marks(joined)
+    if copies is not None:
+        for i, c in enumerate(("own_w", *[f"own_{m}" for m in _MARKS])):
+            joined = joined.withColumn(c, F.coalesce(F.col("sums")[i], c))
     around = cut(
         joined.select(
             "kind", "id", "h", "own_w", *[f"own_{m}" for m in _MARKS], "best",
@@ -182,7 +213,7 @@ def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | N
         gives = left.select("kind", "id", F.lit(True).alias("asks")).unionByName(done.where(F.col("id") == F.col("pivot")).select("kind", "id", F.lit(False).alias("asks")))
         active = plain.join(gives, ["kind", "id"]).withColumn("gives", F.lit(True))
         again = _scan(active, index, threshold).select("kind", "id", "best")
-        waiting = cut(left.join(plain.select("kind", "id", "h").dropDuplicates(["kind", "id"]), ["kind", "id"]).join(again, ["kind", "id"], "left"))
+        waiting = cut(left.withColumn("h", F.xxhash64("id", F.lit(11))).join(again, ["kind", "id"], "left"))
     # an isolated cluster stays as it is; the members of the others go to their closest pivot
     labelled = around.join(done, ["kind", "id"])
     sums = labelled.groupBy("kind", "pivot").agg(F.sum("own_w").alias("size"), *[F.sum(f"own_{m}").alias(f"all_{m}") for m in _MARKS])

@@ -45,6 +45,12 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
+def shortened(x: np.ndarray) -> list[bytes]:
+    """Rows in 16 bits a component, scaled to their largest; as unit vectors they are off by some 1e-5 at most."""
+    most = np.abs(x).max(1, keepdims=True)
+    return [r.tobytes() for r in np.round(x / np.where(most > 0, most, 1) * 32767).astype("<i2")]
+
+
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length 1 in float64, and which of them are valid."""
     y = x.astype(np.float64)
@@ -218,8 +224,11 @@ PLACED = T.StructType(
 )
 
 
-def place(rows: DataFrame, index: Index) -> DataFrame:
-    """Valid rows with their cell, the other cells they visit and their code; written to the shared folder."""
+def place(rows: DataFrame, index: Index, short: bool = False) -> DataFrame:
+    """Valid rows with their cell, the other cells they visit and their code; written to the shared folder.
+
+    short: keep the vectors in 16 bits a component, as the code, and one row an id, lying by kind and id.
+    """
     held = rows.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +246,21 @@ def place(rows: DataFrame, index: Index) -> DataFrame:
             seen[np.arange(len(x)), cell] = False
             who, where = np.nonzero(seen)
             visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(x) + 1)), pa.int32()), pa.array(where, pa.int32()))
-            if ix.codes is None:
+            vec = kept.column(2)
+            if short:
+                vec, code = pa.nulls(len(x), pa.list_(pa.float32())), pa.array(shortened(x), pa.binary())
+            elif ix.codes is None:
                 code = pa.nulls(len(x), pa.binary())
             else:
                 packed = Codes.packed(ix.codes.encode(x, x - ix.centres[cell]))
                 code = pa.array([p.tobytes() for p in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(cell, pa.int32()), visits, code], names=PLACED.names)
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), vec, pa.array(cell, pa.int32()), visits, code], names=PLACED.names)
 
-    return cut(rows.mapInArrow(run, PLACED))
+    placed = rows.mapInArrow(run, PLACED)
+    if short:
+        n = max(parallelism(rows.sparkSession), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        placed = placed.repartition(n, "kind", "id").dropDuplicates(["kind", "id"])
+    return cut(placed)
 
 
 def tiles(placed: DataFrame, tile: int = TILE) -> DataFrame:
@@ -261,6 +277,8 @@ def tiles(placed: DataFrame, tile: int = TILE) -> DataFrame:
     load = cut(load)  # as many rows as cells, which the sample bounds
     n_tiles = load.agg(F.coalesce(F.sum(F.col("ni") * F.col("nj")), F.lit(1)).alias("n")).head().n
     spread = placed.withColumn("at", F.explode(F.concat(F.array("cell"), "visits"))).join(F.broadcast(load), ["kind", "at"])
+    # only members are asked which cells they visit
+    spread = spread.withColumn("visits", F.when(F.col("at") == F.col("cell"), F.col("visits")).otherwise(F.array().cast("array<int>")))
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n).cast("long")).cast("int")
     member = F.col("at") == F.col("cell")
     left = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(part("ni").alias("i"), j.alias("j"), F.lit(1).alias("role")))
@@ -287,8 +305,11 @@ class Side:
             order = order[~same]
         self.t = t.take(pa.array(order, pa.int64()))
         self.h, self.ids = h[order], ids[order]
-        self.raw = matrix(self.t["vec"], index.dim)
-        self.x64, _ = unit(self.raw)
+        if self.t["vec"].null_count and self.t["vec"].null_count == len(self.t):
+            raw = np.frombuffer(b"".join(self.t["code"].to_pylist()), dtype="<i2").reshape(-1, index.dim).astype(np.float32)
+        else:
+            raw = matrix(self.t["vec"], index.dim)
+        self.x64, _ = unit(raw)
         self.x = self.x64.astype(np.float32)
         self.cell = self.t["cell"].to_numpy()
 
