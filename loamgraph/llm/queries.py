@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.llm import clusters, cooccurrence, encoding, leakage, lookalikes, neighbours, personal, tokens, vectors
+from loamgraph.llm import clusters, cooccurrence, encoding, leakage, lookalikes, neighbours, personal, tokens, variants, vectors
 from loamgraph.runtime import table
 
 #: Length of the embeddings and the cosine from which records count as similar.
@@ -74,6 +74,19 @@ def p3_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return personal.sanitised(captures, ["content", "note"], _names(captures, spark, d))
 
 
+# ---- p4: variant spellings
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs(variants.same_entities(table(spark, d, "knowledge_nodes")))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with more than one record: their spellings and records."""
+    e = variants.same_entities(table(spark, d, "knowledge_nodes"))
+    return e.groupBy("scope", "kind", "entity").agg(F.count("*").alias("n_records")).where("n_records > 1")
+
+
 # ---- p5: items that appear together
 
 
@@ -196,6 +209,8 @@ QUERIES = {
     "p2_canonical_names": p2_canonical_names,
     "p3_found": p3_found,
     "p3_sanitised": p3_sanitised,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p5_pair_scores": p5_pair_scores,
     "p7_found": p7_found,
