@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Punctuation that a normalised name has as spaces.
@@ -247,7 +248,6 @@ def _escape_inner_quotes(text: str) -> str:
 
 def parsed_json(c: Column | str, schema: str) -> Column:
     """``c`` as a struct: by the built-in parser, or repaired where that finds nothing."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def repaired(s: pd.Series) -> pd.Series:

@@ -48,7 +48,7 @@ def force_layout(nodes: DataFrame, links: DataFrame, rounds: int = 150, width: f
         p = p - (p.max(0) + p.min(0)) / 2
         return pd.DataFrame({"view": key[0], "id": ids, "x": np.round(p[:, 0], 6), "y": np.round(p[:, 1], 6)})
 
-    return nodes.select("view", "id").groupBy("view").cogroup(links.select("view", "a", "b").groupBy("view")).applyInPandas(run, _PLACED)
+    return nodes.select("view", "id").groupBy("view").cogroup(links.select(*[F.col(c).alias(c) for c in ("view", "a", "b")]).groupBy("view")).applyInPandas(run, _PLACED)
 
 
 def layout_quality(placed: DataFrame, radius: float = 30.0, width: float = 1000.0, height: float = 1000.0) -> DataFrame:

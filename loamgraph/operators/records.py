@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgraph.functions.text import normalize_name, unique_strings
 from loamgraph.functions.scores import kind_priority
-from loamgraph.runtime import ZERO_SCOPE
+from loamgraph.runtime import ZERO_SCOPE, free_name
 
 
 def scope_of(user: Column | str) -> Column:
@@ -24,8 +24,8 @@ def scoped(df: DataFrame, scope_id: str | None, user_col: str = "user_id") -> Da
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row a key, the first by ``order``, which has to be total for a stable result. Rows without a key go."""
-    w = Window.partitionBy(F.lower(F.col(key))).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    w, rn = Window.partitionBy(F.lower(F.col(key))).orderBy(*order), free_name(df, "_rn")
+    return df.where(F.col(key).isNotNull()).withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
 def newest(df: DataFrame, n: int, by: str = "created_at", key: str = "id", partition: list[str] | None = None) -> DataFrame:
@@ -33,7 +33,8 @@ def newest(df: DataFrame, n: int, by: str = "created_at", key: str = "id", parti
     order = [F.col(by).desc_nulls_last(), F.col(key)]
     if not partition:
         return df.orderBy(*order).limit(n)
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+    rn = free_name(df, "_rn")
+    return df.withColumn(rn, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col(rn) <= n).drop(rn)
 
 
 def between(df: DataFrame, since: Column | None, until: Column | None, by: str = "created_at", closed: bool = False) -> DataFrame:
@@ -60,15 +61,17 @@ def unsettled(df: DataFrame, columns=("processing_status", "embedding_status", "
 
 def merge_snapshot(snapshot: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
     """The delta's row where it has the key, else the snapshot's: one shuffle, no join."""
-    both = snapshot.withColumn("_src", F.lit(1)).unionByName(delta.withColumn("_src", F.lit(0)), allowMissingColumns=True)
-    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("_src"))).where("_rn = 1").drop("_rn", "_src")
+    src = free_name(snapshot.limit(0).unionByName(delta.limit(0), allowMissingColumns=True), "_src")
+    both = snapshot.withColumn(src, F.lit(1)).unionByName(delta.withColumn(src, F.lit(0)), allowMissingColumns=True)
+    rn = free_name(both, "_rn")
+    return both.withColumn(rn, F.row_number().over(Window.partitionBy(key).orderBy(src))).where(F.col(rn) == 1).drop(rn, src)
 
 
 def update_where(df: DataFrame, ids: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
     """Columns set to ``values`` in the rows whose key is in ``ids``."""
-    hit = ids.select(F.col(key)).distinct().withColumn("_hit", F.lit(True))
-    out = df.join(hit, key, "left")
-    return out.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}).select(*df.columns)
+    mark = free_name(df, "_hit")
+    out = df.join(ids.select(F.col(key)).distinct().withColumn(mark, F.lit(True)), key, "left")
+    return out.withColumns({c: F.when(F.col(mark), v).otherwise(F.col(c)) for c, v in values.items()}).select(*df.columns)
 
 
 def delete_where(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -92,8 +95,9 @@ def without_refs(df: DataFrame, ids_col: str, removed: DataFrame, removed_col: s
     """
     gone = removed.select(F.lower(removed_col).alias("_ref")).where(F.col("_ref").isNotNull()).distinct()
     held = df.select("id", F.explode(ids_col).alias("_id")).where(F.col("_id").isNotNull()).withColumn("_ref", F.lower("_id"))
-    hits = held.join(gone, "_ref", "left_semi").groupBy("id").agg(F.collect_set("_id").alias("_gone"))
-    return df.join(hits, "id", "left").withColumn(ids_col, F.when(F.col("_gone").isNull(), F.col(ids_col)).otherwise(F.array_except(ids_col, "_gone"))).select(*df.columns)
+    out = free_name(df, "_gone")
+    hits = held.join(gone, "_ref", "left_semi").groupBy("id").agg(F.collect_set("_id").alias(out))
+    return df.join(hits, "id", "left").withColumn(ids_col, F.when(F.col(out).isNull(), F.col(ids_col)).otherwise(F.array_except(ids_col, out))).select(*df.columns)
 
 
 def existing_refs(df: DataFrame, ids_col: str, parents: DataFrame, parent_col: str = "id") -> DataFrame:

@@ -254,9 +254,8 @@ ORACLES = {
     "link_merge_upsert": sql(LINK, "x AS (SELECT coalesce(lower(user_id), '00000000-0000-0000-0000-000000000000') AS scope_id, lower(source) AS source, lower(target) AS target, coalesce(relation_type, 'related_to') AS relation_type, confidence, coalesce(evidence_captured_ids, []) AS ev FROM link WHERE source IS NOT NULL AND target IS NOT NULL AND lower(source) <> lower(target))",
         query="SELECT scope_id, source, target, relation_type, array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list(ev)), lambda e: trim(e)), lambda e: e IS NOT NULL AND e <> ''))), ',') AS evidence, max(confidence) AS confidence, count(*) AS n_rows FROM x GROUP BY 1, 2, 3, 4"),
     "dangling_reference_repair": sql(CAP, NODE, "r AS (SELECT id, unnest(src) AS c, generate_subscripts(src, 1) AS pos FROM node)", query="SELECT id, coalesce(string_agg(c, ',' ORDER BY pos) FILTER (WHERE lower(c) IN (SELECT id FROM cap)), '') AS kept, count(*) FILTER (WHERE c IS NULL OR lower(c) NOT IN (SELECT id FROM cap)) AS n_dropped FROM r GROUP BY id HAVING n_dropped > 0"),
-    "alias_first_match": None,
+    "deleted_refs_removed": sql(NODE, "gone AS (SELECT list(DISTINCT lower(id)) AS ids FROM deleted_captures)", query="SELECT id, CASE WHEN len(list_filter(src, lambda x: x IS NOT NULL AND list_contains(ids, lower(x)))) = 0 THEN len(src) ELSE len(list_distinct(list_filter(src, lambda x: x IS NOT NULL AND NOT list_contains(ids, lower(x))))) + CASE WHEN len(list_filter(src, lambda x: x IS NULL)) > 0 THEN 1 ELSE 0 END END AS n_left FROM node, gone"),
     "latest_snapshot_merge": sql(CAP, query="SELECT CASE WHEN graph_status IS NOT NULL THEN 'completed' END AS graph_status, count(*) AS n FROM cap GROUP BY 1"),
     "insert_ignore_duplicates": sql(CAP, query=f"SELECT id FROM cap WHERE created_at >= {ASOF} - INTERVAL 200 DAY"),
     "status_timeout_reconcile": sql(CAP, query=f"SELECT CASE WHEN processing_status IS NULL THEN 'pending' WHEN processing_status <> 'failed' AND embedding_status = 'completed' AND graph_status = 'completed' THEN 'completed' WHEN processing_status = 'processing' AND coalesce(processed_at, created_at) < {ASOF} - INTERVAL 3 MINUTE THEN 'failed' ELSE processing_status END AS state, count(*) AS n FROM cap GROUP BY 1"),
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

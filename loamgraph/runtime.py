@@ -52,3 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession, least: int = 1) -> int:
     """Number of tasks that the cluster can run at once."""
     return max(least, spark.sparkContext.defaultParallelism)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores as it needs to be no column of ``df`` yet."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
