@@ -19,6 +19,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from loamgraph.runtime import free_name
+
 #: By how much the cost has to fall for a text to count as garbled.
 CLEARLY = 2.0
 #: Cost of a step, and the most steps in a row (text garbled that many times over).
@@ -93,6 +95,8 @@ def _beside(a: str, b: str) -> float:
     """Cost of two neighbours of which at least one is not ASCII."""
     p, q = kind(a), kind(b)
     letter_p, letter_q = p in "aLi", q in "aLi"
+    if b == "\xa0":  # what is left of many a two-byte character
+        return 0.6 if p in "LC" and a.isupper() else 0.0
     if letter_p and q == "y":
         return 2.5
     if p == "y" and letter_q:
@@ -111,10 +115,12 @@ def _beside(a: str, b: str) -> float:
         return 2.0
     if (letter_p and q in "Cc") or (p in "Cc" and letter_q):
         return 2.0
+    if p in "Cc" and "⺀" <= b <= "힣" and b not in "、。《》「」『』【】・" or q in "Cc" and "⺀" <= a <= "힣" and a not in "、。《》「」『』【】・":
+        return 4.0
     if p == "S" and q in "aLCc" or q == "S" and p in "aLCc":
         return 2.5
     if p in "Cc" and q in "Cc":
-        return 2.0 if a.islower() and b.isupper() else 0.0
+        return 3.0 if a.islower() and b.isupper() else 0.0
     if p in "Cc" and q in "qy" and b not in CLOSING or q in "Cc" and p in "qy" and a not in OPENING:
         return 1.5
     if (p in "Hhr" and letter_q) or (letter_p and q in "Hhr"):
@@ -332,5 +338,6 @@ def garbled_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def restored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with garbled texts restored as far as can be; all other rows and columns as they are."""
-    fixed = garbled_texts(docs, id_col, text_col).select(id_col, F.col("restored").alias("_restored")).dropDuplicates([id_col])
-    return docs.join(fixed, id_col, "left").withColumn(text_col, F.coalesce("_restored", text_col)).select(*docs.columns)
+    new = free_name(docs, "_restored")
+    fixed = garbled_texts(docs, id_col, text_col).select(id_col, F.col("restored").alias(new)).dropDuplicates([id_col])
+    return docs.join(fixed, id_col, "left").withColumn(text_col, F.coalesce(new, text_col)).select(*docs.columns)

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from loamgraph.runtime import free_name
+
 #: Consecutive words that make a leak, by the item's language; other languages count as 'en'.
 WINDOWS = {"en": 10, "zh": 24}
 #: Characters of evaluation text up to which the windows are broadcast (a window set of some 100 MB at most).
@@ -182,10 +184,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, whole_documents: bool = Fal
     spans = leaked_spans(docs, items, **options)
     if whole_documents:
         return docs.join(spans.select(id_col).distinct(), id_col, "left_anti")
-    marked = docs.join(spans.dropDuplicates([id_col]).withColumnRenamed("spans", "_spans"), id_col, "left")
+    held = free_name(docs, "_spans")
+    marked = docs.join(spans.dropDuplicates([id_col]).withColumnRenamed("spans", held), id_col, "left")
     # the text before, between and after the spans; "at" is the place up to which the text is settled
     cut = F.aggregate(
-        "_spans",
+        held,
         F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
             F.concat(acc["kept"], F.col(text_col).substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))).alias("kept"),
@@ -193,4 +196,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, whole_documents: bool = Fal
         ),
         lambda acc: F.concat(acc["kept"], F.col(text_col).substr(acc["at"] + 1, F.length(text_col))),
     )
-    return marked.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    return marked.withColumn(text_col, F.when(F.col(held).isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
