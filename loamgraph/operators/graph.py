@@ -106,26 +106,30 @@ def shortest_paths(found: DataFrame, nodes: DataFrame, max_depth: int = 6) -> Da
     return out.drop("at")
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 20, cut_every: int = 4) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
     """``(grp, id, rank)``: ranks from the seeds ``(grp, id)`` of each group at once, scaled to sum 1 in every iteration.
 
-    Seeds without a link keep their share. Only reached nodes have a row.
+    Only reached nodes have a row. Mass is lost only at seeds without a link, which have nothing but their own share of
+    the restart; so the sum of an iteration follows from their share u alone, and an iteration is one join and one aggregation.
     """
     adj = adjacency(edges)
     out_degree = adj.groupBy("src").agg(F.count("*").alias("deg"))
     adj = cut(adj.join(out_degree, "src"))
-    seeds = seeds.select("grp", "id").distinct()
-    start = cut(seeds.withColumn("tp", F.lit(1.0) / F.count("*").over(Window.partitionBy("grp"))))
-    rank = start.select("grp", "id", F.col("tp").alias("rank"))
+    seeds = seeds.select("grp", "id").distinct().withColumn("tp", F.lit(1.0) / F.count("*").over(Window.partitionBy("grp")))
+    linked = adj.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
+    start = seeds.join(linked, "id", "left")
+    lost = start.groupBy("grp").agg(F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("tp"))), F.lit(0.0)).alias("u"))
+    start = cut(start.join(lost, "grp").select("grp", "id", "tp", "u"))
+    rank, unlinked = start.select("grp", "id", F.col("tp").alias("rank"), "u"), F.col("u")
     for i in range(iterations):
-        flow = rank.join(adj, rank["id"] == adj["src"]).select("grp", F.col("dst").alias("id"), (F.col("rank") * alpha / F.col("deg")).alias("v"))
-        back = start.select("grp", "id", (F.col("tp") * (1 - alpha)).alias("v"))
-        new = flow.unionByName(back).groupBy("grp", "id").agg(F.sum("v").alias("v"))
-        total = new.groupBy("grp").agg(F.sum("v").alias("s"))
-        rank = new.join(total, "grp").select("grp", "id", (F.col("v") / F.col("s")).alias("rank"))
+        total = 1 - alpha * unlinked
+        flow = rank.join(adj, rank["id"] == adj["src"]).select("grp", F.col("dst").alias("id"), (F.col("rank") * alpha / F.col("deg")).alias("v"), "u")
+        back = start.select("grp", "id", (F.col("tp") * (1 - alpha)).alias("v"), "u")
+        rank = flow.unionByName(back).groupBy("grp", "id").agg(F.sum("v").alias("v"), F.max("u").alias("u")).select("grp", "id", (F.col("v") / total).alias("rank"), "u")
+        unlinked = F.col("u") * (1 - alpha) / total
         if (i + 1) % cut_every == 0:
             rank = cut(rank)
-    return rank
+    return rank.drop("u")
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loamgraph.functions.text import clip, has_signal, is_noise_capture, is_trivial_name
-from loamgraph.operators import graph, ranking, records, retrieval, trends
-
-_COLUMNS = ("grp", "id", "type", "semantic", "keyword", "graph", "base", "pos")
-
+from loamgraph.operators import graph, ranking, records, retrieval, search, trends
+from loamgraph.providers import Answerer, answered
+from loamgraph.runtime import cut
+from loamgraph.schemas import OTHER_TOPIC
 
 def _candidates(df: DataFrame, kind: str, base: float, pos: int, semantic=0.0, graph_signal=0.0) -> DataFrame:
     num = lambda v: v if isinstance(v, Column) else F.lit(float(v))
@@ -56,16 +56,71 @@ def dormant_nodes(signal: DataFrame, nodes: DataFrame, edges: DataFrame, asof: C
     return _candidates(top.withColumn("id", F.concat(F.lit("knode-"), "id")), "knowledge_node", 0.7, 0, graph_signal=F.col("rank") / F.col("most"))
 
 
-def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame, asof: Column, feedback: DataFrame | None = None, with_graph: bool = True, most: int = 6) -> DataFrame:
-    """``(grp, id, type, score, place)``: the picked candidates of each scope."""
-    signal = signal_captures(captures)
+def dormant_topics(dormant: DataFrame, labels: DataFrame, n: int = 2) -> DataFrame:
+    """Topics of which at least two of the best dormant nodes are members, by the sum of their ranks.
+
+    dormant: the forty best, say, of :func:`dormant_nodes`; labels: ``(cluster_key, name)``.
+    """
+    named = dormant.withColumn("cluster_key", F.substring_index("id", "knode-", -1)).join(labels.where(F.col("name") != OTHER_TOPIC), "cluster_key")
+    by = named.groupBy("grp", "name").agg(F.sum("graph").alias("s"), F.count("*").alias("k")).where("k >= 2").withColumn("s", F.round("s", 9))
+    w = Window.partitionBy("grp")
+    top = by.withColumn("rn", F.row_number().over(w.orderBy(F.col("s").desc(), "name"))).withColumn("most", F.max("s").over(w)).where(F.col("rn") <= n)
+    return _candidates(top.withColumn("id", F.concat(F.lit("ktopic-"), "name")), "knowledge_topic", 0.75, 0, graph_signal=F.col("s") / F.col("most"))
+
+
+def semantic_pairs(signal: DataFrame, threshold: float = 0.68, pool: int = 20, n: int = 15) -> DataFrame:
+    """Similar captures without a tag in common among the newest of a scope; signal has ``embedding``."""
+    got = search.similar_pairs(signal, ["grp"], threshold, n, pool)
+    return _candidates(got.withColumn("id", F.concat_ws("-", F.lit("semantic"), "id_a", "id_b")), "semantic_pair", 0.3, 2, semantic=F.col("similarity"))
+
+
+def graph_bridges(signal: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 18, iterations: int = 15) -> DataFrame:
+    """Captures tied over a middle node, by its rank from the first capture's nodes; varied over middles and first captures."""
+    ways = graph.two_hop_bridges(signal.select("grp", "id", "tags"), nodes, edges)
+    say = nodes.where(~is_trivial_name("name")).select(F.col("id").alias("mid"))
+    ways = ways.join(say, "mid", "left_semi")
+    held = graph.bridge(nodes).withColumnRenamed("capture_id", "capture_a")
+    seeds = ways.select("capture_a").distinct().join(held, "capture_a").select(F.col("capture_a").alias("grp"), F.col("node_id").alias("id"))
+    rank = graph.personalized_pagerank(edges, seeds, iterations=iterations).select(F.col("grp").alias("capture_a"), F.col("id").alias("mid"), F.round("rank", 9).alias("score"))
+    scored = ways.join(rank, ["capture_a", "mid"]).withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("score").desc(), "capture_a", "capture_b"))).where(F.col("rn") <= n)
+    short = scored.select("grp", F.concat_ws("-", F.lit("bridge"), "capture_a", "capture_b").alias("id"), "mid", F.col("capture_a").alias("first"), "score")
+    return _candidates(ranking.varied(short), "graph_bridge", 0.2, 3, graph_signal=F.least(F.lit(1.0), 5 * F.col("score")))
+
+
+def implied_links(nodes: DataFrame, edges: DataFrame, n: int = 2) -> DataFrame:
+    """Pairs of a scope's newest sixty nodes with neighbours in common but no link."""
+    few = records.newest(nodes.where(~is_trivial_name("name")), 60, partition=["scope_id"]).select(F.col("scope_id").alias("grp"), "id")
+    pairs = graph.implicit_pairs(few, edges).join(few.withColumnRenamed("id", "a"), "a")
+    top = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("common").desc(), "a", "b"))).where(F.col("rn") <= n)
+    return _candidates(top.withColumn("id", F.concat_ws("-", F.lit("implicit"), "a", "b")), "graph_bridge", 0.15, 3, graph_signal=0.4)
+
+
+def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame | None, asof: Column, feedback: DataFrame | None = None, labels: DataFrame | None = None, most: int = 6) -> DataFrame:
+    """``(grp, id, type, score, place)``: the picked candidates of each scope.
+
+    The rules on the graph join in where ``edges`` are given, those on topics where ``labels`` are, those on similarity where the
+    captures have vectors.
+    """
+    signal = cut(signal_captures(captures))
     rules = [review(signal, nodes), forming(signal, asof), related(signal)]
-    if with_graph:
-        rules.append(dormant_nodes(signal, nodes, edges, asof))
+    if "embedding" in captures.columns:
+        rules.append(semantic_pairs(signal))
+    if edges is not None:
+        dormant = cut(dormant_nodes(signal, nodes, edges, asof, n=40))
+        few = dormant.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("graph").desc(), "id"))).where("rn <= 4").drop("rn")
+        rules += [few, graph_bridges(signal, nodes, edges), implied_links(nodes, edges)]
+        if labels is not None:
+            rules.append(dormant_topics(dormant, labels))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)
-    return ranking.picked(ranking.scored(out.withColumn("score", F.lit(0.0)).drop("score"), feedback), most)
+    return ranking.picked(ranking.scored(out, feedback), most)
+
+
+def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason") -> DataFrame:
+    """``picked`` with reasons as a language model puts them; where it fails or answers nothing, the reason as it is."""
+    said = answered(picked, reason_col, provider).select("id", F.nullif(F.trim("answer"), F.lit("")).alias("_said"))
+    return picked.join(said, "id", "left").withColumn(reason_col, F.coalesce("_said", reason_col)).drop("_said")
 
 
 def keyword_scores(candidates: DataFrame, texts: DataFrame, corpus: DataFrame) -> DataFrame:

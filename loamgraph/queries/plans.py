@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.operators import communities, evaluation, graph, layout, topics
-from loamgraph.plans import backup, recommend, summary
-from loamgraph.queries.common import CAP, asof, sql
+from loamgraph.operators import evaluation, graph, layout
+from loamgraph.plans import backup, recommend, summary, views
+from loamgraph.queries.common import CAP, EDGE, NODE, asof, sql
 from loamgraph.queries.graph import cross_topic_edges
+from loamgraph.runtime import cut
 from loamgraph.schemas import KIND_COLOR
-from loamgraph.sources.tables import captures, links, nodes
+from loamgraph.sources.tables import captures, labels, links, nodes
 
 _TEXT = ("title", "content", "summary", "tags", "created_at")
 
 
 def recommend_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The picked review, forming and related candidates of each scope."""
-    out = recommend.recommend(captures(spark, d, *_TEXT), nodes(spark, d, "name", "source_captured_ids"), None, asof(), with_graph=False)
+    out = recommend.recommend(captures(spark, d, *_TEXT), nodes(spark, d, "name", "source_captured_ids"), None, asof())
     return out.select("grp", "id", "type", F.round("score", 6).alias("score"), "place")
 
 
 def recommend_with_graph(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d, "name", "source_captured_ids")
-    return recommend.recommend(captures(spark, d, *_TEXT), n, graph.undirected(links(spark, d), n), asof()).select("grp", "id", "type", F.round("score", 6).alias("score"), "place")
+    n = nodes(spark, d, "name", "source_captured_ids", "created_at")
+    e = cut(graph.undirected(links(spark, d), n))
+    return recommend.recommend(captures(spark, d, *_TEXT, "embedding"), n, e, asof(), labels=labels(spark, d)).select("grp", "id", "type", F.round("score", 6).alias("score"), "place")
 
 
 def summary_themes(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +52,23 @@ def kind_color_spread(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.color_spread(spark.createDataFrame(list(KIND_COLOR.items()), "name string, color string"))
 
 
+def capture_cards(spark: SparkSession, d: str) -> DataFrame:
+    return views.cards(captures(spark, d, "title", "summary", "content", "tags", "created_at")).select("id", "title", "body", F.size("tags").alias("n_tags"))
+
+
+def component_view(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes linked by any way to the node with the most links, with their size on screen."""
+    n = nodes(spark, d, "name", "kind", "created_at")
+    e = cut(graph.undirected(links(spark, d), n))
+    hub = graph.degrees(e).orderBy(F.col("degree").desc(), "id").limit(1).head()
+    shown, _ = views.sub_graph(n, e, component_of=hub["id"] if hub else "")
+    return shown.select("id", "size")
+
+
 _BODY = "coalesce(nullif(content, ''), nullif(summary, ''), '')"
-QUERIES = {f.__name__: f for f in (recommend_candidates, recommend_with_graph, summary_themes, summary_communities, markdown_archive, topic_layout_quality, kind_color_spread)}
+QUERIES = {f.__name__: f for f in (recommend_candidates, recommend_with_graph, summary_themes, summary_communities, markdown_archive, topic_layout_quality, kind_color_spread, capture_cards, component_view)}
 ORACLES = {
+    "capture_cards": sql(CAP, query="SELECT id, coalesce(title, '') AS title, coalesce(nullif(summary, ''), nullif(content, ''), '') AS body, coalesce(len(tags), 0) AS n_tags FROM cap"),
+    "component_view": sql(NODE, EDGE, "g AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY 1)", "walk AS (SELECT id FROM (SELECT id FROM g ORDER BY degree DESC, id LIMIT 1) UNION SELECT dst FROM walk JOIN adj ON adj.src = walk.id)", query="SELECT id, least(14, 6 + degree) AS size FROM g WHERE id IN (SELECT id FROM walk)"),
     "markdown_archive": sql(CAP, "m AS (SELECT id, concat_ws(chr(10) || chr(10), '## ' || coalesce(nullif(title, ''), 'Untitled'), concat_ws(' · ', strftime(created_at, '%Y-%m-%d %H:%M'), nullif(array_to_string(coalesce(tags, []), ', '), '')), nullif(regexp_replace(" + _BODY + ", '(?m)^#', '\\\\#', 'g'), ''), nullif(coalesce(note, ''), '')) AS value FROM cap)", query="SELECT id, md5(value) AS digest, length(value) AS n FROM m"),
 }
