@@ -37,3 +37,19 @@ def test_rate_windows(spark, tmp_path):
     s.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r["n"], r["over"]) for r in spark.table("rates").select("n", "over").collect()) == [(1, False), (3, True)]
     assert spark.table("rates").agg(F.count("*")).head()[0] == 2
+
+
+def test_watched(spark, tmp_path):
+    from loamgraph.streaming.changes import watched
+
+    rows = [("a", "processing", 1), ("a", "completed", 2), ("b", "processing", 1), ("c", "failed", 1)]
+    spark.createDataFrame(rows, "id string, state string, at int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        s = watched(spark.readStream.schema("id string, state string, at int").parquet(str(tmp_path / "in")))
+        s.writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted(map(tuple, spark.table("settled").collect())) == [("a", "completed"), ("c", "failed")]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
