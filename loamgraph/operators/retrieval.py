@@ -25,3 +25,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(size)).select("doc_id", "term", weight.alias("w")).join(F.broadcast(asked), "term")
     return scored.groupBy("query", *(["doc_id"] if per_document else [])).agg(F.sum("w").alias("score"))
+
+
+def bm25_within(docs: DataFrame, queries: DataFrame, by: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``(by, query, score)``: BM25 of many queries, each over the documents of its own group.
+
+    docs: ``(by, doc_id, text)``; queries: ``(by, query, q_text)``. The score is the sum over the group's documents, so a term's
+    weight is the same for all queries of a group and is worked out once.
+    """
+    asked = queries.select(*by, "query", F.explode(F.array_distinct(terms("q_text"))).alias("term"))
+    cut_up = docs.select(*by, "doc_id", terms("text").alias("terms"))
+    size = cut_up.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
+    tf = cut_up.select(*by, "doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(*by, "doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    held = tf.join(size, by).groupBy(*by, "term").agg(F.count("*").alias("df"), F.first("n_docs").alias("n_docs"), F.sum(part).alias("parts"))
+    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("parts")
+    return asked.join(held.select(*by, "term", weight.alias("w")), [*by, "term"]).groupBy(*by, "query").agg(F.sum("w").alias("score"))

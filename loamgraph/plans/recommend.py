@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loamgraph.functions.text import clip, has_signal, is_noise_capture, is_trivial_name
+from loamgraph.functions.text import has_signal, is_noise_capture, is_trivial_name, or_empty
 from loamgraph.operators import graph, ranking, records, retrieval, search, trends
 from loamgraph.providers import Answerer, answered
 from loamgraph.runtime import cut
 from loamgraph.schemas import OTHER_TOPIC
 
-def _candidates(df: DataFrame, kind: str, base: float, pos: int, semantic=0.0, graph_signal=0.0) -> DataFrame:
+def _candidates(df: DataFrame, kind: str, base: float, pos: int, semantic=0.0, graph_signal=0.0, text=None) -> DataFrame:
+    """text: what the keyword signal is asked about; none for rules without one."""
     num = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return df.select("grp", "id", F.lit(kind).alias("type"), num(semantic).alias("semantic"), F.lit(0.0).alias("keyword"), num(graph_signal).alias("graph"), F.lit(base).alias("base"), F.lit(pos).alias("pos"))
+    return df.select("grp", "id", F.lit(kind).alias("type"), num(semantic).alias("semantic"), F.lit(0.0).alias("keyword"), num(graph_signal).alias("graph"), F.lit(base).alias("base"), F.lit(pos).alias("pos"), (F.lit("") if text is None else text).alias("text"))
+
+
+def _titles(pairs: DataFrame, signal: DataFrame, a: str, b: str, unnamed: str = "") -> DataFrame:
+    """``pairs`` of captures with their titles as ``text``, that of the newer capture first."""
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit(unnamed))
+    t = signal.select("grp", "id", F.struct((-F.unix_micros("created_at")).alias("at"), "id", title.alias("title")).alias("t"))
+    both = pairs.join(t.withColumnsRenamed({"id": a, "t": "_a"}), ["grp", a]).join(t.withColumnsRenamed({"id": b, "t": "_b"}), ["grp", b])
+    late = F.struct(F.col("_a.at").isNull().alias("n"), F.col("_a.at"), F.col("_a.id")) > F.struct(F.col("_b.at").isNull().alias("n"), F.col("_b.at"), F.col("_b.id"))
+    x, y = F.col("_a.title"), F.col("_b.title")
+    return both.withColumn("text", F.when(late, F.concat_ws(" ", y, x)).otherwise(F.concat_ws(" ", x, y))).drop("_a", "_b")
 
 
 def signal_captures(captures: DataFrame, n: int = 40) -> DataFrame:
@@ -25,7 +36,7 @@ def review(signal: DataFrame, nodes: DataFrame) -> DataFrame:
     """Captures with a signal that no node comes from."""
     held = graph.bridge(nodes).select(F.col("capture_id").alias("id")).distinct()
     rows = signal.where(has_signal("content", "summary", "tags")).join(held, "id", "left_anti")
-    return _candidates(rows.withColumn("id", F.concat(F.lit("review-"), "id")), "review", 0.4, 1)
+    return _candidates(rows.withColumn("id", F.concat(F.lit("review-"), "id")), "review", 0.4, 1, text=F.concat_ws(" ", or_empty("title"), or_empty("summary")))
 
 
 def forming(signal: DataFrame, asof: Column, days: int = 7) -> DataFrame:
@@ -33,7 +44,7 @@ def forming(signal: DataFrame, asof: Column, days: int = 7) -> DataFrame:
     t = trends.theme_directions(signal, asof, days, None, ["grp"]).where(F.col("direction").isin("up", "new") & (F.col("recent") >= 2)).where(~is_trivial_name("name"))
     long = trends.tag_rows(signal.where(F.greatest(F.length(F.coalesce("content", F.lit(""))), F.length(F.coalesce("summary", F.lit("")))) >= 24), "grp", "id")
     enough = long.groupBy("grp", F.col("tag").alias("name")).agg(F.countDistinct("id").alias("n")).where("n >= 2")
-    return _candidates(t.join(enough, ["grp", "name"], "left_semi").withColumn("id", F.concat(F.lit("forming-"), "name")), "forming", 0.6, 4)
+    return _candidates(t.join(enough, ["grp", "name"], "left_semi").withColumn("id", F.concat(F.lit("forming-"), "name")), "forming", 0.6, 4, text=F.col("name"))
 
 
 def related(signal: DataFrame, n: int = 10) -> DataFrame:
@@ -41,7 +52,8 @@ def related(signal: DataFrame, n: int = 10) -> DataFrame:
     few = records.newest(signal, n, partition=["grp"]).select("grp", "id", "tags")
     x, y = few.withColumnsRenamed({"id": "a", "tags": "ta"}), few.withColumnsRenamed({"id": "b", "tags": "tb"})
     both = x.join(y, "grp").where((F.col("a") < F.col("b")) & F.coalesce(F.arrays_overlap("ta", "tb"), F.lit(False)))
-    return _candidates(both.withColumn("id", F.concat_ws("-", F.lit("related"), "a", "b")), "related", 0.2, 5)
+    both = _titles(both, signal, "a", "b")
+    return _candidates(both.withColumn("id", F.concat_ws("-", F.lit("related"), "a", "b")), "related", 0.2, 5, text=F.col("text"))
 
 
 def dormant_nodes(signal: DataFrame, nodes: DataFrame, edges: DataFrame, asof: Column, days: int = 14, n: int = 4, iterations: int = 20) -> DataFrame:
@@ -71,7 +83,8 @@ def dormant_topics(dormant: DataFrame, labels: DataFrame, n: int = 2) -> DataFra
 def semantic_pairs(signal: DataFrame, threshold: float = 0.68, pool: int = 20, n: int = 15) -> DataFrame:
     """Similar captures without a tag in common among the newest of a scope; signal has ``embedding``."""
     got = search.similar_pairs(signal, ["grp"], threshold, n, pool)
-    return _candidates(got.withColumn("id", F.concat_ws("-", F.lit("semantic"), "id_a", "id_b")), "semantic_pair", 0.3, 2, semantic=F.col("similarity"))
+    got = _titles(got, signal, "id_a", "id_b", "未命名")
+    return _candidates(got.withColumn("id", F.concat_ws("-", F.lit("semantic"), "id_a", "id_b")), "semantic_pair", 0.3, 2, semantic=F.col("similarity"), text=F.col("text"))
 
 
 def graph_bridges(signal: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 18, iterations: int = 15) -> DataFrame:
@@ -83,8 +96,9 @@ def graph_bridges(signal: DataFrame, nodes: DataFrame, edges: DataFrame, n: int
     seeds = ways.select("capture_a").distinct().join(held, "capture_a").select(F.col("capture_a").alias("grp"), F.col("node_id").alias("id"))
     rank = graph.personalized_pagerank(edges, seeds, iterations=iterations).select(F.col("grp").alias("capture_a"), F.col("id").alias("mid"), F.round("rank", 9).alias("score"))
     scored = ways.join(rank, ["capture_a", "mid"]).withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("score").desc(), "capture_a", "capture_b"))).where(F.col("rn") <= n)
-    short = scored.select("grp", F.concat_ws("-", F.lit("bridge"), "capture_a", "capture_b").alias("id"), "mid", F.col("capture_a").alias("first"), "score")
-    return _candidates(ranking.varied(short), "graph_bridge", 0.2, 3, graph_signal=F.least(F.lit(1.0), 5 * F.col("score")))
+    short = scored.select("grp", F.concat_ws("-", F.lit("bridge"), "capture_a", "capture_b").alias("id"), "mid", F.col("capture_a").alias("first"), "capture_b", "score")
+    kept = _titles(ranking.varied(short), signal, "first", "capture_b")
+    return _candidates(kept, "graph_bridge", 0.2, 3, graph_signal=F.least(F.lit(1.0), 5 * F.col("score")), text=F.col("text"))
 
 
 def implied_links(nodes: DataFrame, edges: DataFrame, n: int = 2) -> DataFrame:
@@ -114,7 +128,7 @@ def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame | None, as
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)
-    return ranking.picked(ranking.scored(out, feedback), most)
+    return ranking.picked(ranking.scored(keyword_scores(cut(out), signal), feedback), most)
 
 
 def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason") -> DataFrame:
@@ -123,7 +137,8 @@ def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason")
     return picked.join(said, "id", "left").withColumn(reason_col, F.coalesce("_said", reason_col)).drop("_said")
 
 
-def keyword_scores(candidates: DataFrame, texts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``candidates`` with the keyword signal of their texts ``(id, text)`` over a corpus ``(doc_id, text)``; for few candidates."""
-    q = texts.join(candidates.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query"), clip("text", 200, "").alias("q_text"))
-    return ranking.with_keyword_signal(candidates, retrieval.bm25(corpus, q))
+def keyword_scores(candidates: DataFrame, signal: DataFrame) -> DataFrame:
+    """``candidates`` with the keyword signal of their whole ``text``, which goes, over the signal captures of their scope."""
+    docs = signal.select("grp", F.col("id").alias("doc_id"), F.concat_ws(" ", or_empty("title"), or_empty("summary"), or_empty("content")).alias("text"))
+    asked = candidates.where("text <> ''").select("grp", F.col("id").alias("query"), F.col("text").alias("q_text")).dropDuplicates(["grp", "query"])
+    return ranking.with_keyword_signal(candidates, retrieval.bm25_within(docs, asked, ["grp"]), ["grp"]).drop("text")
