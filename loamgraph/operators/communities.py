@@ -7,6 +7,7 @@ that keeps the gains in a heap; the number of links of the whole graph goes in a
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -18,15 +19,14 @@ from loamgraph.runtime import cut
 from loamgraph.schemas import OTHER_TOPIC
 
 _MEMBERS = T.StructType([T.StructField("id", T.StringType()), T.StructField("community", T.StringType())])
-#: Links of a component up to which one task takes it whole; larger ones are first cut by label propagation.
-COMPONENT_EDGES = 200_000
 
 
-def greedy_modularity(edges: list[tuple[str, str]], m: int, max_merges: int | None = None) -> dict[str, str]:
+def greedy_modularity(edges: Iterable[tuple[str, str]], m: int, max_merges: int | None = None) -> dict[str, str]:
     """The community of each node, named by its smallest member.
 
     The pair with the largest gain ``links * 2m - degree * degree`` is merged while that is positive; of equal ones
-    the pair whose names come first.
+    the pair whose names come first. A gain only grows where two links become one, so the heap gets a pair anew only then;
+    other entries are upper bounds, put right when they come up.
     """
     links: dict[str, dict[str, int]] = {}
     for a, b in edges:
@@ -35,17 +35,20 @@ def greedy_modularity(edges: list[tuple[str, str]], m: int, max_merges: int | No
     weight = {n: sum(to.values()) for n, to in links.items()}
     parent = {n: n for n in links}
     gain = lambda a, b: links[a][b] * 2 * m - weight[a] * weight[b]
-    heap = [(-gain(a, b), a, b) for a in links for b in links[a] if a < b]
+    heap = [(-gain(a, b), a, b) for a in links for b in links[a] if a < b and gain(a, b) > 0]
     heapq.heapify(heap)
     merges = 0
     while heap and (max_merges is None or merges < max_merges):
         g, a, b = heapq.heappop(heap)
         if a not in links or b not in links[a]:
             continue
-        if -g != gain(a, b):  # changed since it was put in; its current value is in the heap too
-            continue
         if g >= 0:
             break
+        now = gain(a, b)
+        if now != -g:
+            if 0 < now < -g:  # less since it was put in
+                heapq.heappush(heap, (-now, a, b))
+            continue  # more: its current value is in the heap too
         merges += 1
         parent[b] = a
         taken = links.pop(b)
@@ -56,9 +59,9 @@ def greedy_modularity(edges: list[tuple[str, str]], m: int, max_merges: int | No
             del links[c][b]
             links[a][c] = links[a].get(c, 0) + n
             links[c][a] = links[a][c]
-        for c in links[a]:
             x, y = (a, c) if a < c else (c, a)
-            heapq.heappush(heap, (-gain(x, y), x, y))
+            if (now := gain(x, y)) > 0:
+                heapq.heappush(heap, (-now, x, y))
 
     def root(n: str) -> str:
         while parent[n] != n:
@@ -69,41 +72,21 @@ def greedy_modularity(edges: list[tuple[str, str]], m: int, max_merges: int | No
     return {n: root(n) for n in parent}
 
 
-def detect(edges: DataFrame, max_merges: int | None = None, component_edges: int = COMPONENT_EDGES) -> DataFrame:
+def detect(edges: DataFrame, max_merges: int | None = None, component_edges: int | None = None) -> DataFrame:
     """``(id, community)`` of every linked node of ``edges (a, b)``.
 
-    A component of more than ``component_edges`` links does not fit one task; its nodes get their communities by rounds of label
-    propagation instead, which spreads over tasks.
+    Every component, of whatever size, goes through the same kernel in one task. component_edges is still taken from callers
+    and has no bearing on the result.
     """
     edges = cut(edges)
     m = edges.count()
-    comp = cut(components(edges))
-    placed = edges.join(comp.withColumnRenamed("id", "a"), "a")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > component_edges).select("component"))
+    placed = edges.join(components(edges).withColumnRenamed("id", "a"), "a")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = greedy_modularity(list(zip(pdf["a"], pdf["b"])), m, max_merges)
+        got = greedy_modularity(zip(pdf["a"], pdf["b"]), m, max_merges)
         return pd.DataFrame({"id": list(got), "community": list(got.values())})
 
-    small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(kernel, _MEMBERS)
-    if large.isEmpty():
-        return small
-    return small.unionByName(propagated(placed.join(large, "component", "left_semi").select("a", "b")))
-
-
-def propagated(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """``(id, community)`` by synchronous label propagation: the most frequent label around, the smaller where equal."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
-    for i in range(rounds):
-        votes = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
-        own = label.select(F.col("id").alias("a"), "community", F.lit(1).cast("long").alias("n"))
-        votes = votes.unionByName(own).groupBy("a", "community").agg(F.sum("n").alias("n"))
-        label = votes.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community"))
-        if i % 2:
-            label = cut(label)
-    return label
+    return placed.groupBy("component").applyInPandas(kernel, _MEMBERS)
 
 
 def describe(members: DataFrame, nodes: DataFrame, edges: DataFrame, asof, recent_days: int = 7, min_nodes: int = 2) -> DataFrame:

@@ -133,3 +133,31 @@ def test_strong_edges(spark):
     got = topics.strong_edges(df, ["view"]).collect()
     assert len(got) < len(rows) and {x for r in got for x in (r["a"], r["b"])} == {f"x{i}" for i in range(8)}
     assert topics.strong_edges(df.limit(3), ["view"]).count() == 3
+
+
+def test_one_algorithm_for_every_size(spark):
+    rng = random.Random(7)
+    pairs = sorted({tuple(sorted(rng.sample([f"v{i:02d}" for i in range(40)], 2))) for _ in range(90)})
+    whole = communities.greedy_modularity(pairs, len(pairs))
+    for least in (1, 1_000):
+        assert {r["id"]: r["community"] for r in communities.detect(edges(spark, pairs), component_edges=least).collect()} == whole
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_modularity_against_all_pairs(seed):
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample([f"v{i:02d}" for i in range(25)], 2))) for _ in range(60)})
+    group, m = {x: {x} for p in pairs for x in p}, len(pairs)
+    degree = {x: sum(x in p for p in pairs) for x in group}
+    while True:
+        sums = {g: sum(degree[x] for x in xs) for g, xs in group.items()}
+        of = {x: g for g, xs in group.items() for x in xs}
+        between = {}
+        for a, b in pairs:
+            k = tuple(sorted((of[a], of[b])))
+            between[k] = between.get(k, 0) + 1
+        best = min(((sums[a] * sums[b] - 2 * m * n, a, b) for (a, b), n in between.items() if a != b), default=(0,))
+        if best[0] >= 0:
+            break
+        group[best[1]] |= group.pop(best[2])
+    assert communities.greedy_modularity(pairs, m) == of
