@@ -13,11 +13,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from loamgraph.runtime import cut, free_name
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Bits about a person from which a term counts as a part of names.
 DISCLOSURE = 2.0
@@ -29,8 +31,8 @@ OPEN, OPEN_BITS = 0.75, 4.5
 SEEDS_NEXT = 0.2
 #: The same for characters of Han names, whose slot (after a family character) ordinary words fill too, but each after few of them.
 DISCLOSURE_HAN, OPEN_BITS_HAN = 1.0, 3.2
-#: Share of all person slots that a learned term has at least; so no more than its inverse are learned and broadcast.
-LEAST_SHARE = 1 / 20_000
+#: Learned words up to which all are broadcast; with more, texts are joined to them.
+BROADCAST_WORDS = 200_000
 #: Times that a term is seen at least.
 LEAST_SEEN = 3
 
@@ -188,11 +190,15 @@ def shapes(text: str) -> tuple[list[tuple[int, int, str]], str]:
 
 @dataclass
 class Names:
-    """Parts of names: given names in lower case, family characters and given characters of Han names."""
+    """Parts of names: given names in lower case, family characters and given characters of Han names.
+
+    more: ``(word)``, further given names, in lower case, where they are too many to hold.
+    """
 
     given: frozenset[str]
     family: frozenset[str]
     given_han: frozenset[str]
+    more: DataFrame | None = None
 
     def __post_init__(self):
         titles = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
@@ -204,11 +210,11 @@ class Names:
         fam, giv = "".join(sorted(self.family)), "".join(sorted(self.given_han))
         self.han = re.compile(f"[{fam}](?:[{giv}]{{1,2}}(?:{TITLES_ZH})?|(?:{TITLES_ZH}))" if giv else f"[{fam}](?:{TITLES_ZH})") if fam else None
 
-    def is_given(self, w: str) -> bool:
-        return w.lower() in self.given
+    def is_given(self, w: str, also: frozenset[str] = frozenset()) -> bool:
+        return w.lower() in self.given or w.lower() in also
 
-    def find(self, text: str) -> list[tuple[int, int]]:
-        """Spans of names in a text whose other entities are blanked out."""
+    def find(self, text: str, also: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+        """Spans of names in a text whose other entities are blanked out; also: further given names among its words."""
         spans: list[tuple[int, int]] = []
 
         def add(a: int, b: int) -> None:
@@ -218,12 +224,12 @@ class Names:
         said = set(_WORDS.findall(text.lower()))  # most texts hold no part of a name
         for m in self.titled.finditer(text) if not _TITLE_WORDS.isdisjoint(said) else ():
             add(m.start(), m.end())
-        for pattern in (self.turned, self.pair) if not self.given.isdisjoint(said) else ():
+        for pattern in (self.turned, self.pair) if not self.given.isdisjoint(said) or not also.isdisjoint(said) else ():
             at = 0
             while m := pattern.search(text, at):
                 g, s = m["g"], m["s"]
                 at = m.start() + (len(g) if pattern is self.pair else len(s))
-                if not self.is_given(g) or self.is_given(s) and pattern is self.turned:
+                if not self.is_given(g, also) or self.is_given(s, also) and pattern is self.turned:
                     continue
                 if s[0].islower() and (g[0].isupper() or s in PLAIN or len(s) < 4):
                     continue
@@ -243,7 +249,7 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
     """Parts of names from co-occurrence counts over all texts.
 
     seeds: ``(name, name_part, lang)`` with name_part 'given' or 'family'; one-character family names are Han. The counts
-    are of terms and pairs of terms; only terms above stated shares come to the driver.
+    are of terms and pairs of terms; learned words come to the driver up to BROADCAST_WORDS, characters all.
     """
     spark = texts.sparkSession
     listed = [(r["name"], r["name_part"]) for r in seeds.select("name", "name_part").distinct().limit(100_000).collect() if r["name"]]
@@ -296,9 +302,7 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
         n = F.sum("n")
         seed = F.sum(F.when(F.lower("b").isin(sorted(given)), F.col("n")).otherwise(0)) if what == "next" else F.lit(0)
         e = s.groupBy("a").agg(n.alias("n"), (log2(n) - F.sum(F.col("n") * log2("n")) / n).alias("bits"), (seed / n).alias("seeds"))
-        return e.where((F.col("n") >= LEAST_SEEN) & (F.col("n") >= LEAST_SHARE * total.get(what, (0, 0))[0])).join(
-            table.where(F.col("what") == all_of).select("a", F.col("n").alias("times")), "a"
-        )
+        return e.where(F.col("n") >= LEAST_SEEN).join(table.where(F.col("what") == all_of).select("a", F.col("n").alias("times")), "a")
 
     def told(what: str, all_of: str) -> float:
         """Share of terms in the slot at all."""
@@ -306,28 +310,55 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
 
     base, share = told("next", "word"), F.col("n") / F.col("times")
     words: list[str] = []
+    more = None
     if base:
         # where names are so frequent that no term could disclose more, half of what one could is asked for
         least = min(DISCLOSURE, -0.5 * math.log2(min(base, 0.99)))
         open_slot = F.col("bits") >= F.least(F.lit(OPEN_BITS), OPEN * log2(F.col("n")))
         kept = slots("next", "word").where((share >= IN_SLOT) & (log2(share / F.lit(base)) >= least) & open_slot & (F.col("seeds") <= SEEDS_NEXT))
-        words = [r["a"] for r in kept.select("a").collect()]  # at most 1 / LEAST_SHARE
-    given |= {w.lower() for w in words if w.rstrip(".") not in TITLES and len(w) > 2}
+        kept = kept.where(~F.col("a").isin(TITLES) & (F.length("a") > 2)).select(F.lower("a").alias("word")).distinct()
+        words = [r["word"] for r in kept.limit(BROADCAST_WORDS + 1).collect()]
+        if len(words) > BROADCAST_WORDS:
+            words, more = [], cut(kept)
+    given |= set(words)
     # Han: the character after a family name; the entropy is over family names, which ordinary words don't vary
     base = max(told("han", "char"), 1e-9)
     families = max(1, total.get("han", (0, 1))[1])
     open_slot = F.col("bits") >= F.least(F.lit(min(OPEN_BITS_HAN, 0.8 * math.log2(families))), OPEN * log2(F.col("n")))
     first = {r["a"] for r in slots("han", "char").where((log2(share / F.lit(base)) >= DISCLOSURE_HAN) & open_slot).select("a").collect()}
     table.unpersist()
-    return Names(frozenset(given), frozenset(family), frozenset(first - family))
+    return Names(frozenset(given), frozenset(family), frozenset(first - family), more)
+
+
+def with_own_names(df: DataFrame, fields: list[str], names: Names) -> tuple[DataFrame, str]:
+    """``df`` with a column of the words of ``names.more`` that the row's texts hold, and its name; joined by a hash of the texts.
+
+    Texts of equal hash see the words of each other, which all are given names, so this changes nothing.
+    """
+    own, key = free_name(df, "_own"), free_name(df, "_key")
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("word", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: set[tuple[int, str]] = set()
+            for k, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                for text in filter(None, texts):
+                    for w in _WORDS.findall(shapes(text)[1].lower()):
+                        at = [0, *(m.end() for m in re.finditer("['’-]", w)), len(w) + 1]  # a pattern may see a part of a word alone
+                        rows |= {(k, w[x : y - 1]) for i, x in enumerate(at) for y in at[i + 1 :]}
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=schema.names)
+
+    keyed = df.withColumn(key, F.xxhash64(*fields))
+    held = keyed.select(key, *fields).mapInArrow(run, schema).join(names.more, "word").groupBy(key).agg(F.collect_set("word").alias(own))
+    return keyed.join(held, key, "left").drop(key), own
 
 
-def entities(text: str | None, names: Names) -> list[tuple[int, int, str]]:
+def entities(text: str | None, names: Names, also: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, type)`` in reading order; none overlap."""
     if not text:
         return []
     found, blank = shapes(text)
-    found += [(a, b, "name") for a, b in names.find(blank)]
+    found += [(a, b, "name") for a, b in names.find(blank, also)]
     return sorted(found)
 
 
@@ -340,31 +371,33 @@ def personal_entities(df: DataFrame, id_col: str, fields: list[str], names: Name
     Null and empty texts hold none; repeated rows come out each. Texts are read whole.
     """
     schema = T.StructType([df.schema[id_col], *FOUND])
-    held = df.sparkSession.sparkContext.broadcast(names)  # bounded by LEAST_SHARE
+    held = df.sparkSession.sparkContext.broadcast(replace(names, more=None))  # bounded by BROADCAST_WORDS
+    df, own = with_own_names(df, fields, names) if names.more is not None else (df, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
             at, rows = [], []
+            also = [frozenset(w or ()) for w in b.column(1 + len(fields)).to_pylist()] if own else [frozenset()] * b.num_rows
             for k, f in enumerate(fields):
                 for i, text in enumerate(b.column(1 + k).to_pylist()):
                     seen: Counter = Counter()
-                    for start, end, kind in entities(text, model):
+                    for start, end, kind in entities(text, model, also[i]):
                         seen[kind] += 1
                         at.append(i)
                         rows.append((f, kind, seen[kind], start, end))
             arrays = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *arrays], names=schema.names)
 
-    return df.select(id_col, *fields).mapInArrow(run, schema)
+    return df.select(id_col, *fields, *([own] if own else [])).mapInArrow(run, schema)
 
 
-def sanitise(text: str | None, names: Names) -> str | None:
+def sanitise(text: str | None, names: Names, also: frozenset[str] = frozenset()) -> str | None:
     """The text with each piece replaced by ``[TYPE]``; null for null."""
     if not text:
         return text
     out, at = [], 0
-    for a, b, kind in entities(text, names):
+    for a, b, kind in entities(text, names, also):
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join(out) + text[at:]
@@ -372,12 +405,16 @@ def sanitise(text: str | None, names: Names) -> str | None:
 
 def sanitised(df: DataFrame, fields: list[str], names: Names) -> DataFrame:
     """``df`` with the texts of ``fields`` sanitised; rows, order of columns and other columns as they are."""
-    held = df.sparkSession.sparkContext.broadcast(names)
-    at = {df.columns.index(f) for f in fields}
+    held = df.sparkSession.sparkContext.broadcast(replace(names, more=None))
+    at, schema = {df.columns.index(f) for f in fields}, df.schema
+    df, own = with_own_names(df, fields, names) if names.more is not None else (df, None)
+    if own:
+        df = df.select(*schema.names, own)  # the join puts its key first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [pa.array([sanitise(t, held.value) for t in c.to_pylist()], pa.string()) if i in at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            also = [frozenset(w or ()) for w in b.columns[-1].to_pylist()] if own else [frozenset()] * b.num_rows
+            cols = [pa.array([sanitise(t, held.value, w) for t, w in zip(c.to_pylist(), also)], pa.string()) if i in at else c for i, c in enumerate(b.columns[: len(schema)])]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
