@@ -6,10 +6,13 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from loamgraph.operators.records import merge_snapshot
+from loamgraph.runtime import free_name
+
+#: What tells the last state of a record, as in :func:`loamgraph.sources.tables.captures`.
+LAST = ("processed_at", "processing_status", "embedding_status", "graph_status")
 
 
 def change_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -45,13 +48,23 @@ class SnapshotMerge:
         return None if v is None else self.spark.read.parquet(os.path.join(self.path, f"v-{v}"))
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``: the last row of each key in the batch wins over the snapshot."""
+        """For ``foreachBatch``: of the snapshot's row and the batch's rows of a key the last state stays.
+
+        Last is the latest ``processed_at``, then the least status, as the readers of the tables have it; where these are equal or not
+        there, the batch's row wins over the snapshot's and the newer ``created_at`` within the batch.
+        """
         v = self._version()
         if v is not None and v >= batch_id:
             return
         old = self.read()
-        new = batch.dropDuplicates([self.key])
-        out = new if old is None else merge_snapshot(old, new, self.key)
+        src = free_name(batch if old is None else old.limit(0).unionByName(batch.limit(0), allowMissingColumns=True), "_src")
+        both = batch.withColumn(src, F.lit(0))
+        if old is not None:
+            both = old.withColumn(src, F.lit(1)).unionByName(both, allowMissingColumns=True)
+        rn = free_name(both, "_rn")
+        late = [F.col(c).desc_nulls_last() if c.endswith("_at") else F.col(c) for c in (*LAST, src, "created_at") if c in both.columns]
+        rest = F.xxhash64(*[c for c, kind in both.dtypes if "map<" not in kind])
+        out = both.withColumn(rn, F.row_number().over(Window.partitionBy(self.key).orderBy(*late, rest))).where(F.col(rn) == 1).drop(rn, src)
         out.write.mode("overwrite").parquet(os.path.join(self.path, f"v-{batch_id}"))
         fs, path = self._fs()
         fs.create(path(os.path.join(self.path, f"done-{batch_id}")), True).close()
@@ -60,10 +73,9 @@ class SnapshotMerge:
             fs.delete(path(os.path.join(self.path, f"done-{gone}")), False)
             fs.delete(path(os.path.join(self.path, f"v-{gone}")), True)
 
-    def start(self, changes: DataFrame, checkpoint: str, at: str = "created_at", look_back: str = "1500 milliseconds") -> StreamingQuery:
-        """Run over what is there now (and once more whenever called); repeats of a key within the look-back count once."""
-        once = changes.withWatermark(at, look_back).dropDuplicatesWithinWatermark([self.key, at])
-        return once.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def start(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Run over what is there now (and once more whenever called); every row is merged, however late, and repeats change nothing."""
+        return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def reconcile(spark: SparkSession, merge: SnapshotMerge, full: DataFrame, batch_id: int) -> None:

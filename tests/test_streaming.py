@@ -53,3 +53,20 @@ def test_watched(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_late_rows_and_later_states_are_merged(spark, tmp_path):
+    schema = "id string, processing_status string, created_at timestamp, processed_at timestamp"
+    day = lambda n: datetime.datetime(2025, 1, n)
+    m = SnapshotMerge(spark, str(tmp_path / "snap"))
+    (tmp_path / "in").mkdir()
+    stream = change_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    for rows in (
+        [("new", "pending", day(30), None), ("a", "processing", day(29), None), ("a", "completed", day(29), day(30))],
+        [("new", "completed", day(30), day(31)), ("weeks", "pending", day(2), None), ("a", "failed", day(29), day(29))],
+        [("weeks", "completed", day(2), day(31)), ("weeks", "completed", day(2), day(31)), ("old", "pending", day(1), None)],
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        m.start(stream, str(tmp_path / "cp")).awaitTermination(120)
+    got = {r["id"]: (r["processing_status"], r["processed_at"]) for r in m.read().collect()}
+    assert got == {"new": ("completed", day(31)), "a": ("completed", day(30)), "weeks": ("completed", day(31)), "old": ("pending", None)}
