@@ -161,7 +161,7 @@ def shapes(text: str) -> tuple[list[tuple[int, int, str]], str]:
         found.append((m.start(), m.end(), kind))
         return "\0" * len(m.group())
 
-    if "@" in plain or "at" in plain or "AT" in plain:
+    if "@" in plain or "at" in plain.lower():
         plain = _EMAIL.sub(lambda m: m.group() if m.group().rpartition(".")[2].lower() in _FILES else take(m, "email"), plain)
     if not any(c.isdigit() for c in plain):
         return found, plain
@@ -170,7 +170,7 @@ def shapes(text: str) -> tuple[list[tuple[int, int, str]], str]:
             plain = p.sub(lambda m: take(m, "address"), plain)
     long = _LONG_NUMBER.search(plain) is not None
     for i, p in enumerate(_ID):
-        if long or i == 2 and _LETTERED.search(plain):
+        if long or i == 2 and _LETTERED.search(plain) or i == 3 and ("2A" in plain or "2B" in plain):
             plain = p.sub(lambda m, i=i: take(m, "id_number") if i or _date(m["date"]) else m.group(), plain)
     if not long:
         return found, plain

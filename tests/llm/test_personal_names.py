@@ -29,3 +29,9 @@ def test_names_joined_instead_of_broadcast(spark, monkeypatch):
         assert clean.schema == df.schema
         seen[least] = sorted(map(tuple, found.collect())), sorted(map(str, clean.collect()))
     assert seen[1] == seen[200_000] and any(r[2] == "name" and r[1] == "a" for r in seen[1][0])
+
+
+def test_quick_looks_miss_nothing():
+    assert [k for *_, k in personal.shapes("Son numéro 2 85 07 2A 123 456 suffit.")[0]] == ["id_number"]
+    for at in ("at", "At", "aT", "AT"):
+        assert [k for *_, k in personal.shapes(f"Write to jo.doe[{at}]mail.org soon")[0]] == ["email"]
