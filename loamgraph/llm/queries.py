@@ -100,11 +100,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of all pairs after two deliveries: captures made before 2025, then the rest."""
+    """The counts of all pairs after two deliveries: captures made before 2025, then the rest, for which the table is opened again."""
     rows = table(spark, d, "captured_info").select("id", "tags", "created_at")
     early = cooccurrence.clean_baskets(rows.where("created_at < timestamp'2025-01-01'"), "id", "tags")
-    held = cooccurrence.PairTable(spark).apply(cooccurrence.first_load(early))
-    held.apply(cooccurrence.changes_between(early, cooccurrence.clean_baskets(rows, "id", "tags")))
+    path = cooccurrence.PairTable(spark).apply(cooccurrence.first_load(early)).path
+    held = cooccurrence.PairTable(spark, path).apply(cooccurrence.changes_between(early, cooccurrence.clean_baskets(rows, "id", "tags")))
     s = held.scores()
     return s.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 

@@ -157,6 +157,56 @@ def test_pair_table_against_recount(spark, tmp_path):
     assert t.pairs().isEmpty() and t.items().isEmpty() and t.scores().isEmpty()
 
 
+def _counts(table) -> dict:
+    return {(r["a"], r["b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n_baskets"]) for r in table.scores().collect()}
+
+
+def _inserts(spark, *rows):
+    return cooccurrence.first_load(spark.createDataFrame(list(rows), "basket string, items array<string>"))
+
+
+def test_pair_table_opened_again_keeps_its_counts(spark, tmp_path):
+    path = "file://" + str(tmp_path / "t")
+    cooccurrence.PairTable(spark, path).apply(_inserts(spark, ("1", ["a", "b"]), ("2", ["a", "b"])))
+    again = cooccurrence.PairTable(spark, path).apply(_inserts(spark, ("3", ["a", "c"])))
+    want = {("a", "b"): (2, 3, 2, 3), ("a", "c"): (1, 3, 1, 3)}
+    assert _counts(again) == want and _counts(cooccurrence.PairTable(spark, path)) == want
+
+
+def test_pair_of_items_that_keep_their_counts(spark, tmp_path):
+    """A basket that swaps one item for another leaves the third item's count as it was, yet makes a new pair with it."""
+    path = "file://" + str(tmp_path / "t")
+    t = cooccurrence.PairTable(spark, path).apply(_inserts(spark, ("1", ["a", "b"]), ("2", ["c"])))
+    change = spark.createDataFrame([("1", ["a", "b"], ["b", "c"]), ("2", ["c"], ["a"])], "basket string, before array<string>, after array<string>")
+    assert _counts(t.apply(change)) == {("b", "c"): (1, 1, 1, 2)}
+
+
+def test_pair_table_after_a_run_that_died_and_over_more_buckets(spark, tmp_path):
+    path = "file://" + str(tmp_path / "t")
+    t = cooccurrence.PairTable(spark, path, buckets=2, bucket_rows=2).apply(_inserts(spark, ("1", ["a", "b", "c"])))
+    t._commit = lambda state: None  # dies before its manifest
+    t.apply(_inserts(spark, ("2", ["a", "b", "c", "d", "e", "f"])))
+    t = cooccurrence.PairTable(spark, path, buckets=2, bucket_rows=2)
+    assert _counts(t) == {p: (1, 1, 1, 1) for p in [("a", "b"), ("a", "c"), ("b", "c")]}
+    t.apply(_inserts(spark, ("2", ["a", "b", "c", "d", "e", "f"])))
+    assert t.state["pairs"]["buckets"] > 2
+    got = _counts(cooccurrence.PairTable(spark, path))
+    assert len(got) == 15 and got["a", "b"] == (2, 2, 2, 2) and got["e", "f"] == (1, 1, 1, 2)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    t = cooccurrence.PairTable(spark, "file://" + str(tmp_path / "t"), buckets=16).apply(_inserts(spark, *[(str(i), [f"x{i}", f"y{i}"]) for i in range(200)]))
+    t.apply(_inserts(spark, ("new", ["p", "q"])))
+    assert sum(v == 2 for v in t.state["pairs"]["at"].values()) == 1 and len(t.state["pairs"]["at"]) == 16
+
+
+def test_pairs_of_a_large_basket_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "ITEMS_A_TASK", 7)
+    items = sorted(f"i{k}" for k in range(40))
+    got = _counts(cooccurrence.PairTable(spark, "file://" + str(tmp_path / "t")).apply(_inserts(spark, ("1", items), ("2", items[:1]))))
+    assert set(got) == {(x, y) for i, x in enumerate(items) for y in items[i + 1 :]} and got[items[0], items[1]] == (1, 2, 1, 2)
+
+
 # ---- names
 
 
