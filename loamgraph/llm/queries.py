@@ -82,9 +82,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Entities with more than one record: their spellings and records."""
-    e = variants.same_entities(table(spark, d, "knowledge_nodes"))
-    return e.groupBy("scope", "kind", "entity").agg(F.count("*").alias("n_records")).where("n_records > 1")
+    """The records of entities with more than one: a row for each record, with its spelling and the number of the entity's records."""
+    nodes = table(spark, d, "knowledge_nodes")
+    e = variants.same_entities(nodes)
+    sizes = e.groupBy("scope", "kind", "entity").agg(F.countDistinct("id").alias("n_records")).where("n_records > 1")
+    names = nodes.select(F.lower("id").alias("id"), "name").distinct()
+    return e.join(sizes, ["scope", "kind", "entity"]).join(names, "id").select("scope", "kind", "entity", "id", "name", "n_records").distinct()
 
 
 # ---- p5: items that appear together

@@ -4,6 +4,9 @@ A spelling is cut into words; MinHash bands over the padded q-grams of its telli
 scopes) give candidates, with as many bands as the collision curve needs. Candidates are verified by a Monge-Elkan
 comparison whose word similarity knows typos, initials, abbreviations, short forms and transliteration, and the
 links are clustered into stars around the best linked spelling.
+
+A band's bucket that many spellings of a scope share (a family name, say) is not paired off. Its spellings meet by finer
+keys instead: two words of each, in every form in which the comparison may still take a word for another.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ Q, CANDIDATE, RECALL = 3, 0.35, 0.99
 SAME = 0.88
 #: Scopes in which a word occurs to be no telling one, and its share of all spellings; so few words are such.
 COMMON_SCOPES, COMMON_SHARE = 5, 0.001
+#: Spellings of a bucket that are paired off; those of larger ones meet by finer keys.
+CROWD = 48
 #: Hashes of a signature at most.
 HASHES = 128
 
@@ -150,7 +155,7 @@ def keys(name: str, kind: str, common: frozenset[str]) -> tuple[list[str], list[
     if kind == "organization":
         if n.upper:
             exact.append("acr:" + n.upper)
-        elif len(n.words) >= 3:
+        elif len(n.words) >= 2:
             exact.append("acr:" + acronym(n))
             exact.append("acr:" + acronym(n)[:1] + acronym(n)[-1] + acronym(n)[1:-1])
     telling = [w for w in n.words if w not in common and len(w) > 2] or [w for w in n.words if len(w) > 2] or list(n.words)
@@ -159,6 +164,58 @@ def keys(name: str, kind: str, common: frozenset[str]) -> tuple[list[str], list[
     return exact, sorted(grams)
 
 
+_MEANT: dict[str, set[str]] = {}
+for _full, _short in SHORT_FORMS.items():
+    for _w in (_full, *_short.split()):
+        _MEANT.setdefault(_w, set()).add(_full)
+
+
+def forms(w: str, dotted: bool, kind: str, common: frozenset[str]) -> set[tuple[str, int]]:
+    """Keys of a word such that any two words that :func:`word_likeness` takes for each other share one, with the side they stand on.
+
+    0: both sides alike; 1: an initial or abbreviation; 2: a word that one may stand for. Words one edit apart share what
+    is left when a letter is dropped; two swapped letters leave the letters the same.
+    """
+    if kind == "person" and len(w) == 1:
+        return {("p:" + w, 1), ("d:" + w, 0)}
+    near = {w, _FULL.get(w, w)} if kind == "person" else {w}
+    out = {("d:" + x, 0) for v in near for x in ((v, *(v[:i] + v[i + 1 :] for i in range(len(v)))) if len(v) >= 3 else (v,))}
+    if len(w) >= 6:
+        out.add(("s:" + "".join(sorted(w)), 0))
+    if kind == "person":
+        out |= {("n:" + f, 0) for f in _MEANT.get(w, ())} | {("p:" + w[0], 2)}
+    if kind == "organization" or dotted:
+        out.add(("p:" + w, 1))
+    out |= {("p:" + w[:k], 2) for k in range(2, len(w))}
+    if kind == "organization" and 2 < len(w):
+        if len(w) <= 4 and not re.search("[aeiou]", w):
+            out.add((f"c:{w[0]}{w[-1]}", 1))
+        if w in common:
+            out.add((f"c:{w[0]}{w[-1]}", 2))
+    return out
+
+
+def finer_keys(name: str, kind: str, common: frozenset[str]) -> set[tuple[str, int, int]]:
+    """Keys ``(two words, side of the one, side of the other)`` of a spelling; the same spellings as :func:`compare` links share one.
+
+    Every word has to have its counterpart (up to eight words), so two of them do. Spellings of one word have keys of it alone.
+    """
+    n = parse(name, kind)
+    by_word = [sorted(forms(w, w in n.dotted, kind, common)) for w in dict.fromkeys(n.words)]
+    if len(by_word) == 1:
+        return {(k, s, 0) for k, s in by_word[0]} | ({("j:" + "".join(n.words), 0, 0)} if kind == "person" else set())
+    out = set()
+    for i in range(len(by_word)):
+        for j in range(i + 1, len(by_word)):
+            for x in by_word[i]:
+                for y in by_word[j]:
+                    (k, s), (m, t) = (x, y) if x[0] <= y[0] else (y, x)
+                    out.add((f"{k}|{m}", s, t))
+    if kind == "person" and n.words:
+        out.add(("j:" + "".join(n.words), 0, 0))
+    return out
+
+
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words; 3 stands for more than 2."""
@@ -277,7 +334,7 @@ def compare(a: str, b: str, kind: str, common: frozenset[str], rare: dict[str, f
         up, n = (x.upper, y) if x.upper else (y.upper, x)
         got = acronym(n)
         if len(got) >= 2 and (up == got or up == got[:1] + got[-1] + got[1:-1] or sorted(up) == sorted(got) and up[0] == got[0]):
-            return True, True, " ".join(n.words)
+            return True, True, ""
         return False, False, ""
     if x.words and set(x.words) == set(y.words):
         return True, False, ""
@@ -334,10 +391,11 @@ def _statistics(names: DataFrame) -> tuple[frozenset[str], dict[str, float]]:
     return common, {r["word"][1:]: r["n"] / max(1, total) for r in many if r["word"][0] == "1"}
 
 
-def links(names: DataFrame) -> DataFrame:
+def links(names: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """``(scope, kind, a, b)``, a before b: verified pairs of distinct spellings of one scope and kind.
 
-    names: distinct ``(scope, kind, name)``. An initial or an acronym that fits several names of the scope links none.
+    names: distinct ``(scope, kind, name)``; told: pairs that are known to be the same. An initial or an acronym that fits several
+    names of the scope links none; spellings of a body that are linked among themselves are one name.
     """
     spark = names.sparkSession
     common, share = _statistics(names)
@@ -352,23 +410,49 @@ def links(names: DataFrame) -> DataFrame:
 
         common, _ = held.value
         for b in batches:
-            at, key = [], []
+            at, key, side = [], [], []
             for i, (kind, name) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 exact, grams = keys(name, kind, common)
-                got = {xxhash.xxh64_intdigest(e, seed=1) for e in exact}
+                own = {xxhash.xxh64_intdigest(e, seed=1) for e in exact}
+                got = set()
                 if grams:
                     h = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
                     with np.errstate(over="ignore"):
                         least = ((h[:, None] * mult + plus) >> np.uint64(16)).min(0).reshape(n_bands, rows)
                     got |= {xxhash.xxh64_intdigest(least[j].tobytes(), seed=100 + j) for j in range(n_bands)}
-                at += [i] * len(got)
-                key += got
+                at += [i] * (len(own) + len(got))
+                key += [*own, *got]
+                # 0 exact, 1 acronym, 2 what it may stand for, 3 a band
+                side += [0 if kind != "organization" or not exact[0].startswith("acr:") else 1 if parse(name, kind).upper else 2] * len(own) + [3] * len(got)
             t = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(np.array(key, dtype=np.uint64).astype(np.int64))], names=["scope", "kind", "name", "bucket"])
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(np.array(key, dtype=np.uint64).astype(np.int64)), pa.array(side, pa.int32())], names=["scope", "kind", "name", "bucket", "side"])
 
-    placed = names.select("scope", "kind", "name").mapInArrow(buckets, "scope string, kind string, name string, bucket bigint")
-    x, y = placed.withColumnRenamed("name", "a"), placed.withColumnRenamed("name", "b")
-    near = x.join(y, ["scope", "kind", "bucket"]).where(F.col("a") < F.col("b")).select("scope", "kind", "a", "b").distinct()
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        common, _ = held.value
+        for b in batches:
+            for start in range(0, b.num_rows, 100):  # some hundred keys a spelling
+                part = b.slice(start, 100)
+                got = [(i, *k) for i, (kind, name) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())) for k in finer_keys(name, kind, common)]
+                t = part.take(pa.array([g[0] for g in got], pa.int64()))
+                key = np.array([xxhash.xxh64_intdigest(g[1], seed=2) for g in got], dtype=np.uint64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(key), *[pa.array([g[c] for g in got], pa.int32()) for c in (2, 3)]], names=["scope", "kind", "name", "bucket", "s", "t"])
+
+    group = ["scope", "kind", "bucket"]
+    placed = cut(names.select("scope", "kind", "name").mapInArrow(buckets, "scope string, kind string, name string, bucket bigint, side int"))
+    crowds = cut(placed.where("side = 3").groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).drop("n"))
+    few, crowded = placed, None
+    if not crowds.isEmpty():
+        few = placed.join(crowds, group, "left_anti")
+        crowded = placed.where("side = 3").join(crowds, group, "left_semi").select("scope", "kind", "name").distinct().mapInArrow(finer, "scope string, kind string, name string, bucket bigint, s int, t int")
+    a, b = (lambda d: d.withColumnRenamed("name", "a")), (lambda d: d.withColumnsRenamed({"name": "b", **{c: c + "2" for c in ("side", "s", "t")}}))
+    # an acronym meets what it may stand for, spellings with the same one do not meet each other
+    near = a(few).join(b(few), group).where("a < b AND (side = side2 AND side IN (0, 3) OR side + side2 = 3 AND side IN (1, 2))").select("scope", "kind", "a", "b").distinct()
+    if crowded is not None:
+        crowded = cut(crowded)
+        more = a(crowded).join(b(crowded), group).where("a < b AND (s + s2) % 3 = 0 AND (t + t2) % 3 = 0").select("scope", "kind", "a", "b")
+        near = near.unionByName(more).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, share = held.value
@@ -384,9 +468,18 @@ def links(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(short, pa.string()), pa.array([got[i][2] for i in keep], pa.string())], names=["scope", "kind", "a", "b", "short", "full"])
 
     same = cut(near.mapInArrow(verify, "scope string, kind string, a string, b string, short string, full string"))
-    clear = same.where(F.col("short").isNotNull()).groupBy("scope", "kind", "short").agg(F.countDistinct(F.nullif("full", F.lit(""))).alias("n")).where("n <= 1").drop("n")
-    weak = same.join(clear, ["scope", "kind", "short"], "left_semi")
-    return same.where(F.col("short").isNull()).select("scope", "kind", "a", "b").unionByName(weak.select("scope", "kind", "a", "b"))
+    weak = same.where(F.col("short").isNotNull()).withColumn("other", F.when(F.col("a") == F.col("short"), F.col("b")).otherwise(F.col("a")))
+    sure = same.where(F.col("short").isNull()).select("scope", "kind", "a", "b")
+    # what an acronym may stand for: linked spellings count as the smallest of them
+    bodies = weak.where("kind = 'organization'").select("scope", "kind", "short", "other")
+    known = sure if told is None else sure.unionByName(told.select("scope", "kind", "a", "b"))
+    beside = known.unionByName(known.select("scope", "kind", F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "other", "b": "also"})
+    shared = bodies.join(beside, ["scope", "kind", "other"]).join(bodies.withColumnRenamed("other", "also"), ["scope", "kind", "short", "also"], "left_semi")
+    least = shared.groupBy("scope", "kind", "short", "other").agg(F.min("also").alias("also"))
+    meant = bodies.join(least, ["scope", "kind", "short", "other"], "left").select("scope", "kind", "short", F.least("other", F.coalesce("also", "other")).alias("full"))
+    meant = meant.unionByName(weak.where("kind <> 'organization'").select("scope", "kind", "short", "full"))
+    clear = meant.groupBy("scope", "kind", "short").agg(F.countDistinct(F.nullif("full", F.lit(""))).alias("n")).where("n <= 1").drop("n")
+    return sure.unionByName(weak.join(clear, ["scope", "kind", "short"], "left_semi").select("scope", "kind", "a", "b"))
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -430,7 +523,7 @@ def same_entities(df: DataFrame, id_col: str = "id", scope_col: str = "scope_id"
     key = ["scope", "kind"]
     names = rows.select(*key, "name").unionByName(rows.where(F.col("alias").isNotNull()).select(*key, F.col("alias").alias("name"))).distinct()
     told = rows.where(F.col("alias").isNotNull() & (F.col("alias") != F.col("name"))).select(*key, F.least("name", "alias").alias("a"), F.greatest("name", "alias").alias("b"))
-    edges = links(names).unionByName(told).distinct()
+    edges = links(names, told).unionByName(told).distinct()
     stars_ = stars(edges)
     return rows.select(*key, "id", "name").distinct().join(stars_, [*key, "name"], "left").select(*key, "id", F.coalesce("centre", "name").alias("entity"))
 

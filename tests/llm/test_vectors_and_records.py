@@ -1,5 +1,6 @@
 """Vectors, clusters, co-occurrence, names and personal information: against brute force and hand-made cases."""
 
+import itertools
 import random
 
 import numpy as np
@@ -226,6 +227,52 @@ def test_comparison_of_spellings(a, b, kind, same):
     assert variants.compare(a, b, kind, common, {})[0] is same and variants.compare(b, a, kind, common, {})[0] is same
 
 
+_FAMILIES = [f"{a}{b}{c}" for a in ("Bora", "Cilu", "Demo", "Fuka", "Gavi") for b in ("ten", "rosh", "miw", "zel") for c in ("a", "on", "ik", "us", "er")]
+
+
+def _crowd(n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    syllables = [x + y for x in "bdfgklmnprstvz" for y in "aeiou"]
+    return sorted({f"{''.join(rng.choices(syllables, k=3)).title()} {rng.choice(_FAMILIES)}" for _ in range(n)})
+
+
+def test_finer_keys_find_what_the_comparison_links():
+    """Every pair that the comparison links shares a finer key, sides agreeing."""
+    common = frozenset(variants.SHORT_FORMS) | {"laboratory", "association", "reading"}
+    rng = random.Random(4)
+    people = _crowd(40, 1)
+    spelled = {"person": ["Robert Vofajusi", "Rob Vofajusi", "R. Vofajusi", "Vofajusi, Robert", "Robrt Vofajusi", "Vofajusi Robert K.", "Anna Maria Zelik", "Annamaria Zelik", "Matias Zelik", "Matze Zelik"], "organization": ["Dutabive Reading Laboratory", "Dutabive Read. Laboratory", "Dutabive Reading Lab", "Dutabive Rdg Laboratory", "Laboratory Dutabive Reading Ltd"]}
+    for name in people:
+        i = rng.randrange(1, len(name) - 1)
+        first, last = name.split()
+        spelled["person"] += [name, name[:i] + name[i + 1 :], name[:i] + name[i + 1] + name[i] + name[i + 2 :], f"{last}, {first[0]}.", f"{first} {last[0]}. {last}"]
+    n = 0
+    for kind, names in spelled.items():
+        keys = {x: variants.finer_keys(x, kind, common) for x in names}
+        for x, y in itertools.combinations(sorted(set(names)), 2):
+            if variants.compare(x, y, kind, common, {})[0]:
+                n += 1
+                assert any(k == m and (s + u) % 3 == 0 and (t + v) % 3 == 0 for k, s, t in keys[x] for m, u, v in keys[y]), (x, y)
+    assert n > 150
+
+
+def test_crowded_buckets_lose_no_link_and_grow_with_the_names(spark, monkeypatch):
+    rows = [("s", "person", x) for x in _crowd(600, 2)]
+    rows += [("s", "person", x[:2] + x[3:]) for _, _, x in rows[::20]]
+    names = spark.createDataFrame(rows, "scope string, kind string, name string").distinct()
+    found = lambda: {(r["a"], r["b"]) for r in variants.links(names).collect()}
+    split = found()
+    monkeypatch.setattr(variants, "CROWD", 1 << 30)
+    assert split >= found() and len(split) >= 25
+
+
+def test_acronym_of_a_body_with_two_spellings(spark):
+    rows = [("1", "s", "organization", "Dutabive Reading Laboratory"), ("2", "s", "organization", "Dutabive Read. Laboratory"), ("3", "s", "organization", "DRL"), ("4", "t", "organization", "Kigicefi Foundation"), ("5", "t", "organization", "Kagomoto Foundation"), ("6", "t", "organization", "KF")]
+    df = spark.createDataFrame(rows, "id string, scope_id string, kind string, name string").withColumn("aliases", F.lit(None).cast("array<string>"))
+    assert {(r["id_a"], r["id_b"]) for r in variants.pairs(variants.same_entities(df)).collect()} == {("1", "2"), ("1", "3"), ("2", "3")}
+
+
+
 def test_homophones_by_how_common_the_characters_are():
     share = {"宁": 0.05, "霁": 0.05, "季": 0.001, "予": 0.05, "屿": 0.05}
     assert variants.compare("冯霁禾", "冯季禾", "person", frozenset(), share)[0]
