@@ -3,7 +3,8 @@
 Records have the order of a hash of their id. In each round a record whose smallest similar record is itself becomes a
 pivot; one whose smallest is a pivot joins it; the others wait for the next round. This gives the clusters
 that the sequential algorithm gives in that order, without listing the pairs: tiles only report, for each record, its
-smallest similar one. Members are then moved to the closest pivot, and each cluster gets its medoids.
+smallest similar one. Members are then moved to the closest pivot, and in rounds each cluster gets its medoid and members are
+moved to the closest medoid.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ MARKS = 6
 CELL = 2_500
 #: Members of a cluster that are named as its most typical.
 TYPICAL = 3
+#: Rounds of new medoids and moves to them, at most; they end as soon as no medoid changes.
+ROUNDS = 3
 
 _MARKS = [f"m{i}" for i in range(MARKS)]
 _SEEN = T.StructType(
@@ -168,16 +171,19 @@ def _copies(placed: DataFrame) -> DataFrame | None:
     return cut(own.join(sums, group).select("kind", "id", "rep", "sums"))
 
 
-def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | None = None) -> DataFrame:
+def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | None = None, rounds: int = 0) -> DataFrame:
     """``(kind, id, pivot, isolated)`` of every record that is similar to another of its kind.
 
     rows: as made by :func:`vectors.vector_rows`. Records without a similar one are clusters of their own and left
     out. isolated: whether every two members of the cluster are similar and no member is similar to a record outside,
-    told by comparing, for each member, the number and hashed sums of its neighbourhood with those of the cluster.
-    Vectors are compared in 16 bits a component, which moves cosines by some 1e-5. Copies of one vector are united first. An empty table gives an empty result.
+    told by comparing, for each member, the number and hashed sums of its neighbourhood with those of the cluster. Moving
+    members makes no cluster isolated that was not: all members of one have the same smallest record, so they are one from the start.
+    pivot: with rounds (ROUNDS, say), the medoid that the members of a cluster that is not isolated were moved to last; every
+    member is similar to it. Copies of one vector are united
+    first. An empty table gives an empty result.
     """
     index = index or fit(rows, dim, cell=CELL)
-    plain = with_rank(place(rows, index, short=True))
+    plain = with_rank(place(rows, index, packed=True))
     copies = _copies(plain)
     if copies is not None:
         own = copies.where(F.col("id") == F.col("rep")).select("kind", "id", "sums")
@@ -220,27 +226,70 @@ def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | N
     same = (F.col("closed_n") == F.col("size")) & F.expr(" AND ".join(f"closed_{m} = all_{m}" for m in _MARKS))
     clean = labelled.join(sums, ["kind", "pivot"]).groupBy("kind", "pivot").agg(F.min(same).alias("isolated"))
     labels = cut(done.join(clean, ["kind", "pivot"]).select("kind", "id", "pivot", "isolated"))
-    loose = labels.where(~F.col("isolated"))
-    if not loose.where(F.col("id") != F.col("pivot")).isEmpty():
-        is_pivot = F.col("id") == F.col("pivot")
-        active = plain.join(loose.select("kind", "id", (~is_pivot).alias("asks"), is_pivot.alias("gives")), ["kind", "id"])
-        moved = _scan(active, index, threshold, closest=True).select("kind", "id", F.col("near.id").alias("closer"))
-        labels = labels.join(moved, ["kind", "id"], "left").select("kind", "id", F.coalesce("closer", "pivot").alias("pivot"), "isolated")
+    labels = _moved(labels, plain, index, threshold, rounds)
     if copies is not None:
         rest = copies.where(F.col("id") != F.col("rep")).select("kind", F.col("id").alias("copy"), F.col("rep").alias("id"))
         labels = labels.unionByName(labels.join(rest, ["kind", "id"]).select("kind", F.col("copy").alias("id"), "pivot", "isolated"))
     return labels
 
 
-def describe(clusters: DataFrame, rows: DataFrame, dim: int, typical: int = TYPICAL) -> DataFrame:
-    """``(kind, cluster_id, size, members, cohesion)`` of each cluster: its size, its most typical members and the mean
-    cosine of its members with the others.
+def _moved(labels: DataFrame, plain: DataFrame, index: Index, threshold: float, rounds: int) -> DataFrame:
+    """``labels`` with the members of clusters that are not isolated moved to the closest pivot, then to the closest medoid in rounds.
 
-    clusters: ``(kind, id, cluster_id)``. Most typical is the member with the largest mean cosine to the others, the
-    medoid; sums of vectors are made by task first, so a cluster of any size is never gathered.
+    A medoid takes the place of its cluster's last centre if all members are similar to it, so members always are to theirs.
     """
-    vecs = rows.dropDuplicates(["kind", "id"]).join(clusters.select("kind", "id", "cluster_id"), ["kind", "id"])
-    vecs = cut(vecs)
+    loose = labels.where(~F.col("isolated")).select("kind", "id", "pivot")
+    if loose.where(F.col("id") != F.col("pivot")).isEmpty():
+        return labels
+    centres = loose.select("kind", "pivot", F.col("pivot").alias("centre")).distinct()
+    for round_ in range(rounds + 1):
+        if round_:
+            centres = _medoids(loose, plain, index.dim, threshold)
+            if centres.where("centre <> pivot").isEmpty():
+                break
+        named = loose.join(centres, ["kind", "pivot"])
+        gives = F.col("id") == F.col("centre")
+        active = plain.join(named.select("kind", "id", (~gives).alias("asks"), gives.alias("gives")), ["kind", "id"])
+        near = _scan(active, index, threshold, closest=True).select("kind", "id", F.col("near.id").alias("closer"))
+        loose = cut(named.join(near, ["kind", "id"], "left").select("kind", "id", F.coalesce("closer", "centre").alias("pivot")))
+    return labels.where("isolated").unionByName(loose.withColumn("isolated", F.lit(False)))
+
+
+def _medoids(clusters: DataFrame, plain: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """``(kind, pivot, centre)``: of each cluster ``(kind, id, pivot)`` the member with the largest mean cosine to all, the smaller id of
+    equal ones; the pivot itself where some member is not similar to that one.
+
+    plain: placed rows with the bytes of the vectors, and the weight of their copies in ``sums`` where there is any.
+    """
+    copies = F.col("sums")[0] if "sums" in plain.columns else F.lit(None)
+    vecs = cut(plain.select("kind", "id", "code", F.coalesce(copies, F.lit(1)).cast("long").alias("n")).join(clusters.select("kind", "id", F.col("pivot").alias("cluster_id")), ["kind", "id"]))
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in ("kind", "id", "cluster_id")], T.StructField("score", T.DoubleType())])
+
+    def score(read):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x, _ = unit(_from_bytes(b.column(3), dim))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.einsum("ij,ij->i", x, read(b.column(4))))], names=schema.names)
+
+        return run
+
+    to_all = vecs.join(_sums(vecs, dim), ["kind", "cluster_id"]).select("kind", "id", "cluster_id", "code", "total")
+    to_all = to_all.mapInArrow(score(lambda c: c.flatten().to_numpy().reshape(-1, dim)), schema)
+    best = cut(to_all.groupBy("kind", "cluster_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "id"))["id"].alias("centre")))
+    held = vecs.select("kind", F.col("id").alias("centre"), F.col("code").alias("head")).join(best, ["kind", "centre"]).drop("centre")
+    to_head = vecs.join(held, ["kind", "cluster_id"]).select("kind", "id", "cluster_id", "code", "head")
+    to_head = to_head.mapInArrow(score(lambda c: unit(_from_bytes(c, dim))[0]), schema)
+    ok = to_head.groupBy("kind", "cluster_id").agg((F.min("score") >= threshold).alias("ok"))
+    return cut(best.join(ok, ["kind", "cluster_id"]).select("kind", F.col("cluster_id").alias("pivot"), F.when(F.col("ok"), F.col("centre")).otherwise(F.col("cluster_id")).alias("centre")))
+
+
+def _from_bytes(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(-1, dim)
+
+
+def _sums(vecs: DataFrame, dim: int) -> DataFrame:
+    """``(kind, cluster_id, size, total)``: the weighted sum of the unit vectors of ``(kind, cluster_id, code, n)``, summed by task first."""
     total = T.StructType([T.StructField("kind", T.StringType()), T.StructField("cluster_id", T.StringType()), T.StructField("size", T.LongType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
 
     def add(kinds, ids, values, weights) -> pa.RecordBatch:
@@ -254,14 +303,34 @@ def describe(clusters: DataFrame, rows: DataFrame, dim: int, typical: int = TYPI
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield add(b.column(0).to_pylist(), b.column(1).to_pylist(), unit(matrix(b.column(2), dim))[0], np.ones(b.num_rows))
+                n = b.column(3).to_numpy()
+                yield add(b.column(0).to_pylist(), b.column(1).to_pylist(), unit(_from_bytes(b.column(2), dim))[0] * n[:, None], n)
 
     def whole(t: pa.Table) -> pa.Table:
         b = t.combine_chunks()
         values = b["total"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         return pa.Table.from_batches([add(b["kind"].to_pylist(), b["cluster_id"].to_pylist(), values, b["size"].to_numpy())])
 
-    sums = vecs.select("kind", "cluster_id", "vec").mapInArrow(partial, total).groupBy("kind", "cluster_id").applyInArrow(whole, total)
+    return vecs.select("kind", "cluster_id", "code", "n").mapInArrow(partial, total).groupBy("kind", "cluster_id").applyInArrow(whole, total)
+
+
+def describe(clusters: DataFrame, rows: DataFrame, dim: int, typical: int = TYPICAL) -> DataFrame:
+    """``(kind, cluster_id, size, members, cohesion)`` of each cluster: its size, its most typical members and the mean
+    cosine of its members with the others.
+
+    clusters: ``(kind, id, cluster_id)``. Most typical is the member with the largest mean cosine to the others, the
+    medoid; sums of vectors are made by task first, so a cluster of any size is never gathered.
+    """
+    vecs = rows.dropDuplicates(["kind", "id"]).join(clusters.select("kind", "id", "cluster_id"), ["kind", "id"])
+    vecs = cut(vecs)
+    packed = T.StructType([T.StructField("kind", T.StringType()), T.StructField("cluster_id", T.StringType()), T.StructField("code", T.BinaryType()), T.StructField("n", T.LongType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = pa.array([r.tobytes() for r in matrix(b.column(2), dim).astype("<f4")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), code, pa.array(np.ones(b.num_rows, dtype=np.int64))], names=packed.names)
+
+    sums = _sums(vecs.select("kind", "cluster_id", "vec").mapInArrow(pack, packed), dim)
     scored = T.StructType([*[T.StructField(c, T.StringType()) for c in ("kind", "cluster_id", "id")], T.StructField("size", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

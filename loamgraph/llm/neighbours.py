@@ -6,6 +6,8 @@ scanned for all pairs that meet in a tile, and pairs whose estimate can reach th
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -29,14 +31,14 @@ def _best(ask: np.ndarray, give: np.ndarray, cos: np.ndarray, ask_ids: np.ndarra
     return ask_ids[ask[top]], give_ids[give[top]], cos[top]
 
 
-def _work(index: Index, k: int, threshold: float):
-    slack = index.codes.error
+def _work(index: Index, k: int, threshold: float, exact: bool):
+    slack = 4.0 if exact else index.codes.error  # estimates decide nothing where exact
 
     def work(t: Tile) -> pa.Table:
         from_left, from_right = [], []
         if len(t.left) and len(t.right):
             stored = np.frombuffer(b"".join(t.right.t["code"].to_pylist()), dtype=np.uint8).reshape(len(t.right), -1)
-            centre = index.centres[t.at]
+            centre = index.centre(np.array([t.at]))[0]
             base = t.left.x @ centre
             for block in t.blocks():
                 tables = index.codes.tables(t.left.x[block])
@@ -85,20 +87,23 @@ def _crowds(placed: DataFrame, k: int) -> DataFrame:
     return cut(members.join(last, group).where(F.col("id") > F.col("last")).select("kind", "id", "last"))
 
 
-def nearest(rows: DataFrame, k: int, threshold: float, dim: int, index: Index | None = None) -> DataFrame:
+def nearest(rows: DataFrame, k: int, threshold: float, dim: int, index: Index | None = None, exact: bool = False) -> DataFrame:
     """``(kind, id, other, cosine)``: for each record the k others of its kind with the highest cosine, rounded to 6
     decimals, that reach the threshold; the smaller id first where they are equal.
 
     rows: as made by :func:`vectors.vector_rows`; repeated rows of an id count once, invalid vectors and an empty table
     give nothing. The index is fitted on a bounded sample and holds every record; the answer is approximate only in
     that a pair is missed whose members visit neither the other's cell, or whose estimate is off by more than
-    all but 2 in 1000.
+    all but 2 in 1000. exact: every record visits every cell and every estimate is checked, for tables that all pairs can be
+    worked out of. :func:`vectors.recall` measures what is found.
     """
     index = index or fit(rows, dim, codes_for=threshold)
+    if exact:
+        index = replace(index, margin=4.0)
     placed = place(rows, index)
     crowds = _crowds(placed, k)
     kept = with_rank(placed if crowds is None else placed.join(crowds.select("kind", "id"), ["kind", "id"], "left_anti"))
-    found = over_tiles(kept, index, _work(index, k, threshold), NEIGHBOURS)
+    found = over_tiles(kept, index, _work(index, k, threshold, exact), NEIGHBOURS)
     best = Window.partitionBy("kind", "id").orderBy(F.col("cosine").desc(), "other")
     top = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
     if crowds is None:

@@ -22,7 +22,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    members = clusters.pivot_clusters(_vectors(spark, d), SIMILAR, DIM)
+    members = clusters.pivot_clusters(_vectors(spark, d), SIMILAR, DIM, rounds=clusters.ROUNDS)
     named = members.groupBy("kind", "pivot").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
     return members.join(named, ["kind", "pivot"])
 

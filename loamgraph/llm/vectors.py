@@ -1,6 +1,8 @@
 """Similar vectors without comparing all of them: cells around centroids, and tiles in which the members of a cell meet.
 
-Centroids are fitted on a bounded sample; every vector is placed. A vector belongs to the cell of its closest centroid
+Centroids are fitted on a bounded sample; every vector is placed. Where there are more vectors than the sample has centroids
+for, each cell is cut again by centroids of the residuals, which all cells share, so that the number of cells grows with the
+data while what is fitted stays bounded. A vector belongs to the cell of its closest centroid
 and visits the cells whose centroid is closer than that less a margin. Two vectors meet in the cell of either that the
 other visits, so a pair is missed only if neither visits the other's. A cell with many rows is cut into tiles
 that other tasks take, so no row is dropped and no task holds a whole crowded cell.
@@ -9,17 +11,17 @@ that other tasks take, so no row is dropped and no task holds a whole crowded ce
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from loamgraph.runtime import cut, parallelism
+from loamgraph.runtime import broadcast_if, cut, parallelism
 
 #: Vectors in the sample on which centroids and codebooks are fitted, about; at most twice as many are read.
 SAMPLE = 16_384
-#: Vectors that a cell holds on average, as long as the sample has eight for each cell.
+#: Vectors that a cell holds on average.
 CELL = 1_500
 #: How much less close than the closest centroid a visited one may be.
 MARGIN = 0.15
@@ -45,12 +47,6 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
-def shortened(x: np.ndarray) -> list[bytes]:
-    """Rows in 16 bits a component, scaled to their largest; as unit vectors they are off by some 1e-5 at most."""
-    most = np.abs(x).max(1, keepdims=True)
-    return [r.tobytes() for r in np.round(x / np.where(most > 0, most, 1) * 32767).astype("<i2")]
-
-
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length 1 in float64, and which of them are valid."""
     y = x.astype(np.float64)
@@ -74,7 +70,7 @@ def sample_units(rows: DataFrame, dim: int, size: int = SAMPLE) -> tuple[np.ndar
 
 
 def centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """Unit centroids by spherical k-means; a centroid without vectors starts anew at one that is far from its own."""
+    """Unit centroids by spherical k-means, at most one for eight vectors; one without vectors starts anew at one that is far from its own."""
     dim = sample.shape[1]
     if len(sample) == 0:
         return np.eye(1, dim, dtype=np.float32)
@@ -154,8 +150,8 @@ class Codes:
         return (codes[:, 0::2] << 4 | codes[:, 1::2]).astype(np.uint8)
 
 
-def fit_codes(sample: np.ndarray, centres: np.ndarray, threshold: float, width: int = 4, rounds: int = 5) -> Codes:
-    """Codebooks that minimise the score-aware loss over a sample of unit vectors."""
+def fit_codes(sample: np.ndarray, centres: np.ndarray, threshold: float, width: int = 4, rounds: int = 5, own: np.ndarray | None = None) -> Codes:
+    """Codebooks that minimise the score-aware loss over a sample of unit vectors; own: the centre of each one's cell, if not the closest."""
     x = sample.astype(np.float32)
     dim = x.shape[1] if len(x) else centres.shape[1]
     if dim % (2 * width):
@@ -165,8 +161,8 @@ def fit_codes(sample: np.ndarray, centres: np.ndarray, threshold: float, width:
     rng = np.random.default_rng(1)
     if len(x) < 32:
         return Codes(rng.normal(0, 0.1, (s, 16, width)).astype(np.float32), eta, 1.0)
-    own = (x @ centres.T).argmax(1)
-    r = x - centres[own]
+    own = centres[(x @ centres.T).argmax(1)] if own is None else own.astype(np.float32)
+    r = x - own
     rs, xs = r.reshape(-1, s, width), x.reshape(-1, s, width)
     code = Codes(np.stack([rs[rng.choice(len(x), 16, replace=len(x) < 16), j] for j in range(s)]).astype(np.float32), eta)
     for _ in range(rounds):
@@ -183,7 +179,7 @@ def fit_codes(sample: np.ndarray, centres: np.ndarray, threshold: float, width:
             held = np.bincount(got[:, j], minlength=16) > 0
             code.books[j][held] = np.linalg.solve(a[held] + 1e-6 * np.eye(width), b[held][:, :, None])[:, :, 0]
             e[:, j] = rs[:, j] - code.books[j][got[:, j]]
-    got = code.decode(code.encode(x, r)) + centres[own]
+    got = code.decode(code.encode(x, r)) + own
     near = []
     for i in range(0, len(x), 1024):
         true = x[i : i + 1024] @ x.T
@@ -196,20 +192,74 @@ def fit_codes(sample: np.ndarray, centres: np.ndarray, threshold: float, width:
 
 @dataclass
 class Index:
-    """What is fitted: centroids and, where asked for, codes."""
+    """What is fitted: centroids, the finer ones by which each cell is cut where there are any, and codes where asked for.
+
+    Cell ``c * k + j`` of k finer centroids has the direction of centroid c plus finer centroid j.
+    """
 
     dim: int
     centres: np.ndarray
     margin: float = MARGIN
     codes: Codes | None = None
-    extra: dict = field(default_factory=dict)
+    finer: np.ndarray | None = None
+
+    def centre(self, cells: np.ndarray) -> np.ndarray:
+        """Unit centres of cells."""
+        if self.finer is None:
+            return self.centres[cells]
+        k = len(self.finer)
+        c = self.centres[cells // k] + self.finer[cells % k]
+        return c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-9)
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each unit vector; and rows and cells of the others that it visits, in order of the row."""
+        s = x @ self.centres.T
+        seen = s >= (s.max(1) - self.margin)[:, None]
+        if self.finer is None:
+            own = s.argmax(1)
+            seen[np.arange(len(x)), own] = False
+            return own, *np.nonzero(seen)
+        k, fine = len(self.finer), x @ self.finer.T
+        cross = self.centres @ self.finer.T
+        norm = np.sqrt(np.maximum(1 + 2 * cross + (self.finer**2).sum(1), 1e-9))
+        own, who, where = np.empty(len(x), dtype=np.int64), [], []
+        for i in range(len(x)):
+            c = np.flatnonzero(seen[i])
+            t = (s[i, c, None] + fine[i]) / norm[c]
+            best = int(t.argmax())
+            own[i] = c[best // k] * k + best % k
+            a, b = np.nonzero(t >= t.flat[best] - self.margin)
+            near = c[a] * k + b
+            near = near[near != own[i]]
+            who.append(np.full(len(near), i))
+            where.append(near)
+        none = np.empty(0, dtype=np.int64)
+        return own, np.concatenate([none, *who]), np.concatenate([none, *where])
 
 
 def fit(rows: DataFrame, dim: int, codes_for: float | None = None, cell: int = CELL, sample: int = SAMPLE, margin: float = MARGIN) -> Index:
     """An index over ``rows (kind, id, vec)``; codes_for: the least similarity that the codes are made for."""
     x, n = sample_units(rows, dim, sample)
-    c = centroids(x, -(-n // cell))
-    return Index(dim, c, margin, fit_codes(x, c, codes_for) if codes_for is not None else None)
+    wanted = -(-n // cell)
+    index = Index(dim, centroids(x, wanted), margin)
+    if wanted > len(index.centres) and len(x) >= 16:
+        left = (x - index.centres[(x @ index.centres.T).argmax(1)]).astype(np.float32)
+        index.finer = _plain_centroids(left, -(-wanted // len(index.centres)))
+    if codes_for is not None:
+        index.codes = fit_codes(x, index.centres, codes_for, own=index.centre(index.cells(x.astype(np.float32))[0]))
+    return index
+
+
+def _plain_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Means of x by k-means, at most one for eight rows."""
+    k = max(1, min(k, len(x) // 8))
+    c = x[np.random.default_rng(2).choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        own = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+        total, n = np.zeros(c.shape), np.bincount(own, minlength=k)
+        np.add.at(total, own, x)
+        c[n > 0] = (total[n > 0] / n[n > 0, None]).astype(np.float32)
+    return c
 
 
 PLACED = T.StructType(
@@ -224,40 +274,35 @@ PLACED = T.StructType(
 )
 
 
-def place(rows: DataFrame, index: Index, short: bool = False) -> DataFrame:
+def place(rows: DataFrame, index: Index, packed: bool = False) -> DataFrame:
     """Valid rows with their cell, the other cells they visit and their code; written to the shared folder.
 
-    short: keep the vectors in 16 bits a component, as the code, and one row an id, lying by kind and id.
+    packed: the bytes of the vector in the place of the code, and one row an id, lying by kind and id.
     """
     held = rows.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for b in batches:
-            x, ok = unit(matrix(b.column(2), ix.dim))
+            raw = matrix(b.column(2), ix.dim)
+            x, ok = unit(raw)
             x = x[ok].astype(np.float32)
             kept = b.filter(pa.array(ok))
             if kept.num_rows == 0:
                 continue
-            s = x @ ix.centres.T
-            cell = s.argmax(1)
-            best = s[np.arange(len(x)), cell]
-            seen = s >= (best - ix.margin)[:, None]
-            seen[np.arange(len(x)), cell] = False
-            who, where = np.nonzero(seen)
+            cell, who, where = ix.cells(x)
             visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(x) + 1)), pa.int32()), pa.array(where, pa.int32()))
             vec = kept.column(2)
-            if short:
-                vec, code = pa.nulls(len(x), pa.list_(pa.float32())), pa.array(shortened(x), pa.binary())
+            if packed:
+                vec, code = pa.nulls(len(x), pa.list_(pa.float32())), pa.array([r.tobytes() for r in raw[ok].astype("<f4")], pa.binary())
             elif ix.codes is None:
                 code = pa.nulls(len(x), pa.binary())
             else:
-                packed = Codes.packed(ix.codes.encode(x, x - ix.centres[cell]))
-                code = pa.array([p.tobytes() for p in packed], pa.binary())
+                code = pa.array([p.tobytes() for p in Codes.packed(ix.codes.encode(x, x - ix.centre(cell)))], pa.binary())
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), vec, pa.array(cell, pa.int32()), visits, code], names=PLACED.names)
 
     placed = rows.mapInArrow(run, PLACED)
-    if short:
+    if packed:
         n = max(parallelism(rows.sparkSession), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         placed = placed.repartition(n, "kind", "id").dropDuplicates(["kind", "id"])
     return cut(placed)
@@ -274,9 +319,9 @@ def tiles(placed: DataFrame, tile: int = TILE) -> DataFrame:
     load = both.groupBy("kind", "at").agg(
         F.ceil(F.count("*") / tile).cast("int").alias("ni"), F.greatest(F.ceil(F.sum((F.col("at") == F.col("cell")).cast("int")) / tile), F.lit(1)).cast("int").alias("nj")
     )
-    load = cut(load)  # as many rows as cells, which the sample bounds
-    n_tiles = load.agg(F.coalesce(F.sum(F.col("ni") * F.col("nj")), F.lit(1)).alias("n")).head().n
-    spread = placed.withColumn("at", F.explode(F.concat(F.array("cell"), "visits"))).join(F.broadcast(load), ["kind", "at"])
+    load = cut(load)
+    n_tiles, n_cells = load.agg(F.coalesce(F.sum(F.col("ni") * F.col("nj")), F.lit(1)), F.count("*")).head()
+    spread = placed.withColumn("at", F.explode(F.concat(F.array("cell"), "visits"))).join(broadcast_if(load, n_cells), ["kind", "at"])
     # only members are asked which cells they visit
     spread = spread.withColumn("visits", F.when(F.col("at") == F.col("cell"), F.col("visits")).otherwise(F.array().cast("array<int>")))
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n).cast("long")).cast("int")
@@ -306,7 +351,7 @@ class Side:
         self.t = t.take(pa.array(order, pa.int64()))
         self.h, self.ids = h[order], ids[order]
         if self.t["vec"].null_count and self.t["vec"].null_count == len(self.t):
-            raw = np.frombuffer(b"".join(self.t["code"].to_pylist()), dtype="<i2").reshape(-1, index.dim).astype(np.float32)
+            raw = np.frombuffer(b"".join(self.t["code"].to_pylist()), dtype="<f4").reshape(-1, index.dim)
         else:
             raw = matrix(self.t["vec"], index.dim)
         self.x64, _ = unit(raw)
@@ -388,3 +433,34 @@ def with_rank(placed: DataFrame) -> DataFrame:
 
 def empty_placed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], PLACED)
+
+
+def recall(found: DataFrame, rows: DataFrame, k: int, threshold: float, dim: int, queries: int = 500) -> float:
+    """Share of the true neighbours that ``found (kind, id, other)`` has, of about ``queries`` records chosen by a hash of the id.
+
+    The truth is by brute force: the bounded queries are broadcast and compared with every row of their kind, a block at a time.
+    1.0 where no query has a neighbour.
+    """
+    n = max(1, rows.count())
+    asked = rows.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 20)) < F.lit(int(min(1.0, queries / n) * (1 << 20)) + 1)).limit(4 * queries).toArrow()
+    if asked.num_rows == 0:
+        return 1.0
+    q, ok = unit(matrix(asked["vec"], dim))
+    kinds, ids = (np.array(asked[c].to_pylist(), dtype=object)[ok] for c in ("kind", "id"))
+    q = q[ok]
+    held = rows.sparkSession.sparkContext.broadcast((q, kinds, ids))
+    schema = "kind string, id string, other string, cosine double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, kinds, ids = held.value
+        for b in batches:
+            x, ok = unit(matrix(b.column(2), dim))
+            other, kind = np.array(b.column(1).to_pylist(), dtype=object), np.array(b.column(0).to_pylist(), dtype=object)
+            s = np.round(q @ x.T, 6)
+            i, j = np.nonzero((s >= threshold) & ok[None, :] & (kinds[:, None] == kind[None, :]) & (ids[:, None] != other[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(kinds[i]), pa.string()), pa.array(list(ids[i]), pa.string()), pa.array(list(other[j]), pa.string()), pa.array(s[i, j])], names=["kind", "id", "other", "cosine"])
+
+    best = Window.partitionBy("kind", "id").orderBy(F.col("cosine").desc(), "other")
+    true = rows.select("kind", "id", "vec").mapInArrow(run, schema).distinct().withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+    got = true.join(found.select("kind", "id", "other", F.lit(1).alias("hit")), ["kind", "id", "other"], "left").agg(F.count("*"), F.count("hit")).head()
+    return got[1] / got[0] if got[0] else 1.0

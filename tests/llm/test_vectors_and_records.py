@@ -93,6 +93,41 @@ def test_pivots_are_those_of_the_sequential_algorithm(spark):
     assert got == set(pivots) - lonely
 
 
+def test_members_move_to_the_closest_medoid(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"v{k:03d}", list(map(float, v.astype(np.float32)))) for k, v in enumerate(rng.normal(size=(90, 3)))]
+    rows += [(f"w{k}", rows[k][1]) for k in range(5)]  # copies
+    df = vectors.vector_rows(_table(spark, rows), "id", "embedding", 3, "k")
+    _, close, ids = _brute(rows, 1, 0.9)
+    x = np.array([v for _, v in sorted(rows)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    at = {i: k for k, i in enumerate(ids)}
+    exact = vectors.fit(df, 3, cell=1000)
+
+    def spread(rounds):
+        got = {r["id"]: r["pivot"] for r in clusters.pivot_clusters(df, 0.9, 3, exact, rounds).collect()}
+        assert all(i == p or close[at[i], at[p]] for i, p in got.items())
+        return got, sum(float(x[at[i]] @ x[at[p]]) for i, p in got.items())
+
+    first, before = spread(0)
+    last, after = spread(4)
+    assert set(first) == set(last) and after > before and set(last.values()) != set(first.values())
+
+
+def test_cells_grow_beyond_the_sample_and_recall_is_measured(spark):
+    rng = np.random.default_rng(7)
+    rows = _records(rng, [5] * 24, 60)
+    df = vectors.vector_rows(_table(spark, rows), "id", "embedding", DIM, "k")
+    index = vectors.fit(df, DIM, codes_for=0.9, cell=6, sample=60, margin=0.3)  # wide, for so few dimensions
+    assert index.finer is not None and len(index.centres) * len(index.finer) >= 30
+    found = neighbours.nearest(df, 5, 0.9, DIM, index)
+    assert vectors.recall(found, df, 5, 0.9, DIM, 100) >= 0.99
+    assert vectors.recall(found.where("id < 'g04'"), df, 5, 0.9, DIM, 10_000) < 0.5
+    whole = neighbours.nearest(df, 5, 0.9, DIM, index, exact=True)
+    near, _, _ = _brute(rows, 5, 0.9)
+    assert {tuple(r)[1:] for r in neighbours.pairs(whole).collect()} == near
+
+
 def test_cluster_description(spark):
     rng = np.random.default_rng(2)
     rows = _records(rng, [6, 4], 0)
