@@ -11,11 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamgraph.runtime import cut
+from loamgraph.runtime import broadcast_if, cut, parallelism
 
 #: Parents in a range and references in a task, at most about.
 RANGE_KEYS = 100_000
 TASK_REFS = 200_000
+#: Partitions for each core at most; beyond them a partition holds several groups, which its task takes one by one.
+TASKS_A_CORE = 64
 MISS_SCHEMA = T.StructType(
     [
         T.StructField("ref_field", T.StringType()),
@@ -64,13 +66,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame, range_keys: int = RAN
     load = ref_r.groupBy("parent", "range").agg((F.floor(F.count("*") / task_refs) + 1).cast("int").alias("salts"))
     # one row a range and parent table: about as many as tasks
     load = cut(load)
-    ref_s = ref_r.join(F.broadcast(load), ["parent", "range"]).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.col("salts").cast("long")))
-    parent_s = parent_r.join(F.broadcast(load), ["parent", "range"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
+    groups = load.agg(F.count("*").alias("ranges"), F.coalesce(F.sum("salts"), F.lit(1)).alias("tasks")).head()
+    told = broadcast_if(load, groups["ranges"])
+    ref_s = ref_r.join(told, ["parent", "range"]).withColumn("salt", F.pmod(F.xxhash64("record_id", "ref_id"), F.col("salts").cast("long")))
+    parent_s = parent_r.join(told, ["parent", "range"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
     group = ["parent", "range", "salt"]
+    # a task holds one group at a time; without a number of partitions of their own, small ones would be merged as the data grow
+    n = int(min(groups["tasks"], TASKS_A_CORE * parallelism(spark)))
     return (
         ref_s.select(*group, "h", "ref_field", "record_id", "ref_id", "created_at")
+        .repartition(n, *group)
         .groupBy(*group)
-        .cogroup(parent_s.select(*group, "h", "key").groupBy(*group))
+        .cogroup(parent_s.select(*group, "h", "key").repartition(n, *group).groupBy(*group))
         .applyInArrow(_probe, MISS_SCHEMA)
     )
 

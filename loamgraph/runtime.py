@@ -6,10 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The scope of rows without a user.
 ZERO_SCOPE = "00000000-0000-0000-0000-000000000000"
+#: Rows of a narrow table up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="loamgraph-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -41,7 +45,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 
-    Unlike a cache this survives the loss of executors, and the lineage starts anew.
+    Unlike a cache this survives the loss of executors, and the lineage starts anew. The files go once nothing refers to them
+    where the session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``; else they stay until the folder is removed.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,6 +59,11 @@ def parallelism(spark: SparkSession, least: int = 1) -> int:
     return max(least, spark.sparkContext.defaultParallelism)
 
 
+def broadcast_if(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a narrow table of so many rows, to be broadcast if these are few; else a join with it shuffles."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with as many underscores as it needs to be no column of ``df`` yet."""
     taken = {c.lower() for c in df.columns}
