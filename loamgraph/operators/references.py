@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from loamgraph.runtime import broadcast_if, cut, parallelism
 
 #: Parents in a range and references in a task, at most about.
-RANGE_KEYS = 100_000
-TASK_REFS = 200_000
+RANGE_KEYS = 40_000
+TASK_REFS = 40_000
 #: Partitions for each core at most; beyond them a partition holds several groups, which its task takes one by one.
 TASKS_A_CORE = 64
 MISS_SCHEMA = T.StructType(
