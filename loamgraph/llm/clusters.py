@@ -241,6 +241,7 @@ def _moved(labels: DataFrame, plain: DataFrame, index: Index, threshold: float,
     loose = labels.where(~F.col("isolated")).select("kind", "id", "pivot")
     if loose.where(F.col("id") != F.col("pivot")).isEmpty():
         return labels
+    plain = cut(plain.join(loose.select("kind", "id"), ["kind", "id"], "left_semi"))  # the rest takes no part in any round
     centres = loose.select("kind", "pivot", F.col("pivot").alias("centre")).distinct()
     for round_ in range(rounds + 1):
         if round_:
