@@ -197,7 +197,7 @@ SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (k, s)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.garbled_texts(table(spark, d, "documents")).select("doc_id")
+    return encoding.garbled_ids(table(spark, d, "documents"))
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:

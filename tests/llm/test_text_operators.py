@@ -122,6 +122,42 @@ def test_garbled_table(spark):
     assert encoding.garbled_texts(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize(
+    ("text", "written", "read"),
+    [
+        ("Привет мир", "cp1251", "latin-1"), ("Заметка о сне", "cp1251", "latin-1"), ("한국어 텍스트", "euc-kr", "latin-1"), ("これは日本語です", "shift-jis", "latin-1"), ("これは日本語です", "shift-jis", "cp1252"),
+        ("今天的会议记录", "gbk", "latin-1"), ("lição de atenção, intenção, canção, nação", "utf-8", "latin-1"),
+    ],
+)
+def test_short_texts_of_many_character_sets(text, written, read):
+    assert encoding.examine(text.encode(written).decode(read))[:2] == (True, text)
+    assert encoding.examine(text.encode(written).decode(read), restore=False)[0]
+
+
+def test_text_garbled_many_times_over_and_behind_escapes():
+    text = "Ein Café für Jürgen, schöne Grüße"
+    for times in range(1, 8):
+        bad = text
+        for _ in range(times):
+            bad = bad.encode("utf-8").decode("latin-1")
+        assert encoding.examine(bad)[:2] == (True, text), times
+    assert encoding.examine("caf&Atilde;&copy; au lait &Atilde;&nbsp; Paris")[:2] == (True, "café au lait à Paris")
+    for sound in ("Tom &amp; Jerry, caf&eacute; &eacute;t&eacute;", "créée à l'été", "Việt Nam người được", "þórður ðað", "│ имя │ тип │", "a &lt; b"):
+        assert encoding.examine(sound) == (False, sound, [])
+
+
+def test_patience_finds_what_the_exact_search_finds():
+    for bad in ("Ð£Ñ‚Ñ€Ð¾ Ð¸ Ð²ÐµÑ‡ÐµÑ€", "Schöne GrÃ¼ÃŸe", "C'est trÃ¨s bien, d'accord", "½ñÌìµÄ»áÒé¼ÇÂ¼"):
+        assert encoding.search(bad) == encoding.search(bad, patience=None)
+
+
+def test_detection_alone_gives_the_rows_of_the_restoration(spark):
+    rows = [(1, "Schöne GrÃ¼ÃŸe aus MÃ¼nchen"), (2, "plain"), (3, None), (4, ""), (5, "d\ufffdj\ufffd vu"), (1, "Schöne GrÃ¼ÃŸe aus MÃ¼nchen"), (6, "caf&Atilde;&copy; cr&Atilde;&uml;me")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("restored", F.lit("x"))
+    assert sorted(r[0] for r in encoding.garbled_ids(df).collect()) == sorted(r["doc_id"] for r in encoding.garbled_texts(df).collect()) == [1, 1, 5, 6]
+
+
+
 # ---- leakage
 
 ITEM = "Before the ferry crossing Wanucove balanced kiln recipes beside Bevotihu while loom patterns rusted"
