@@ -4,10 +4,15 @@ Emails, phone and identity numbers and street addresses show their type by their
 people is estimated from the corpus. For every term the co-occurrence counts give the information that it carries
 about a person, ``log2 P(person slot | term) / P(person slot)``, and the entropy of what shares the slot with it; a term
 that discloses more than the threshold, in an open slot, is a part of names. Listed names are the seeds.
+
+Other terms may give a person away as well: :func:`disclosing_terms` estimates from the corpus how many bits a term tells about
+a protected entity that it stands beside, and :func:`generalised` takes those out that exceed the threshold of the entity's type.
+A shape cannot be told by co-occurrence, since most numbers and addresses occur once; that is why those types are matched.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import math
 import re
@@ -18,7 +23,7 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamgraph.runtime import cut, free_name
+from loamgraph.runtime import broadcast_if, cut, free_name
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Bits about a person from which a term counts as a part of names.
@@ -35,6 +40,11 @@ DISCLOSURE_HAN, OPEN_BITS_HAN = 1.0, 3.2
 BROADCAST_WORDS = 200_000
 #: Times that a term is seen at least.
 LEAST_SEEN = 3
+#: Bits about an entity from which a term beside it gives it away, by the entity's type, and the share of all that there is to tell.
+REVEALING = {"email": 6.0, "phone": 6.0, "id_number": 6.0, "address": 6.0, "name": 6.0}
+REVEALING_SHARE = 0.5
+#: Terms on either side of an entity that are looked at.
+WINDOW = 12
 
 # Common given names, beside those listed with the data.
 GIVEN = """James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul
@@ -52,11 +62,13 @@ PLAIN = set("""is was has had said says and or will would can could should asked
 not did does do gets got made makes told knows et est a dit und ist hat war mit von sagt sagte der die das y e o es ha dijo que del de da do em""".split())
 
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-_WORD = rf"[{_UPPER}](?:[{_UPPER}{_LOWER}]|['’-](?=[{_UPPER}{_LOWER}]))+"
-_NO = "A-Za-zÀ-ÖØ-öø-ÿ0-9_"
+# letters of names: Latin and Cyrillic
+_UP, _LOW = _UPPER + "А-ЯЁ", _LOWER + "а-яё"
+_WORD = rf"[{_UP}](?:[{_UP}{_LOW}]|['’-](?=[{_UP}{_LOW}]))+"
+_NO = "A-Za-zÀ-ÖØ-öø-ÿА-яЁё0-9_"
 _CAP = re.compile(rf"(?<![{_NO}@.+-]){_WORD}(?![{_NO}@])")
 _HAN = re.compile("[㐀-鿿]+")
-_WORDS = re.compile(rf"[{_UPPER}{_LOWER}]+(?:['’-][{_UPPER}{_LOWER}]+)*")
+_WORDS = re.compile(rf"[{_UP}{_LOW}]+(?:['’-][{_UP}{_LOW}]+)*")
 _TITLE_WORDS = frozenset(t.lower() for t in TITLES)
 
 
@@ -80,11 +92,12 @@ _ADDRESS = [
         rf"\s\d{{1,4}}(?:\s?[a-z](?!\w))?(?![\d.:]*\d)(?:,?\s(?:[A-Z]-?)?\d{{4,5}}\s[{_UPPER}][\wäöüß-]+)?"
     ),
     re.compile(
-        rf"(?<![\w.-])\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-d])(?!\w))?,?\s(?:rue|avenue|av\.|boulevard|bd|impasse|allée|place|chemin|quai|cours|square|route|passage|ruelle|sentier|faubourg)\s(?:d[eu]\s|des\s|de\sla\s|de\sl[’']|d[’']|du\s|la\s|le\s|les\s)?(?:[{_UPPER}][\w’'-]*)(?:\s(?:d[eu]|des|la|le|les|l[’'])?\s?[{_UPPER}][\w’'-]*)*"
+        rf"(?<![\w.-])\d{{1,4}}(?:\s?(?:bis|ter|quater|[a-d])(?!\w))?,?\s(?:[Rr]ue|[Aa]venue|[Aa]v\.|[Bb]oulevard|[Bb]d|[Ii]mpasse|[Aa]llée|[Pp]lace|[Cc]hemin|[Qq]uai|[Cc]ours|[Ss]quare|[Rr]oute|[Pp]assage|[Rr]uelle|[Ss]entier|[Ff]aubourg)\s(?:d[eu]\s|des\s|de\sla\s|de\sl[’']|d[’']|du\s|la\s|le\s|les\s)?(?:[{_UPPER}][\w’'-]*)(?:\s(?:d[eu]|des|la|le|les|l[’'])?\s?[{_UPPER}][\w’'-]*)*"
         rf"(?:,\s(?:bât|bat|apt|appt|esc|étage)\.?\s?\w{{1,4}})*(?:,\s\d{{5}}\s[{_UPPER}][\w’'-]+)?"
     ),
     re.compile(rf"(?<!\w)(?:[Cc]alle|C/|[Aa]venida|[Aa]v\.|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]arrera|[Cc]amino|[Rr]ua|[Tt]ravessa|[Ll]argo|[Pp]raça|[Aa]lameda)\s(?:(?:del?|de\sla|de\slos|das?|dos?)\s)?[{_UPPER}][\w’'-]*(?:\s(?:(?:del?|la|los|das?|dos?)\s)?[{_UPPER}][\w’'-]*)*,?\s(?:n\.?[ºo°]\s?)?\d{{1,4}}(?:,\s\d{{4,5}}(?:-\d{{3}})?\s[{_UPPER}][\w’'-]+)?"),
     re.compile(r"(?<!\w)(?:ул\.|улица|улице|улицу|просп\.|проспект|проспекте|пер\.|переулок|бульвар|б-р|наб\.|набережная|площадь|шоссе)\s[А-ЯЁ][\w-]*(?:\s[А-ЯЁ][\w-]*)*,?\s(?:д\.|дом)?\s?\d{1,4}\s?[а-яА-Я]?(?!\w)(?:,\s(?:корп|к|кв|стр)\.?\s?\d+)*"),
+    re.compile(rf"(?<!\w)(?:Via|Viale|Piazza|Corso|Vicolo)\s(?:[a-z]{{1,5}}\s|dell[’'])*[{_UPPER}][\w’'-]*(?:\s[{_UPPER}][\w’'-]*)*,?\s(?:n\.\s?)?\d{{1,4}}(?:/[a-zA-Z])?,\s(?:\d{{5}}\s)?[{_UPPER}][\w’'-]+"),
 ]
 
 _ID_WORD = r"(?:SSN|social security(?: number| no\.?)?|passport(?: number| no\.?)?|passeport|Reisepass(?:nummer)?|Ausweis(?:nummer|nr\.?)?|Personalausweis(?:nummer)?|Pass(?:nummer|nr\.)|Steuer-?ID|Steuernummer|Sozialversicherungsnummer|tax (?:ID|number|no\.?)|TIN|ITIN|NIN|national ID|ID (?:number|no\.?)|DNI|NIE|NIF|CPF|pasaporte|passaporte|carte d[’']identité|CNI|n° de sécurité sociale|numéro de sécu(?:rité sociale)?|NIR|паспорт|ИНН|СНИЛС|护照(?:号码?)?|身份证(?:号码?)?|证件号码?)"
@@ -125,9 +138,10 @@ _NUMBERED = [
     re.compile(r"[路街巷弄道条村同]\s?\d"),
     re.compile(r"\d[A-Za-z]?\s[A-ZÀ-ÖØ-Þ]"),
     re.compile(r"[\w.-]\s\d"),
-    re.compile(r"\d(?:\s?[a-z]{1,6})?,?\s(?:rue|av|bo|bd|imp|all|pl|ch|qu|co|sq|ro|pa|ru|se|fa)"),
+    re.compile(r"\d(?:\s?[a-z]{1,6})?,?\s(?:[Rr]u|[Aa]v|[Bb]o|[Bb]d|[Ii]mp|[Aa]ll|[Pp]l|[Cc]h|[Qq]u|[Cc]o|[Ss]q|[Rr]o|[Pp]a|[Ss]e|[Ff]a)"),
     re.compile(r"[\w’'-],?\s(?:n\.?[ºo°]\s?)?\d"),
     re.compile(r"[\w.-],?\s?(?:д\.|дом)?\s?\d"),
+    re.compile(r"(?:Vi|Pi|Co)\w+\s[\w’' ]+,?\s(?:n\.\s?)?\d"),
 ]
 
 
@@ -190,7 +204,7 @@ def shapes(text: str) -> tuple[list[tuple[int, int, str]], str]:
 
 @dataclass
 class Names:
-    """Parts of names: given names in lower case, family characters and given characters of Han names.
+    """Parts of names: given names in lower case, family names and given characters of Han names.
 
     more: ``(word)``, further given names, in lower case, where they are too many to hold.
     """
@@ -203,12 +217,13 @@ class Names:
     def __post_init__(self):
         titles = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
         sur = rf"(?:(?:von|van|de|del|della|di|da|dos|du|le|la)\s)*{_WORD}"
-        self.titled = re.compile(rf"(?<![{_NO}@])(?:(?:{titles})\.?\s)+(?P<rest>(?:{_WORD}\s)?(?:[{_UPPER}]\.\s)*{sur})")
-        any_word = rf"[{_UPPER}{_LOWER}](?:[{_UPPER}{_LOWER}]|['’-](?=[{_UPPER}{_LOWER}]))+"
-        self.pair = re.compile(rf"(?<![{_NO}@.+-])(?P<g>{any_word})\s(?:(?P<i>[{_UPPER}{_LOWER}]\.?)\s){{0,2}}(?P<s>{any_word})(?![{_NO}@])")
-        self.turned = re.compile(rf"(?<![{_NO}@.+-])(?P<s>{any_word}),\s(?P<g>{any_word})(?:\s[{_UPPER}]\.)?(?![{_NO}@])")
-        fam, giv = "".join(sorted(self.family)), "".join(sorted(self.given_han))
-        self.han = re.compile(f"[{fam}](?:[{giv}]{{1,2}}(?:{TITLES_ZH})?|(?:{TITLES_ZH}))" if giv else f"[{fam}](?:{TITLES_ZH})") if fam else None
+        self.titled = re.compile(rf"(?<![{_NO}@])(?:(?:{titles})\.?\s)+(?P<rest>(?:{_WORD}\s)?(?:[{_UP}]\.\s)*{sur})")
+        any_word = rf"[{_UP}{_LOW}](?:[{_UP}{_LOW}]|['’-](?=[{_UP}{_LOW}]))+"
+        self.pair = re.compile(rf"(?<![{_NO}@.+-])(?P<g>{any_word})\s(?:(?P<i>[{_UP}{_LOW}]\.?)\s){{0,2}}(?P<s>{any_word})(?![{_NO}@])")
+        self.turned = re.compile(rf"(?<![{_NO}@.+-])(?P<s>{any_word}),\s(?P<g>{any_word})(?:\s[{_UP}]\.)?(?![{_NO}@])")
+        single, giv = "".join(sorted(f for f in self.family if len(f) == 1)), "".join(sorted(self.given_han))
+        fam = "|".join([*sorted((f for f in self.family if len(f) > 1), key=lambda f: (-len(f), f)), *[f"[{single}]"] * bool(single)])
+        self.han = re.compile(f"(?:{fam})(?:[{giv}]{{1,2}}(?:{TITLES_ZH})?|(?:{TITLES_ZH}))" if giv else f"(?:{fam})(?:{TITLES_ZH})") if fam else None
 
     def is_given(self, w: str, also: frozenset[str] = frozenset()) -> bool:
         return w.lower() in self.given or w.lower() in also
@@ -248,20 +263,25 @@ class Names:
 def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> Names:
     """Parts of names from co-occurrence counts over all texts.
 
-    seeds: ``(name, name_part, lang)`` with name_part 'given' or 'family'; one-character family names are Han. The counts
-    are of terms and pairs of terms; learned words come to the driver up to BROADCAST_WORDS, characters all.
+    seeds: ``(name, name_part, lang)`` with name_part 'given' or 'family'; family names count where they are Han. The counts
+    are of terms and pairs of terms; listed and learned words come to the driver up to BROADCAST_WORDS each, beyond that texts are
+    joined to them; characters come all.
     """
     spark = texts.sparkSession
-    listed = [(r["name"], r["name_part"]) for r in seeds.select("name", "name_part").distinct().limit(100_000).collect() if r["name"]]
-    given = {n.lower() for n, part in listed if part == "given"} | {n.lower() for n in GIVEN}
-    family = {n for n, part in listed if part == "family" and len(n) == 1} | set(FAMILY)
+    listed = seeds.where(F.col("name").isNotNull() & (F.col("name") != "")).select("name", "name_part").distinct()
+    firsts = listed.where("name_part = 'given'").select(F.lower("name").alias("word")).unionByName(spark.createDataFrame([(n.lower(),) for n in GIVEN], "word string")).distinct()
+    firsts = cut(firsts)
+    n_firsts = firsts.count()
+    few = n_firsts <= BROADCAST_WORDS
+    given = {r["word"] for r in firsts.collect()} if few else set()
+    # Han family names have one or two characters, so their number is bounded
+    family = {r["name"] for r in listed.where(F.col("name").rlike("^[㐀-鿿]{1,2}$") & (F.col("name_part") == "family")).select("name").collect()} | set(FAMILY)
     counts = T.StructType([T.StructField("what", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.LongType())])
-    known = spark.sparkContext.broadcast((given, family))
+    known = spark.sparkContext.broadcast(family)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, fam = known.value
         c: Counter = Counter()
-        follows = re.compile(f"(?=([{''.join(sorted(fam))}])(?!{TITLES_ZH})([㐀-鿿]))")
+        follows = re.compile(f"(?=({'|'.join(sorted(known.value, key=lambda f: (-len(f), f)))})(?!{TITLES_ZH})([㐀-鿿]))")
 
         def rows() -> pa.RecordBatch:
             keys = list(c)
@@ -278,7 +298,7 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
                     w = m.group()
                     between = text[end : m.start()] if last else ""
                     c["word", w, ""] += 1
-                    if last and (between == " " or re.fullmatch(rf" [{_UPPER}]\. ", between)):
+                    if last and (between == " " or re.fullmatch(rf" [{_UP}]\. ", between)):
                         c["next", last, w] += 1
                     last, end = w, m.end()
                 for ch in _HAN.findall(text):
@@ -292,7 +312,7 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
             yield rows()
 
     table = texts.select(text_col).mapInArrow(count, counts).groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    table = table.persist()
+    table = cut(table)
     total = {r["what"]: (r["n"], r["k"]) for r in table.groupBy("what").agg(F.sum("n").alias("n"), F.countDistinct("b").alias("k")).collect()}
     log2 = lambda c: F.log(c) / F.log(F.lit(2.0))
 
@@ -300,7 +320,9 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
         """Per term: times in the slot, entropy of the other word, times at all."""
         s = table.where(F.col("what") == what)
         n = F.sum("n")
-        seed = F.sum(F.when(F.lower("b").isin(sorted(given)), F.col("n")).otherwise(0)) if what == "next" else F.lit(0)
+        if what == "next":
+            s = s.withColumn("word", F.lower("b")).join(broadcast_if(firsts.withColumn("seed", F.lit(True)), n_firsts), "word", "left")
+        seed = F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) if what == "next" else F.lit(0)
         e = s.groupBy("a").agg(n.alias("n"), (log2(n) - F.sum(F.col("n") * log2("n")) / n).alias("bits"), (seed / n).alias("seeds"))
         return e.where(F.col("n") >= LEAST_SEEN).join(table.where(F.col("what") == all_of).select("a", F.col("n").alias("times")), "a")
 
@@ -320,13 +342,14 @@ def learn_names(texts: DataFrame, seeds: DataFrame, text_col: str = "text") -> N
         words = [r["word"] for r in kept.limit(BROADCAST_WORDS + 1).collect()]
         if len(words) > BROADCAST_WORDS:
             words, more = [], cut(kept)
+    if not few:
+        more = firsts if more is None else cut(firsts.union(more).distinct())
     given |= set(words)
     # Han: the character after a family name; the entropy is over family names, which ordinary words don't vary
     base = max(told("han", "char"), 1e-9)
     families = max(1, total.get("han", (0, 1))[1])
     open_slot = F.col("bits") >= F.least(F.lit(min(OPEN_BITS_HAN, 0.8 * math.log2(families))), OPEN * log2(F.col("n")))
     first = {r["a"] for r in slots("han", "char").where((log2(share / F.lit(base)) >= DISCLOSURE_HAN) & open_slot).select("a").collect()}
-    table.unpersist()
     return Names(frozenset(given), frozenset(family), frozenset(first - family), more)
 
 
@@ -418,3 +441,131 @@ def sanitised(df: DataFrame, fields: list[str], names: Names) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+# ---- terms that give an entity away
+
+_TERM = re.compile(r"[^\W\d_]+")
+_OF_WORDS = re.compile("[㐀-鿿]|[぀-ヿ]")
+
+
+def _terms(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, term)``: words of three letters and more in lower case; of Han and kana, neighbouring pairs."""
+    out = []
+    for m in _TERM.finditer(text):
+        if _OF_WORDS.search(m.group()):
+            out += [(i, i + 2, text[i : i + 2]) for i in range(m.start(), m.end() - 1)]
+        elif m.end() - m.start() >= 3:
+            out.append((m.start(), m.end(), m.group().lower()))
+    return out
+
+
+def _beside(text: str, names: Names, also: frozenset[str] = frozenset()) -> tuple[list[str], list[tuple[str, str]], list[tuple[str, str, str, int, int]]]:
+    """Terms of a text, its entities ``(type, spelling)``, and the terms beside each ``(term, type, spelling, start, end)``."""
+    spans = entities(text, names, also)
+    terms = [t for t in _terms(text) if all(t[1] <= a or t[0] >= b for a, b, _ in spans)]
+    starts, near = [t[0] for t in terms], []
+    for a, b, kind in spans:
+        i = bisect.bisect_left(starts, a)
+        near += [(t, kind, text[a:b].lower(), x, y) for x, y, t in terms[max(0, i - WINDOW) : i + WINDOW]]
+    return [t for _, _, t in terms], [(kind, text[a:b].lower()) for a, b, kind in spans], near
+
+
+def disclosing_terms(df: DataFrame, fields: list[str], names: Names, least: int = LEAST_SEEN, revealing: dict[str, float] = REVEALING, share: float = REVEALING_SHARE) -> DataFrame:
+    """``(term, pii_type, entity, n, n_term, n_entity, bits)``: terms that tell which entity they stand beside.
+
+    bits is the pointwise mutual information of term and entity over all texts. A term is told that was seen beside the entity
+    ``least`` times, with at least the bits of the entity's type and ``share`` of the entity's own information. entity is a hash, so that the
+    table gives nothing away. Null and empty texts count as no text; repeated rows count each.
+    """
+    held = df.sparkSession.sparkContext.broadcast(replace(names, more=None))
+    df, own = with_own_names(df, fields, names) if names.more is not None else (df, None)
+    schema = "what string, term string, pii_type string, entity bigint, n bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        c: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys = list(c)
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))] + [pa.array([c[k] for k in keys], pa.int64())], names=["what", "term", "pii_type", "entity", "n"])
+            c.clear()
+            return out
+
+        for b in batches:
+            also = [frozenset(w or ()) for w in b.columns[-1].to_pylist()] if own else [frozenset()] * b.num_rows
+            for k in range(len(fields)):
+                for text, w in zip(b.column(k).to_pylist(), also):
+                    if not text:
+                        continue
+                    terms, found, near = _beside(text, held.value, w)
+                    code = {e: xxhash.xxh64_intdigest("\0".join(e)) - (1 << 63) for e in found}
+                    c["texts", "", "", 0] += 1
+                    c.update(("term", t, "", 0) for t in set(terms))
+                    c.update(("entity", "", e[0], code[e]) for e in set(found))
+                    c.update(("both", t, kind, code[kind, s]) for t, kind, s in {x[:3] for x in near})
+            if len(c) > 200_000:
+                yield rows()
+        if c:
+            yield rows()
+
+    seen = cut(df.select(*fields, *([own] if own else [])).mapInArrow(run, schema).groupBy("what", "term", "pii_type", "entity").agg(F.sum("n").alias("n")))
+    texts = seen.where("what = 'texts'").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    both = seen.where((F.col("what") == "both") & (F.col("n") >= least)).drop("what")
+    both = both.join(seen.where("what = 'term'").select("term", F.col("n").alias("n_term")), "term").join(seen.where("what = 'entity'").select("pii_type", "entity", F.col("n").alias("n_entity")), ["pii_type", "entity"])
+    bits = F.log2(F.col("n") * F.lit(float(max(1, texts))) / (F.col("n_term").cast("double") * F.col("n_entity")))
+    all_of = F.log2(F.lit(float(max(1, texts))) / F.col("n_entity"))
+    wanted = F.coalesce(*[F.when(F.col("pii_type") == t, v) for t, v in revealing.items()], F.lit(float("inf")))
+    out = both.withColumn("bits", F.round(bits, 6)).where((F.col("bits") >= wanted) & (F.col("bits") >= share * all_of))
+    return out.select("term", "pii_type", "entity", "n", "n_term", "n_entity", "bits")
+
+
+def generalised(df: DataFrame, fields: list[str], names: Names, disclosing: DataFrame) -> DataFrame:
+    """``df`` with the texts of ``fields`` sanitised and the terms of ``disclosing (term, entity)`` beside their entity replaced by ``[TERM]``.
+
+    Texts are joined to the terms by what they hold, so there may be any number of them; rows, order of columns and other columns stay.
+    """
+    held = df.sparkSession.sparkContext.broadcast(replace(names, more=None))
+    schema, key, told = df.schema, free_name(df, "_key"), free_name(df, "_told")
+    df, own = with_own_names(df, fields, names) if names.more is not None else (df, None)
+    extra = [own] if own else []
+    keyed = df.withColumn(key, F.xxhash64(*fields))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            also = [frozenset(w or ()) for w in b.columns[-1].to_pylist()] if own else [frozenset()] * b.num_rows
+            rows = set()
+            for k, w, *texts in zip(b.column(0).to_pylist(), also, *(b.column(1 + i).to_pylist() for i in range(len(fields)))):
+                for text in filter(None, texts):
+                    rows |= {(k, t, xxhash.xxh64_intdigest(f"{kind}\0{s}") - (1 << 63)) for t, kind, s, _, _ in _beside(text, held.value, w)[2]}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=[key, "term", "entity"])
+
+    pairs = keyed.select(key, *fields, *extra).mapInArrow(hold, f"{key} bigint, term string, entity bigint").join(disclosing.select("term", "entity").distinct(), ["term", "entity"])
+    keyed = keyed.join(pairs.groupBy(key).agg(F.collect_set("term").alias(told)), key, "left").select(*schema.names, *extra, told)
+    at = {schema.names.index(f) for f in fields}
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            also = [frozenset(w or ()) for w in b.column(len(schema)).to_pylist()] if own else [frozenset()] * b.num_rows
+            gone = [frozenset(w or ()) for w in b.columns[-1].to_pylist()]
+            cols = [pa.array([_general(t, held.value, w, g) for t, w, g in zip(c.to_pylist(), also, gone)], pa.string()) if i in at else c for i, c in enumerate(b.columns[: len(schema)])]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return keyed.mapInArrow(out, schema)
+
+
+def _general(text: str | None, names: Names, also: frozenset[str], gone: frozenset[str]) -> str | None:
+    if not text:
+        return text
+    spans = [(a, b, f"[{kind.upper()}]") for a, b, kind in entities(text, names, also)]
+    for _, _, _, a, b in sorted(x for x in set(_beside(text, names, also)[2]) if x[0] in gone):
+        if all(b <= x or a >= y for x, y, _ in spans):
+            spans.append((a, b, "[TERM]"))
+    out, last = [], 0
+    for a, b, mark in sorted(spans):
+        out += [text[last:a], mark]
+        last = b
+    return "".join(out) + text[last:]

@@ -74,6 +74,13 @@ def p3_sanitised(spark: SparkSession, d: str) -> DataFrame:
     return personal.sanitised(captures, ["content", "note"], _names(captures, spark, d))
 
 
+def p3_disclosing_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that tell of which personal information they stand beside, with the number of such entities and the most bits."""
+    captures = table(spark, d, "captured_info").select("content", "note")
+    found = personal.disclosing_terms(captures, ["content", "note"], _names(captures, spark, d))
+    return found.groupBy("term", "pii_type").agg(F.count("*").alias("n_entities"), F.max("bits").alias("bits"))
+
+
 # ---- p4: variant spellings
 
 
@@ -212,6 +219,7 @@ QUERIES = {
     "p2_canonical_names": p2_canonical_names,
     "p3_found": p3_found,
     "p3_sanitised": p3_sanitised,
+    "p3_disclosing_terms": p3_disclosing_terms,
     "p4_found": p4_found,
     "p4_entities": p4_entities,
     "p5_found": p5_found,

@@ -1,5 +1,8 @@
 """Names learned in large tables, and learned names too many to broadcast."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from loamgraph.llm import personal
@@ -35,3 +38,47 @@ def test_quick_looks_miss_nothing():
     assert [k for *_, k in personal.shapes("Son numéro 2 85 07 2A 123 456 suffit.")[0]] == ["id_number"]
     for at in ("at", "At", "aT", "AT"):
         assert [k for *_, k in personal.shapes(f"Write to jo.doe[{at}]mail.org soon")[0]] == ["email"]
+
+
+NOBODY = personal.Names(frozenset({"иван", "robert"}), frozenset({"欧阳", "王"}), frozenset("娜芳"))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "piece"),
+    [
+        ("Встреча: Иван Петров придёт", "name", "Иван Петров"), ("今天见了欧阳娜娜。", "name", "欧阳娜娜"), ("王芳来了", "name", "王芳"), ("12 Rue de Rivoli", "address", "12 Rue de Rivoli"), ("Ufficio: Via Roma 12, Milano", "address", "Via Roma 12, Milano"),
+        ("12 rue de Rivoli, 75001 Paris", "address", "12 rue de Rivoli, 75001 Paris"),
+    ],
+)
+def test_scripts_and_streets(text, kind, piece):
+    assert [(text[a:b], k) for a, b, k in personal.entities(text, NOBODY)] == [(piece, kind)]
+
+
+def test_words_beside_streets_and_names_are_left_alone():
+    for text in ("Via Zoom 3", "route 66 Diner", "Иван пришёл в 5", "Москва Река"):
+        assert personal.entities(text, NOBODY) == []
+
+
+def test_learned_from_more_listed_names_than_are_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([("Robert Sulipo came",), ("Nikola Sulipo came",), (None,), ("",)], "text string")
+    seeds = spark.createDataFrame([("Nikola", "given", "xx"), ("Vesna", "given", "xx"), ("欧阳", "family", "zh"), (None, "given", None), ("", "family", None)], "name string, name_part string, lang string")
+    few = personal.learn_names(texts, seeds)
+    monkeypatch.setattr(personal, "BROADCAST_WORDS", 1)
+    many = personal.learn_names(texts, seeds)
+    assert few.more is None and many.more is not None and "欧阳" in few.family and "欧阳" in many.family
+    df = texts.withColumn("id", F.monotonically_increasing_id())
+    found = lambda n: sorted(tuple(r)[1:] for r in personal.personal_entities(df, "id", ["text"], n).collect())
+    assert found(few) == found(many) and len(found(few)) == 2
+
+
+def test_disclosing_terms_against_a_recount(spark):
+    names = personal.Names(frozenset({"robert", "maria"}), frozenset(), frozenset())
+    rows = [("The violinist Robert Sulipo played",)] * 4 + [("Robert Sulipo ate soup with the others",)] * 2 + [(f"Maria Kovelo{'abcdefgh'[i]}a ate soup with the others",) for i in range(8)] + [("nobody ate soup",)] * 20 + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "note string").withColumn("term", F.lit("x"))
+    got = {(r["term"], r["pii_type"]): (r["n"], r["n_term"], r["n_entity"], r["bits"]) for r in personal.disclosing_terms(df, ["note"], names, revealing={"name": 2.0}, share=0.8).collect()}
+    bits = round(math.log2(4 * 34 / (4 * 6)), 6)
+    assert got == {("violinist", "name"): (4, 4, 6, bits), ("played", "name"): (4, 4, 6, bits)}
+    told = personal.disclosing_terms(df, ["note"], names, revealing={"name": 2.0}, share=0.8)
+    out = [tuple(r) for r in personal.generalised(df, ["note"], names, told).collect()]
+    assert out.count(("The [TERM] [NAME] [TERM]", "x")) == 4 and out.count(("[NAME] ate soup with the others", "x")) == 10 and out.count((None, "x")) == 1 and len(out) == len(rows)
+    assert personal.disclosing_terms(df.limit(0), ["note"], names).isEmpty()
