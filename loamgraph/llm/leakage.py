@@ -1,23 +1,27 @@
 """Evaluation passages inside a training corpus.
 
 The evaluation items are cut into windows of n normalised words; their set is broadcast and every document is scanned
-once. A window is compared word by word, so a hit is exact. Beyond a stated number of windows the set is not
-broadcast; documents' windows are then joined to it by hash and verified.
+once. A window is compared word by word, so a hit is exact. Beyond a stated size the set is not broadcast, but
+a bitmap of fixed size of its windows' hashes is; only the windows of documents that hit it are joined to the set by hash, and
+hits are verified word by word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loamgraph.runtime import free_name
+from loamgraph.runtime import broadcast_if, cut, free_name
 
 #: Consecutive words that make a leak, by the item's language; other languages count as 'en'.
 WINDOWS = {"en": 10, "zh": 24}
 #: Characters of evaluation text up to which the windows are broadcast (a window set of some 100 MB at most).
 BROADCAST_CHARS = 1_000_000
+#: Bits of the bitmap of window hashes, as a power of two, and those of a part of it.
+BITS, PART_BITS = 28, 16
 
 SPANS = T.ArrayType(
     T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -97,75 +101,116 @@ def language(lang: str | None) -> str:
     return (lang or "").replace("_", "-").split("-")[0].strip().lower()
 
 
+def _over_documents(docs: DataFrame, items: DataFrame, work: Callable, schema: T.StructType, every: bool, sizes: dict[str, int], broadcast_chars: int, text_col: str) -> DataFrame:
+    """``work(batch, spans of each row's text)`` over the documents; only those with a hit, or every one."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text", "lang").distinct()
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head().n
+    at = docs.columns.index(text_col)
+    if chars <= broadcast_chars:
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.collect()], sizes))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from work(b, [held.value.spans(t) for t in b.column(at).to_pylist()])
+
+        return docs.mapInArrow(run, schema)
+    # equal texts have equal leaks, so texts are told apart by their hashes and ids may repeat or be null
+    k1, k2, own = (free_name(docs, c) for c in ("_k1", "_k2", "_items"))
+    keyed = docs.withColumns({k1: F.xxhash64(text_col), k2: F.xxhash64(text_col, F.lit(5))})
+    pairs = _joined_pairs(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text_col).alias("text")), items, sizes)
+    found = pairs.join(items, "item_id").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list(F.struct("item_id", "text", "lang")).alias(own))  # bounded by the text
+    both = keyed.join(found, [k1, k2], "left" if every else "inner").select(*docs.columns, own)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = b.column(b.num_columns - 1).to_pylist()
+            spans = [WindowSet([(x["item_id"], x["text"], x["lang"]) for x in s], sizes).spans(t) if s else [] for s, t in zip(some, b.column(at).to_pylist())]
+            yield from work(b.select(range(b.num_columns - 1)), spans)
+
+    return both.mapInArrow(run_joined, schema)
+
+
 def leaked_spans(docs: DataFrame, items: DataFrame, sizes: dict[str, int] = WINDOWS, broadcast_chars: int = BROADCAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, spans)`` of the documents that hold a window of an item, spans in characters, in reading order.
 
     items: ``(item_id, text, lang)``. Null and empty texts on either side, and items shorter than a window, give no hit.
-    A repeated document row gives a row each; a repeated item counts once.
+    A repeated document row gives a row each, and so does one without an id; a repeated item counts once.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text", "lang").distinct()
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).head().n
-    if chars > broadcast_chars:
-        keep = _joined_pairs(docs, items, sizes, id_col, text_col)
-        return _spans_of_pairs(docs, items, keep, sizes, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.collect()], sizes))
     schema = T.StructType([docs.schema[id_col], T.StructField("spans", SPANS)])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = held.value.spans
-        for batch in batches:
-            got = [(i, s) for i, t in enumerate(batch.column(1).to_pylist()) if (s := find(t))]
-            spans = [[{"item_id": x, "start": a, "end": b} for x, a, b in s] for _, s in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in got], pa.int64())), pa.array(spans, kind)], names=[id_col, "spans"])
+    def work(b: pa.RecordBatch, spans: list) -> Iterator[pa.RecordBatch]:
+        hit = [i for i, s in enumerate(spans) if s]
+        rows = [[{"item_id": x, "start": a, "end": e} for x, a, e in spans[i]] for i in hit]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array(rows, kind)], names=[id_col, "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return _over_documents(docs.select(id_col, text_col), items, work, schema, False, sizes, broadcast_chars, text_col)
 
 
-def _windows_frame(df: DataFrame, id_col: str, text_col: str, size: F.Column | None, sizes: dict[str, int]) -> DataFrame:
-    """``(id_col, n, h, window)``: the windows of each text; of every size, or of the size in ``size``."""
-    schema = T.StructType([df.schema[id_col], T.StructField("n", T.IntegerType()), T.StructField("window", T.StringType())])
-    all_sizes = sorted(set(sizes.values()))
+def _hashes(numbers: list[int], n: int) -> np.ndarray:
+    """64-bit hashes of the windows of n words, made of the words' hashes: a rolling polynomial with wrap-around."""
+    if len(numbers) < n:
+        return np.empty(0, dtype=np.int64)
+    w = np.array(numbers, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(w) - n + 1, dtype=np.uint64)
+        for i in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - n + 1 + i]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                w = words(text)
-                for n in [own] if own else all_sizes:
-                    cut = list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))
-                    if cut:
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(cut), batch.schema.field(0).type), pa.array([n] * len(cut), pa.int32()), pa.array(cut)], names=[id_col, "n", "window"])
+def _word_hashes(text: str | None) -> list[int]:
+    import xxhash
 
-    return df.select(id_col, text_col, (F.lit(None) if size is None else size).cast("int").alias("size")).mapInArrow(run, schema)
+    return [xxhash.xxh64_intdigest(w) for w in words(text)]
 
 
-def _joined_pairs(docs: DataFrame, items: DataFrame, sizes: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, item_id)`` by a shuffled join on windows; for evaluation sets too large to broadcast."""
+def _joined_pairs(docs: DataFrame, items: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """``(k1, k2, item_id)`` of texts and items that share the hash of a window; for evaluation sets too large to broadcast."""
+    spark = docs.sparkSession
     lang = F.lower(F.trim(F.split(F.regexp_replace(F.coalesce("lang", F.lit("")), "_", "-"), "-")[0]))
     size = F.lit(sizes["en"])
     for name, n in sizes.items():
         size = F.when(lang == name, n).otherwise(size)
-    ours = _windows_frame(items, "item_id", "text", size, sizes).distinct()
-    theirs = _windows_frame(docs, id_col, text_col, None, sizes)
-    return theirs.join(ours, ["n", "window"]).select(id_col, "item_id").distinct()
-
 
-def _spans_of_pairs(docs: DataFrame, items: DataFrame, pairs: DataFrame, sizes: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """Spans of known pairs, each worked out from its document and its items only."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("spans", SPANS)])
-    own = pairs.join(items, "item_id").groupBy(id_col).agg(F.collect_list(F.struct("item_id", "text", "lang")).alias("items"))
-    both = docs.select(id_col, text_col).join(own, id_col)
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text, n in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.unique(_hashes(_word_hashes(text), n))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(h), pa.int64()), pa.array([n] * len(h), pa.int32()), pa.array(h)], names=["item_id", "n", "h"])
+
+    ours = cut(items.select("item_id", "text", size.alias("n")).mapInArrow(of_items, "item_id bigint, n int, h bigint"))
+    place = F.shiftrightunsigned("h", 64 - BITS)
+
+    def bitmap(t: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << PART_BITS, dtype=np.uint8)
+        bits[t["place"].to_numpy() & ((1 << PART_BITS) - 1)] = 1
+        return pa.table({"part": t["part"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    placed = ours.select(place.alias("place")).distinct().withColumn("part", F.shiftright("place", PART_BITS).cast("int"))
+    parts = placed.groupBy("part").applyInArrow(bitmap, "part int, bits binary").collect()  # BITS / 8 bytes at most
+    whole = np.zeros((1 << BITS - PART_BITS, 1 << PART_BITS - 3), dtype=np.uint8)
+    for r in parts:
+        whole[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    held = spark.sparkContext.broadcast(whole.reshape(-1))
+    all_sizes = sorted(set(sizes.values()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text, some in zip(*(c.to_pylist() for c in batch.columns)):
-                s = WindowSet([(x["item_id"], x["text"], x["lang"]) for x in some], sizes).spans(text)
-                yield pa.RecordBatch.from_pylist(
-                    [{id_col: key, "spans": [{"item_id": x, "start": a, "end": b} for x, a, b in s]}],
-                    schema=pa.schema([batch.schema.field(0), pa.field("spans", pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))]),
-                )
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for b in batches:
+            for i, text in enumerate(b.column(2).to_pylist()):
+                numbers = _word_hashes(text)
+                for n in all_sizes:
+                    h = np.unique(_hashes(numbers, n))
+                    at = h.view(np.uint64) >> np.uint64(64 - BITS)
+                    h = h[(bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                    if len(h):
+                        rows = b.select([0, 1]).take(pa.array([i] * len(h), pa.int64()))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([n] * len(h), pa.int32()), pa.array(h)], names=["k1", "k2", "n", "h"])
 
-    return both.mapInArrow(run, schema)
+    hits = docs.select("k1", "k2", "text").mapInArrow(of_documents, "k1 bigint, k2 bigint, n int, h bigint").distinct()
+    return hits.join(broadcast_if(ours, ours.count()), ["n", "h"]).select("k1", "k2", "item_id").distinct()
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -175,25 +220,26 @@ def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return spans.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("item_id"), id_col).distinct()
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, whole_documents: bool = False, **options) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, whole_documents: bool = False, sizes: dict[str, int] = WINDOWS, broadcast_chars: int = BROADCAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without leaked passages: the passages are cut out, or their documents dropped.
 
-    All other columns and rows stay as they are.
+    All other columns and rows stay as they are, repeated rows and those without an id too; each row is judged by its own text.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    spans = leaked_spans(docs, items, **options)
-    if whole_documents:
-        return docs.join(spans.select(id_col).distinct(), id_col, "left_anti")
-    held = free_name(docs, "_spans")
-    marked = docs.join(spans.dropDuplicates([id_col]).withColumnRenamed("spans", held), id_col, "left")
-    # the text before, between and after the spans; "at" is the place up to which the text is settled
-    cut = F.aggregate(
-        held,
-        F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["kept"], F.col(text_col).substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))).alias("kept"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["kept"], F.col(text_col).substr(acc["at"] + 1, F.length(text_col))),
-    )
-    return marked.withColumn(text_col, F.when(F.col(held).isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    columns, at = docs.columns, docs.columns.index(text_col)
+
+    def work(b: pa.RecordBatch, spans: list) -> Iterator[pa.RecordBatch]:
+        if whole_documents:
+            yield b.filter(pa.array([not s for s in spans], pa.bool_()))
+            return
+        texts = [t if not s else _without(t, s) for t, s in zip(b.column(at).to_pylist(), spans)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=columns)
+
+    return _over_documents(docs, items, work, docs.schema, True, sizes, broadcast_chars, text_col)
+
+
+def _without(text: str, spans: list[tuple[int, int, int]]) -> str:
+    out, settled = [], 0
+    for _, a, b in spans:
+        out.append(text[settled : max(a, settled)])
+        settled = max(settled, b)
+    return "".join(out) + text[settled:]

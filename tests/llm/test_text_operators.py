@@ -200,6 +200,19 @@ def test_leaks_against_brute_force(spark, broadcast_chars):
     assert leakage.leaked_items(df, _items(spark, items).limit(0), broadcast_chars=broadcast_chars).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast_chars", [leakage.BROADCAST_CHARS, 0])
+def test_each_row_is_judged_by_its_own_text(spark, broadcast_chars):
+    passage = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, passage, "en")], "item_id bigint, text string, lang string")
+    rows = [(1, f"Before {passage} after", "x"), (1, "sound", "x"), (None, passage, None), (None, None, "y"), (2, f"{passage}. Before", "x"), (2, f"{passage}. Before", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _items string")
+    got = sorted((str(tuple(r)) for r in leakage.without_leaks(docs, items, broadcast_chars=broadcast_chars).collect()))
+    assert got == sorted(map(str, [(1, "Before  after", "x"), (1, "sound", "x"), (None, "", None), (None, None, "y"), (2, ". Before", "x"), (2, ". Before", "x")]))
+    kept = leakage.without_leaks(docs, items, whole_documents=True, broadcast_chars=broadcast_chars)
+    assert sorted(str(r["text"]) for r in kept.collect()) == ["None", "sound"] and kept.schema == docs.schema
+    assert sorted(str(r["doc_id"]) for r in leakage.leaked_spans(docs, items, broadcast_chars=broadcast_chars).collect()) == ["1", "2", "2", "None"]
+
+
 def test_leaks_are_cut_out(spark):
     docs = spark.createDataFrame([(1, f"Start. {ITEM}! End.", "z"), (2, "clean", None), (3, None, "z")], "doc_id bigint, text string, _spans string")
     items = _items(spark, [(7, ITEM, "en")])
