@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 # Letters of other scripts with the same look as a Latin letter, by that letter.
 LOOKALIKES = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈͿᎫ", "K": "ΚКᏦ",
-    "L": "Ꮮ", "M": "ΜМᎷϺ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ",
-    "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "аɑα", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏ", "p": "рρ",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻⲎꓧ", "I": "ΙІӀⲒꓲ", "J": "ЈͿᎫꓙ", "K": "ΚКᏦⲔꓗ",
+    "L": "Ꮮꓡ", "M": "ΜМᎷϺⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ", "P": "ΡРᏢⲢꓑ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢⲦꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ",
+    "X": "ΧХⲬꓫ", "Y": "ΥҮⲨꓬ", "Z": "ΖᏃꓜ",
+    "a": "аɑα", "c": "сϲᴄⲥ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏⲟ", "p": "рρⲣ",
     "q": "ԛ", "s": "ѕꜱ", "u": "υսᴜ", "v": "νѵᴠ", "w": "ԝᴡ", "x": "х", "y": "уγү", "z": "ᴢ",
 }
 # Radicals without a decomposition of their own, and the characters that they are.
@@ -152,6 +152,18 @@ def alike(texts: DataFrame, scope_col: str, text_col: str) -> DataFrame:
     return x.join(s, same("x", "s")).join(y, same("s", "y") & (F.col("x.text") < F.col("y.text"))).select(F.col("x.scope").alias("scope"), F.col("x.text").alias("a"), F.col("y.text").alias("b"))
 
 
+def forms_of(texts: DataFrame, scope_col: str, text_col: str) -> DataFrame:
+    """``(scope, text, canonical, n_alike)``: distinct texts of a scope with their one form and how many texts share it.
+
+    The membership from which pairs follow; for texts that look alike in more characters than pairs are wanted of.
+    """
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(scope_col).alias("scope"), F.col(text_col).alias("text")).distinct()
+    forms = canonical_texts(rows, "text")
+    shared = forms.groupBy("scope", "canonical").agg(F.count("*").alias("n_alike"))
+    f, s = forms.alias("f"), shared.alias("s")
+    return f.join(s, F.col("f.scope").eqNullSafe(F.col("s.scope")) & (F.col("f.canonical") == F.col("s.canonical"))).select("f.scope", "f.text", "f.canonical", "n_alike")
+
+
 def alike_records(df: DataFrame, id_col: str, scope_col: str, text_col: str) -> DataFrame:
     """``(key_a, key_b)``: records of one scope whose texts look the same but differ, the smaller id first."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.lower(F.col(id_col)).alias("id"), F.col(scope_col).alias("scope"), F.col(text_col).alias("text")).distinct()

@@ -54,6 +54,12 @@ def p2_canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_texts(nodes, "name").select("id", "name", "canonical")
 
 
+def p2_tag_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct tag with its consistent form and the number of tags that share it."""
+    stored = table(spark, d, "captured_info").select(F.lit(0).alias("scope"), F.explode("tags").alias("tag")).where("tag <> ''")
+    return lookalikes.forms_of(stored, "scope", "tag").select(F.col("text").alias("tag"), "canonical", "n_alike")
+
+
 # ---- p3: personal information
 
 
@@ -217,6 +223,7 @@ QUERIES = {
     "p1_cluster_report": p1_cluster_report,
     "p2_found": p2_found,
     "p2_canonical_names": p2_canonical_names,
+    "p2_tag_forms": p2_tag_forms,
     "p3_found": p3_found,
     "p3_sanitised": p3_sanitised,
     "p3_disclosing_terms": p3_disclosing_terms,

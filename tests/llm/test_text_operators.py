@@ -69,6 +69,12 @@ def test_alike_against_brute_force(spark):
     assert lookalikes.alike(df.limit(0), "scope", "name").isEmpty()
 
 
+def test_lisu_and_coptic_letters_and_membership(spark):
+    assert [lookalikes.canonical(t) for t in ("ꓮbc", "ꓝⲟⲟ", "ꓢⲥ")] == ["Abc", "Foo", "Sc"]
+    df = spark.createDataFrame([(1, "Foo"), (1, "ꓝoo"), (1, "Foo"), (None, "Foo"), (2, None), (1, "")], "scope int, tag string")
+    assert sorted(map(str, lookalikes.forms_of(df, "scope", "tag").collect())) == sorted(map(str, [tuple_ for tuple_ in spark.createDataFrame([(1, "Foo", "Foo", 2), (1, "ꓝoo", "Foo", 2), (None, "Foo", "Foo", 1), (1, "", "", 1)], "scope int, text string, canonical string, n_alike bigint").collect()]))
+
+
 # ---- wrong encodings
 
 SOUND = [
