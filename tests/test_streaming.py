@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from loamgraph.streaming.changes import SnapshotMerge, change_stream, rate_windows, reconcile
+from loamgraph.streaming.changes import SnapshotMerge, change_stream, matched, rate_windows, reconcile, sessions
 
 
 def test_snapshot_merge(spark, tmp_path):
@@ -70,3 +70,49 @@ def test_late_rows_and_later_states_are_merged(spark, tmp_path):
         m.start(stream, str(tmp_path / "cp")).awaitTermination(120)
     got = {r["id"]: (r["processing_status"], r["processed_at"]) for r in m.read().collect()}
     assert got == {"new": ("completed", day(31)), "a": ("completed", day(30)), "weeks": ("completed", day(31)), "old": ("pending", None)}
+
+
+def test_batches_after_a_reload_go_on(spark, tmp_path):
+    schema = "id string, v int, created_at timestamp"
+    at = datetime.datetime(2025, 1, 1)
+    m = SnapshotMerge(spark, str(tmp_path / "snap"), buckets=3)
+    (tmp_path / "in").mkdir()
+    stream = change_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, v, at) for i, v in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        m.start(stream, str(tmp_path / "cp")).awaitTermination(120)
+        return {r["id"]: r["v"] for r in m.read().collect()}
+
+    assert arrive(("a", 1), ("b", 1), (None, 7)) == {"a": 1, "b": 1}
+    for k in range(1, 3):
+        m.reconcile(spark.createDataFrame([("b", 5, at), ("b", 5, at), (None, 1, at)], schema))
+        assert arrive((f"c{k}", k)) == {"b": 5, f"c{k}": k}
+    # a run that dies before its manifest leaves the snapshot as it was
+    write, m.table._clean = m.table.write, lambda: None
+    fs, _ = m.table._fs()
+    m.apply(spark.createDataFrame([("d", 9, at)], schema), 100)
+    last = m.table.state()
+    fs.delete(m.table._fs()[1](str(tmp_path / "snap" / f"manifest-{last['version']}.json")), False)
+    assert {r["id"] for r in m.read().collect()} == {"b", "c2"} and write is not None
+
+
+def test_a_batch_writes_only_the_buckets_it_touches_and_may_bring_a_column(spark, tmp_path):
+    m = SnapshotMerge(spark, str(tmp_path / "snap"), buckets=8)
+    m.apply(spark.createDataFrame([(f"k{i}", i) for i in range(60)], "id string, v int"), 0)
+    m.apply(spark.createDataFrame([("k7", 70, "x")], "id string, v int, more string"), 1)
+    state = m.table.state()
+    assert sum(v == state["version"] for v in state["at"].values()) == 1
+    rows = {r["id"]: (r["v"], r["more"]) for r in m.read().collect()}
+    assert len(rows) == 60 and rows["k7"] == (70, "x") and rows["k8"] == (8, None)
+
+
+def test_sessions_and_matches(spark, tmp_path):
+    t = lambda m: datetime.datetime(2025, 1, 1, 0, m)
+    spark.createDataFrame([("k", t(0)), ("k", t(2)), ("k", t(20)), ("j", t(1))], "key string, at timestamp").write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame([("k", t(5)), ("k", t(40)), ("j", t(0))], "key string, at timestamp").write.parquet(str(tmp_path / "r"))
+    read = lambda side: spark.readStream.schema("key string, at timestamp").parquet(str(tmp_path / side))
+    sessions(read("l"), "key", "at", "10 minutes").writeStream.format("memory").queryName("runs").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r["key"], r["n"]) for r in spark.table("runs").collect()) == [("j", 1), ("k", 1), ("k", 2)]
+    matched(read("l"), read("r"), "key", "at").writeStream.format("memory").queryName("both").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.table("both").collect()) == [("k", t(0), t(5)), ("k", t(2), t(5))]
