@@ -56,20 +56,19 @@ def normalize_name(c: Column | str) -> Column:
 def terms(c: Column | str) -> Column:
     """Han characters, pairs of neighbouring ones (other characters between them don't count), and Latin words of two characters and more."""
     text = or_empty(c)
-    han = F.split(F.regexp_replace(text, "[^一-鿿]", ""), "")
-    han = F.filter(han, lambda x: x != "")
-    pairs = F.zip_with(F.slice(han, 1, F.greatest(F.size(han) - 1, F.lit(0))), F.slice(han, 2, F.greatest(F.size(han) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.concat(han, pairs, F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9-]+)"), 1))
+    han = F.regexp_replace(text, "[^一-鿿]+", "")
+    one, two = F.regexp_extract_all(han, F.lit("."), 0), F.regexp_extract_all(han, F.lit("(?=(..))"), 1)
+    return F.concat(one, two, F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9-]+)"), 1))
 
 
 def meaningful_length(c: Column | str, latin: bool = False) -> Column:
     """Han characters (and letters, where latin) left of a name without stop words, digits, punctuation and vague words."""
     s = or_empty(c)
-    for w in sorted(STOP_WORDS, key=len, reverse=True):
-        s = F.replace(s, F.lit(w), F.lit(""))
+    # longest first and one after the other, as a word may come about where another was taken out
+    for n in sorted({len(w) for w in STOP_WORDS}, reverse=True):
+        s = F.regexp_replace(s, "|".join(w for w in dict.fromkeys(STOP_WORDS) if len(w) == n), "")
     s = F.regexp_replace(s, r"[\d.,;:!?，。；：！？、…—\-·'\"“”‘’【】《》（）()\[\]{}<>+\s]+", "")
-    for w in VAGUE_WORDS:
-        s = F.replace(s, F.lit(w), F.lit(""))
+    s = F.regexp_replace(s, "|".join(VAGUE_WORDS), "")
     return F.length(F.regexp_replace(s, r"[^一-鿿\p{L}]" if latin else "[^一-鿿]", ""))
 
 

@@ -45,15 +45,15 @@ def depth_profile(nodes: DataFrame, edges: DataFrame, shallow_sources: int = 2,
 
 
 def implicit_pairs(candidates: DataFrame, edges: DataFrame, min_common: int = 2) -> DataFrame:
-    """``(a, b, common)``: pairs of one group's candidates with neighbours in common but no link of their own.
+    """``(grp, a, b, common)``: pairs of one group's candidates with neighbours in common but no link of their own.
 
     candidates: ``(grp, id)``, few a group (the newest sixty, say), which bounds the pairs that a much linked neighbour gives.
     """
     adj = adjacency(edges)
     near = candidates.join(adj.withColumnRenamed("src", "id"), "id").select("grp", "id", F.col("dst").alias("mid"))
     x, y = near.withColumnRenamed("id", "a"), near.withColumnRenamed("id", "b")
-    pairs = x.join(y, ["grp", "mid"]).where("a < b").groupBy("a", "b").agg(F.countDistinct("mid").alias("common")).where(F.col("common") >= min_common)
-    return pairs.join(edges, ["a", "b"], "left_anti")
+    pairs = x.join(y, ["grp", "mid"]).where("a < b").groupBy("grp", "a", "b").agg(F.countDistinct("mid").alias("common")).where(F.col("common") >= min_common)
+    return pairs.join(edges, ["a", "b"], "left_anti").select("grp", "a", "b", "common")
 
 
 def two_hop_bridges(captures: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

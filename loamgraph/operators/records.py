@@ -18,7 +18,7 @@ def scope_of(user: Column | str) -> Column:
 
 
 def scoped(df: DataFrame, scope_id: str | None, user_col: str = "user_id") -> DataFrame:
-    """Rows of one tenant; None stands for rows without a user. The predicate is pushed to the scan."""
+    """Rows of one tenant; None stands for rows without a user. On a table as it is read the predicate reaches the scan."""
     return df.where(F.col(user_col).isNull() if scope_id is None else F.col(user_col) == scope_id)
 
 
@@ -48,7 +48,12 @@ def between(df: DataFrame, since: Column | None, until: Column | None, by: str =
 
 def changed_since(df: DataFrame, watermark: Column, look_back_ms: int = 1500, by: str = "created_at") -> DataFrame:
     """The delta of an incremental pull: rows after the watermark less a look-back."""
-    return df.where(F.unix_millis(by) > F.unix_millis(watermark) - look_back_ms)
+    return df.where(after_watermark(watermark, look_back_ms, by))
+
+
+def after_watermark(watermark: Column, look_back_ms: int = 1500, by: str = "created_at") -> Column:
+    """Whether a row is later, to the millisecond, than the watermark less the look-back; a comparison of the column as it is."""
+    return F.col(by) >= F.timestamp_millis(F.unix_millis(watermark) - look_back_ms + 1)
 
 
 def unsettled(df: DataFrame, columns=("processing_status", "embedding_status", "graph_status")) -> DataFrame:

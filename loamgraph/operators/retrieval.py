@@ -11,19 +11,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """BM25 of queries over documents.
 
     docs: ``(doc_id, text)``; queries: ``(query, q_text)``, few. Gives ``(query, score)``, the sum over all documents and distinct
-    terms of the query, or ``(query, doc_id, score)`` per document. Only the queries' terms leave the documents; their
-    lengths are counted where they are read. Queries without a term in the corpus have no row.
+    terms of the query, or ``(query, doc_id, score)`` per document. Documents are cut up once: each leaves its length and its counts of
+    the queries' terms in one row, which everything else is made of. Queries without a term in the corpus have no row.
     """
     asked = queries.select("query", F.explode(F.array_distinct(terms("q_text"))).alias("term"))
-    wanted = asked.agg(F.collect_set("term").alias("wanted"))  # the terms of few queries
-    cut_up = docs.select("doc_id", terms("text").alias("terms"))
-    size = cut_up.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    hits = cut_up.crossJoin(F.broadcast(wanted)).select("doc_id", F.size("terms").alias("len"), F.explode(F.filter("terms", lambda t: F.array_contains("wanted", t))).alias("term"))
-    tf = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    wanted = asked.select("term").distinct().withColumn("hit", F.col("term"))
+    words = docs.select("doc_id", F.explode_outer(terms("text")).alias("term")).join(F.broadcast(wanted), "term", "left")
+    counted = words.groupBy("doc_id", "hit").agg(F.count("term").alias("n"))
+    hits = F.filter(F.collect_list(F.struct(F.col("hit").alias("term"), F.col("n").alias("tf"))), lambda x: x["term"].isNotNull())
+    each = counted.groupBy("doc_id").agg(F.sum("n").alias("len"), hits.alias("hits"))
+    size = each.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    tf = each.select("doc_id", "len", F.inline("hits"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(size)).select("doc_id", "term", weight.alias("w")).join(F.broadcast(asked), "term")
+    # as many terms as the queries have, so their documents are not shuffled by them
+    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(size)).select("doc_id", "term", weight.alias("w")).join(F.broadcast(asked), "term")
     return scored.groupBy("query", *(["doc_id"] if per_document else [])).agg(F.sum("w").alias("score"))
 
 

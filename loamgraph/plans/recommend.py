@@ -104,7 +104,7 @@ def graph_bridges(signal: DataFrame, nodes: DataFrame, edges: DataFrame, n: int
 def implied_links(nodes: DataFrame, edges: DataFrame, n: int = 2) -> DataFrame:
     """Pairs of a scope's newest sixty nodes with neighbours in common but no link."""
     few = records.newest(nodes.where(~is_trivial_name("name")), 60, partition=["scope_id"]).select(F.col("scope_id").alias("grp"), "id")
-    pairs = graph.implicit_pairs(few, edges).join(few.withColumnRenamed("id", "a"), "a")
+    pairs = graph.implicit_pairs(few, edges)
     top = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("common").desc(), "a", "b"))).where(F.col("rn") <= n)
     return _candidates(top.withColumn("id", F.concat_ws("-", F.lit("implicit"), "a", "b")), "graph_bridge", 0.15, 3, graph_signal=0.4)
 

@@ -59,7 +59,7 @@ def depth_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def implicit_pairs(spark: SparkSession, d: str) -> DataFrame:
     newest = records.newest(nodes(spark, d, "created_at"), 60, partition=["scope_id"]).select(F.col("scope_id").alias("grp"), "id")
-    return graph.implicit_pairs(newest, _edges(spark, d), 1)
+    return graph.implicit_pairs(newest, _edges(spark, d), 1).drop("grp")
 
 
 def two_hop_bridges(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,7 @@ def deleted_refs_removed(spark: SparkSession, d: str) -> DataFrame:
 def alias_first_match(spark: SparkSession, d: str) -> DataFrame:
     """Entities as an extractor would name them (each node's aliases) resolved against the nodes of their scope."""
     n = nodes(spark, d, "name", "aliases")
-    asked = n.where(F.size("aliases") > 0).select("scope_id", F.col("id").alias("key"), F.element_at("aliases", 1).alias("name"), F.slice("aliases", 2, 100).alias("aliases"))
+    asked = n.where(F.size("aliases") > 0).select("scope_id", F.col("id").alias("key"), F.element_at("aliases", 1).alias("name"), F.slice("aliases", 2, F.size("aliases")).alias("aliases"))
     return records.alias_matches(asked, n).select("key", "node_id")
 
 

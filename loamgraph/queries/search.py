@@ -7,51 +7,54 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loamgraph.functions.scores import valid_vector
 from loamgraph.functions.text import contains_text, is_supported_file, mime_of, size_text
 from loamgraph.operators import records, search
-from loamgraph.queries.common import ASOF, ASOF_TEXT, CAP, DIM, LINK, NODE, asof, sql
+from loamgraph.queries.common import ASOF, CAP, DIM, LINK, NODE, ZERO, asof, sql
 from loamgraph.sources.tables import captures, links, nodes
 
 
+HAS_VECTOR = "embedding IS NOT NULL"
+
+
 def _query(df: DataFrame) -> DataFrame:
     """The vector of the record with the smallest id, as a table of one row."""
     return df.where(valid_vector("embedding", DIM)).agg(F.min(F.struct("id", "embedding"))["embedding"].alias("q"))
 
 
 def semantic_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    c = captures(spark, d, "embedding", "title")
+    c = captures(spark, d, "embedding", "title", where=HAS_VECTOR)
     return search.vector_search(c, _query(c), 20, 0.3, DIM).select("id", "title", "similarity", "tier")
 
 
 def node_search_scoped(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d, "name", "kind", "embedding")
-    return search.vector_search(records.scoped(n, "00000000-0000-0000-0000-000000000000", "scope_id"), _query(n), 20, 0.1, DIM).select("id", "name", "similarity", "tier")
+    mine = nodes(spark, d, "name", "kind", "embedding", where=F.col("scope_id") == ZERO)
+    return search.vector_search(mine, _query(nodes(spark, d, "embedding", where=HAS_VECTOR)), 20, 0.1, DIM).select("id", "name", "similarity", "tier")
 
 
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = captures(spark, d, "embedding", "tags", "created_at").where(valid_vector("embedding", DIM))
+    c = captures(spark, d, "embedding", "tags", "created_at", where=HAS_VECTOR).where(valid_vector("embedding", DIM))
     return search.similar_pairs(c, ["scope_id"], threshold=0.7)
 
 
 def nearest_same_kind(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d, "kind", "embedding", "created_at").where(valid_vector("embedding", DIM))
+    n = nodes(spark, d, "kind", "embedding", "created_at", where=HAS_VECTOR).where(valid_vector("embedding", DIM))
     new = F.unix_millis("created_at") >= F.unix_millis(asof()) - 30 * 86_400_000
     return search.nearest_match(n.where(new).select("scope_id", "kind", "id", "embedding"), n.where(~new).select("scope_id", "kind", "id", "embedding"), ["scope_id", "kind"], 0.3)
 
 
 def capture_to_nodes(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d, "name", "embedding")
-    return search.vector_search(n, _query(captures(spark, d, "embedding")), 5, 0.2, DIM).select("id", "name", "similarity")
+    n = nodes(spark, d, "name", "embedding", where=HAS_VECTOR)
+    return search.vector_search(n, _query(captures(spark, d, "embedding", where=HAS_VECTOR)), 5, 0.2, DIM).select("id", "name", "similarity")
 
 
 def pinned_recent_order(spark: SparkSession, d: str) -> DataFrame:
     c = captures(spark, d, "is_pinned", "created_at", "title")
     order = [F.coalesce("is_pinned", F.lit(False)).desc(), F.col("created_at").desc_nulls_last(), F.col("id")]
-    return c.orderBy(*order).limit(100).select("id", F.coalesce("is_pinned", F.lit(False)).alias("pinned"), "title")
+    return c.orderBy(*order).select("id", F.coalesce("is_pinned", F.lit(False)).alias("pinned"), "title")
 
 
 def recent_per_scope(spark: SparkSession, d: str) -> DataFrame:
-    c = captures(spark, d, "created_at", "title")
     since = F.lit("2025-06-01 00:00:00+00:00").cast("timestamp")
-    return records.newest(records.between(c, since, asof()), 40, partition=["scope_id"]).select("scope_id", "id", "title")
+    c = captures(spark, d, "created_at", "title", where=(F.col("created_at") >= since) & (F.col("created_at") < asof()))
+    return records.newest(c, 40, partition=["scope_id"]).select("scope_id", "id", "title")
 
 
 def unsettled_captures(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +62,12 @@ def unsettled_captures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_since_watermark(spark: SparkSession, d: str) -> DataFrame:
-    c = captures(spark, d, "created_at")
-    return records.changed_since(c, F.lit("2025-12-01 00:00:00+00:00").cast("timestamp")).select("id", F.unix_millis("created_at").alias("created_ms"))
+    late = records.after_watermark(F.lit("2025-12-01 00:00:00+00:00").cast("timestamp"))
+    return captures(spark, d, "created_at", where=late).select("id", F.unix_millis("created_at").alias("created_ms"))
 
 
 def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return captures(spark, d, "embedding", "type").where(F.col("embedding").isNull()).groupBy("type").agg(F.count("*").alias("n"))
+    return captures(spark, d, "type", where=F.col("embedding").isNull()).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +124,7 @@ ORACLES = {
         SELECT x.id AS new_id, y.id AS known_id, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM v x JOIN v y ON x.scope_id = y.scope_id AND x.kind = y.kind WHERE x.new AND NOT y.new)
         WHERE similarity > 0.3 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, known_id) = 1"""),
     "capture_to_nodes": sql(CAP, NODE, _Q.format(t="cap"), query=f"SELECT id, name, similarity FROM (SELECT id, name, {_SIM} AS similarity FROM node, q WHERE {_UNIT.format(e='embedding')}) WHERE similarity > 0.2 ORDER BY similarity DESC, id LIMIT 5"),
-    "pinned_recent_order": sql(CAP, query="SELECT id, coalesce(is_pinned, false) AS pinned, title FROM cap ORDER BY coalesce(is_pinned, false) DESC, created_at DESC NULLS LAST, id LIMIT 100"),
+    "pinned_recent_order": sql(CAP, query="SELECT id, coalesce(is_pinned, false) AS pinned, title FROM cap ORDER BY coalesce(is_pinned, false) DESC, created_at DESC NULLS LAST, id"),
     "recent_per_scope": sql(CAP, query=f"SELECT scope_id, id, title FROM cap WHERE created_at >= TIMESTAMPTZ '2025-06-01 00:00:00+00' AND created_at < {ASOF} QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY created_at DESC, id) <= 40"),
     "unsettled_captures": sql(CAP, query="SELECT id, processing_status, embedding_status, graph_status FROM cap WHERE coalesce(processing_status, '') <> 'completed' OR coalesce(embedding_status, '') <> 'completed' OR coalesce(graph_status, '') <> 'completed'"),
     "delta_since_watermark": sql(CAP, query="SELECT id, epoch_ms(created_at) AS created_ms FROM cap WHERE epoch_ms(created_at) > epoch_ms(TIMESTAMPTZ '2025-12-01 00:00:00+00') - 1500"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import html
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loamgraph.functions.text import mime_of
 from loamgraph.operators.records import latest, scope_of
@@ -12,18 +14,29 @@ from loamgraph.schemas import CAPTURES, LABELS, LINKS, NODES
 SCHEMAS = {"captured_info": CAPTURES, "knowledge_nodes": NODES, "knowledge_links": LINKS, "topic_labels": LABELS}
 
 
-def captures(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The latest state of each capture, with its scope; only ``columns`` are read where given."""
+def captures(spark: SparkSession, d: str, *columns: str, where: Column | str | None = None) -> DataFrame:
+    """The latest state of each capture, with its scope; only ``columns`` are read where given.
+
+    where: a condition on what all rows of a record agree in (its times, scope, type, tags or vector). It is put before the rows of a
+    record are united, so that it reaches the scan.
+    """
     df = table(spark, d, "captured_info")
+    if where is not None:
+        df = df.where(where)
     order = [F.col("processed_at").desc_nulls_last(), F.col("processing_status"), F.col("embedding_status"), F.col("graph_status")]
     if columns:
         df = df.select(*dict.fromkeys(["id", "user_id", *columns, "processed_at", "processing_status", "embedding_status", "graph_status"]))
     return latest(df, "id", *order).withColumn("id", F.lower("id")).withColumn("scope_id", scope_of("user_id"))
 
 
-def nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Each node once, with the defaults that a reader expects: concept, 10, no aliases and no sources."""
+def nodes(spark: SparkSession, d: str, *columns: str, where: Column | str | None = None) -> DataFrame:
+    """Each node once, with the defaults that a reader expects: concept, 10, no aliases and no sources.
+
+    where: as of :func:`captures`, on the values as stored.
+    """
     df = table(spark, d, "knowledge_nodes")
+    if where is not None:
+        df = df.where(where)
     keep = list(dict.fromkeys(["id", "scope_id", *(columns or ("name", "kind", "val", "aliases", "source_captured_ids", "created_at", "updated_at"))]))
     df = df.select(*keep).where(F.col("id").isNotNull()).withColumn("id", F.lower("id")).dropDuplicates(["id"])
     none = F.array().cast("array<string>")
@@ -47,6 +60,33 @@ def read_json_table(spark: SparkSession, path: str, name: str, multi_line: bool
     return spark.read.schema(SCHEMAS[name]).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
 
 
+def read_table(spark: SparkSession, path: str, name: str, source: str = "parquet", **options) -> DataFrame:
+    """A table with its fixed schema from any format that Spark reads by path: parquet, orc, json, csv, text-like ones with options.
+
+    CSV holds arrays as JSON text, and a header unless an option says otherwise; what cannot be read becomes null.
+    """
+    schema = SCHEMAS[name]
+    if source != "csv":
+        return spark.read.format(source).schema(schema).options(**options).load(path)
+    flat = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType) for f in schema])
+    raw = spark.read.format("csv").schema(flat).options(**{"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"} | options).load(path)
+    return raw.select(*[F.from_json(f.name, f.dataType.simpleString()).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in schema])
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as :func:`read_table` reads it from CSV."""
+    out = df.select(*[F.to_json(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes])
+    out.write.mode("overwrite").options(header=True, escape='"').csv(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 32, **options) -> DataFrame:
+    """A table of a database, read in ``parts`` at once where a numeric key and its bounds are given; filters and columns are pushed to it."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if key and bounds:
+        r = r.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return r.load()
+
+
 def read_labelled_json(spark: SparkSession, path: str) -> DataFrame:
     """``(text, label, entity)`` of JSON lines ``{text, label: {kind: {entity: positions}}}``."""
     raw = spark.read.schema("text string, label string").json(path)
@@ -83,7 +123,8 @@ def _text_of(mime: str, content: bytes) -> str | None:
             import zipfile
 
             xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8")
-            return re.sub(r"<[^>]+>", "", re.sub(r"</w:p>", "\n", xml))
+            xml = re.sub(r"<w:(?:br|cr)\b[^>]*>", "\n", re.sub(r"<w:tab\b[^>]*>", "\t", re.sub(r"</w:p>", "\n", xml)))
+            return html.unescape(re.sub(r"<[^>]+>", "", xml))
         return content.decode("utf-8", errors="replace")
     except ImportError:
         return None
