@@ -79,6 +79,44 @@ def update_where(df: DataFrame, ids: DataFrame, key: str, values: dict[str, Colu
     return out.withColumns({c: F.when(F.col(mark), v).otherwise(F.col(c)) for c, v in values.items()}).select(*df.columns)
 
 
+def updated_from(df: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``df`` with the columns of the rows that ``values (key, columns)`` names set to its values, row by row; its nulls leave the old value.
+
+    Of several rows of a key in ``values`` the one with the smallest values counts.
+    """
+    new = {c: free_name(df, f"_{c}") for c in columns}
+    one = values.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(n) for c, n in new.items()])
+    return df.join(one, key, "left").withColumns({c: F.coalesce(n, c) for c, n in new.items()}).select(*df.columns)
+
+
+def started(rows: DataFrame, asof: Column, processing: str = "processing") -> DataFrame:
+    """Captures as they are first written: no summary and no tags yet, steps in their first state, a title from the text where it has none.
+
+    rows: ``(id, user_id, type, title, content)`` and whatever else.
+    """
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(F.substring(F.trim("content"), 1, 30), F.lit("")), F.lit("Untitled"))
+    first = {"title": title, "tags": F.array().cast("array<string>"), "summary": F.lit(""), "processing_status": F.lit(processing), "graph_status": F.lit("pending"), "embedding_status": F.lit("pending"), "created_at": asof}
+    return rows.withColumns(first)
+
+
+def point(df: DataFrame, key: str, value: str, scope_id: str | None = None, scope_col: str = "scope_id") -> DataFrame:
+    """The row of a key, in a scope where given."""
+    out = df.where(F.col(key) == value)
+    return out if scope_id is None else out.where(F.col(scope_col) == scope_id)
+
+
+def seeded_links(links: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(scope_id, source, target, relation_type)`` for links wanted by name ``(source_name, target_name, relation_type)`` that are not there yet.
+
+    Names are matched trimmed and in lower case, within each scope that has both; the smaller id stands for nodes of one name.
+    """
+    named = nodes.groupBy("scope_id", F.lower(F.trim("name")).alias("n")).agg(F.min("id").alias("id"))
+    s, t = named.select("scope_id", F.col("n").alias("sn"), F.col("id").alias("source")), named.select("scope_id", F.col("n").alias("tn"), F.col("id").alias("target"))
+    asked = wanted.select(F.lower(F.trim("source_name")).alias("sn"), F.lower(F.trim("target_name")).alias("tn"), "relation_type").distinct()
+    out = asked.join(s, "sn").join(t, ["scope_id", "tn"]).select("scope_id", "source", "target", "relation_type").dropDuplicates(["source", "target"])
+    return out.join(links.select(F.lower("source").alias("source"), F.lower("target").alias("target")).distinct(), ["source", "target"], "left_anti").select("scope_id", "source", "target", "relation_type")
+
+
 def delete_where(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti")
 
@@ -151,13 +189,21 @@ def merged_links(links: DataFrame) -> DataFrame:
     )
 
 
-def merged_nodes(existing: DataFrame, extracted: DataFrame) -> DataFrame:
+def merged_nodes(existing: DataFrame, extracted: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None, threshold: float = 0.85) -> DataFrame:
     """Nodes after the extracted ones are merged in: matched ones get new aliases, sources and, if it ranks higher, the kind.
 
     existing: ``(scope_id, id, name, kind, aliases, source_captured_ids)``; extracted: the same with ``key`` for id.
-    Unmatched entities become nodes with their key as id, one a normalised name.
+    An entity that no name or alias matches is, where ``vectors`` are given, the node of its scope with the most similar vector above the
+    threshold, of the same kind or where either kind is not known: ``(key, embedding)`` of the extracted and ``(id, embedding)`` of the
+    existing. What is left becomes nodes with their key as id, one a normalised name.
     """
     hits = alias_matches(extracted.select("scope_id", "key", "name", "aliases"), existing)
+    if vectors is not None:
+        from loamgraph.operators.search import nearest_match
+
+        todo = extracted.join(hits, ["scope_id", "key"], "left_anti").join(vectors[0], "key").select("scope_id", "kind", F.col("key").alias("id"), "embedding")
+        close = nearest_match(todo, existing.join(vectors[1], "id").select("scope_id", "kind", "id", "embedding"), ["scope_id"], threshold, lenient="kind")
+        hits = hits.unionByName(close.join(extracted.select("scope_id", F.col("key").alias("new_id")), "new_id").select("scope_id", F.col("new_id").alias("key"), F.col("known_id").alias("node_id")))
     with_id = extracted.join(hits, ["scope_id", "key"], "left").withColumn("norm", normalize_name("name"))
     new_id = F.coalesce("node_id", F.min("key").over(Window.partitionBy("scope_id", "norm")))
     rows = existing.withColumn("src", F.lit(0)).unionByName(with_id.withColumn("id", new_id).withColumn("src", F.lit(1)).select(*existing.columns, "src"))

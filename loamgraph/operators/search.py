@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loamgraph.functions.scores import cosine, tier, valid_vector
+from loamgraph.runtime import broadcast_if, cut
+
+#: Rows of either side that are compared in one task.
+BLOCK_ROWS = 4_096
 
 
 def vector_search(df: DataFrame, query: DataFrame, k: int = 20, threshold: float = 0.3, dim: int | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -37,13 +41,52 @@ def similar_pairs(df: DataFrame, partition: list[str], threshold: float = 0.7, k
     return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select(*partition, "id_a", "id_b", "similarity")
 
 
-def nearest_match(new: DataFrame, known: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
+def nearest_match(new: DataFrame, known: DataFrame, keys: list[str], threshold: float = 0.85, lenient: str | None = None) -> DataFrame:
     """For each new row the known row with the same keys and the highest cosine above the threshold.
 
-    new, known: ``(keys, id, embedding)``. A new row without a match is left out; the smaller id wins ties.
+    new, known: ``(keys, id, embedding)``; lenient: a column that has to be equal only where both sides know it. A new row without a
+    match is left out; the smaller id wins ties. Both sides are cut into blocks by a hash of the id and compared block by block with one matrix
+    product, so that a crowded key is many tasks of bounded size.
     """
-    both = new.where(F.col("embedding").isNotNull()).withColumnsRenamed({"id": "new_id", "embedding": "e_new"}).join(known.where(F.col("embedding").isNotNull()).withColumnsRenamed({"id": "known_id", "embedding": "e_known"}), keys)
-    scored = both.select("new_id", "known_id", F.round(cosine("e_new", "e_known"), 6).alias("similarity")).where(F.col("similarity") > threshold)
+    import numpy as np
+    import pyarrow as pa
+
+    extra = [lenient] if lenient else []
+    sides = [d.where(F.col("embedding").isNotNull()).select(*keys, *extra, "id", F.col("embedding").cast("array<double>").alias("embedding")) for d in (new, known)]
+    n = [d.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(c)) for d, c in zip(sides, ("nx", "ny"))]
+    blocks = cut(n[0].join(n[1], keys))
+    blocks = broadcast_if(blocks, blocks.count())
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c).cast("long")).cast("int")
+    fresh = lambda d: d.select(*[F.col(c).alias(c) for c in d.columns])  # noqa: E731  # both sides may come from one table
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = sides[0].join(blocks, keys).withColumn("_i", part("nx")).withColumn("_j", every("ny")).drop("nx", "ny")
+    y = sides[1].join(blocks, keys).withColumn("_j", part("ny")).withColumn("_i", every("nx")).drop("nx", "ny")
+    schema = T.StructType([T.StructField("new_id", new.schema["id"].dataType), T.StructField("known_id", known.schema["id"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if len(a) and len(b):
+            dims = np.array([len(v) for v in a["embedding"].to_pylist()]), np.array([len(v) for v in b["embedding"].to_pylist()])
+            for dim in set(dims[0]) & set(dims[1]):
+                p, q = a.filter(pa.array(dims[0] == dim)), b.filter(pa.array(dims[1] == dim))
+                u, v = (t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (p, q))
+                norms = [np.sqrt((m * m).sum(1)) for m in (u, v)]
+                u, v = (m / np.where(k > 0, k, 1)[:, None] for m, k in zip((u, v), norms))
+                s = np.where((norms[0][:, None] > 0) & (norms[1][None, :] > 0), np.round(u @ v.T, 6), -2.0)
+                if extra:
+                    k, m = (np.array(t[lenient].to_pylist(), dtype=object) for t in (p, q))
+                    s[(k[:, None] != m[None, :]) & (k != None)[:, None] & (m != None)[None, :]] = -2.0  # noqa: E711
+                ids = np.array(q["id"].to_pylist(), dtype=object)
+                order = np.argsort(ids, kind="stable")
+                best = order[s[:, order].argmax(1)]
+                ok = np.flatnonzero(s[np.arange(len(s)), best] > threshold)
+                out[0] += np.array(p["id"].to_pylist(), dtype=object)[ok].tolist()
+                out[1] += ids[best[ok]].tolist()
+                out[2] += s[ok, best[ok]].tolist()
+        return pa.table({f.name: pa.array(c, t) for f, c, t in zip(schema, out, (a.schema.field("id").type, b.schema.field("id").type, pa.float64()))})
+
+    group = [*keys, "_i", "_j"]
+    scored = fresh(x).groupBy(*group).cogroup(fresh(y).groupBy(*group)).applyInArrow(compare, schema)
     best = scored.groupBy("new_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "known_id")).alias("b"))
     return best.select("new_id", F.col("b.known_id").alias("known_id"), (-F.col("b.s")).alias("similarity"))
 
@@ -55,12 +98,13 @@ def previews(hits: DataFrame, ids_col: str, captures: DataFrame, per_hit: int =
     return named.join(text, "ref").groupBy("id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), 1, per_hit).alias("previews"))
 
 
-def neighbour_names(hits: DataFrame, links: DataFrame, nodes: DataFrame, per_hit: int = 3) -> DataFrame:
-    """``(id, name, rn)``: up to ``per_hit`` names of the nodes that a hit links to, in order of name."""
+def neighbour_names(hits: DataFrame, links: DataFrame, nodes: DataFrame, per_hit: int = 3, most: int | None = None) -> DataFrame:
+    """``(id, name, rn)``: up to ``per_hit`` names of the nodes that a hit links to, in order of name; ``most`` for all hits, first names first."""
     to = links.select(F.lower("source").alias("id"), F.lower("target").alias("to")).where("id <> to").distinct()
     named = hits.select("id").join(to, "id").join(nodes.select(F.col("id").alias("to"), "name"), "to")
     w = Window.partitionBy("id").orderBy("name", "to")
-    return named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_hit).select("id", "name", "rn")
+    out = named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_hit).select("id", "name", "rn")
+    return out if most is None else out.orderBy("rn", "id").limit(most)
 
 
 def reason(similarity: Column, summary: Column, tags: Column) -> Column:

@@ -11,6 +11,8 @@ from loamgraph.operators.records import latest, scope_of
 from loamgraph.runtime import table
 from loamgraph.schemas import CAPTURES, LABELS, LINKS, NODES
 
+#: Rows as a backup takes them: one an id, ids in lower case.
+CLEAN = {n: (lambda df: df.where(F.col("id").isNotNull()).withColumn("id", F.lower("id")).dropDuplicates(["id"])) for n in ("captured_info", "knowledge_nodes", "knowledge_links")}
 SCHEMAS = {"captured_info": CAPTURES, "knowledge_nodes": NODES, "knowledge_links": LINKS, "topic_labels": LABELS}
 
 
@@ -65,12 +67,17 @@ def read_table(spark: SparkSession, path: str, name: str, source: str = "parquet
 
     CSV holds arrays as JSON text, and a header unless an option says otherwise; what cannot be read becomes null.
     """
-    schema = SCHEMAS[name]
-    if source != "csv":
-        return spark.read.format(source).schema(schema).options(**options).load(path)
-    flat = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType) for f in schema])
+    if source == "csv":
+        return read_csv_columns(spark, path, name, SCHEMAS[name].names, **options)
+    return spark.read.format(source).schema(SCHEMAS[name]).options(**options).load(path)
+
+
+def read_csv_columns(spark: SparkSession, path: str, name: str, columns: list[str], **options) -> DataFrame:
+    """Some columns of a table, in the order of the file, as :func:`read_table` reads them."""
+    fields = {f.name: f for f in SCHEMAS[name]}
+    flat = T.StructType([T.StructField(c, T.StringType() if isinstance(fields[c].dataType, T.ArrayType) else fields[c].dataType) for c in columns])
     raw = spark.read.format("csv").schema(flat).options(**{"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"} | options).load(path)
-    return raw.select(*[F.from_json(f.name, f.dataType.simpleString()).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in schema])
+    return raw.select(*[F.from_json(c, fields[c].dataType.simpleString()).alias(c) if isinstance(fields[c].dataType, T.ArrayType) else F.col(c) for c in columns])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
