@@ -109,3 +109,38 @@ def hex_channels(color: Column | str) -> Column:
 
 def color_distance(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(hex_channels(a), hex_channels(b), lambda x, y: ((x - y) * (x - y)).cast("double")), F.lit(0.0), lambda s, v: s + v))
+
+
+def topic_radius(members: Column | str) -> Column:
+    """Radius of a topic on screen by its members, 9 to 24; unknown and no members count as three."""
+    m = F.col(members) if isinstance(members, str) else members
+    m = F.when(m > 0, m).otherwise(3)
+    return F.greatest(F.lit(9.0), F.least(F.lit(24.0), 7 + 19 * F.sqrt(F.least(m, F.lit(400)) / F.lit(400.0))))
+
+
+def member_radius(val: Column | str) -> Column:
+    """Radius of a node on screen by its weight, 7 to 14; no weight counts as six."""
+    v = F.col(val) if isinstance(val, str) else val
+    v = F.when(v != 0, v).otherwise(6)
+    return F.greatest(F.lit(7.0), F.least(F.lit(14.0), 4 + F.sqrt(v) * 1.9))
+
+
+def topic_color(number: Column | str, broad: Column | str) -> Column:
+    """Colour of the n-th fine topic of a broad one: the broad topic's hue, lightness in three steps."""
+    n = F.col(number) if isinstance(number, str) else number
+    return F.concat(F.lit("hsl("), F.format_string("%.1f", hue(broad)), F.lit(", 65%, "), (44 + F.abs(n % 3) * 10).cast("string"), F.lit("%)"))
+
+
+def tinted(color: Column | str, lightness: Column | int) -> Column:
+    """'#RRGGBB' drawn towards white above a lightness of 50 and towards black below it, as 'rgb(r, g, b)'."""
+    light = F.lit(lightness) if isinstance(lightness, int) else lightness
+    white = F.when(light > 50, F.least(F.lit(1.0), (light - 50) / F.lit(55.0))).otherwise(0.0)
+    dark = F.when(light < 50, F.greatest(F.lit(0.0), light / F.lit(50.0))).otherwise(1.0)
+    channels = F.transform(hex_channels(color), lambda c: F.floor(c * dark + (255 - c) * white + 0.5).cast("int"))
+    return F.concat(F.lit("rgb("), F.array_join(F.transform(channels, lambda c: c.cast("string")), ", "), F.lit(")"))
+
+
+def resized_vector(c: Column | str, dim: int) -> Column:
+    """The vector where it has the length; a column that is given another length drops the values it has."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.size(c) == dim, c)

@@ -160,6 +160,23 @@ def embedding_text(*parts: Column) -> Column:
     return F.substring(F.concat_ws("\n", *[F.nullif(F.trim(p), F.lit("")) for p in parts]), 1, 8000)
 
 
+def node_embedding_text(name: Column, normalized: Column, kind: Column, aliases: Column, metadata: Column | None = None) -> Column:
+    """What a node is embedded by: its name, the normalised one where it differs, kind, aliases and metadata as JSON."""
+    differs = F.when(F.coalesce(normalized, F.lit("")) != F.coalesce(name, F.lit("")), normalized)
+    said = [name, differs, kind, F.array_join(F.coalesce(aliases, F.array().cast("array<string>")), ", "), *([F.to_json(metadata)] if metadata is not None else [])]
+    return embedding_text(*said)
+
+
+def trimmed_norm(c: Column | str) -> Column:
+    """The plain normal form that tables are filled with: trimmed, in lower case."""
+    return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
+
+
+def spaced_norm(c: Column | str) -> Column:
+    """The normal form of seeded names: trimmed, in lower case, any run of blanks as one space."""
+    return F.regexp_replace(trimmed_norm(c), r"\s+", " ")
+
+
 def unique_strings(c: Column | str) -> Column:
     """Trimmed, without blanks and repeats, in the order of first occurrence; [] for null."""
     c = F.col(c) if isinstance(c, str) else c

@@ -37,6 +37,17 @@ def mean_scores(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.agg(F.round(F.avg(sum((clamp_score(c) for c in columns), F.lit(0)) / len(columns)), 6).alias("mean_score"))
 
 
+def signal_ratio(signals: DataFrame) -> DataFrame:
+    """``(n, n_passed, ratio)`` of checks ``(signal, passed)``; null ratio without any."""
+    return signals.agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed")).withColumn("ratio", F.round(F.col("n_passed") / F.nullif("n", F.lit(0)), 6))
+
+
+def recall_precision(quality: DataFrame) -> DataFrame:
+    """``(recall, precision)`` over all cases of :func:`extraction_quality`: hits among the expected, and found ones that are not forbidden."""
+    total = quality.agg(*[F.sum(c).alias(c) for c in ("n_expected", "n_hit", "n_found", "n_wrong")])
+    return total.select(F.round(F.col("n_hit") / F.nullif("n_expected", F.lit(0)), 6).alias("recall"), F.round((F.col("n_found") - F.col("n_wrong")) / F.nullif("n_found", F.lit(0)), 6).alias("precision"))
+
+
 def color_spread(colors: DataFrame) -> DataFrame:
     """Least and median distance between the colours ``(name, color)`` of a palette, and how many share one."""
     a, b = colors.withColumnsRenamed({"name": "na", "color": "ca"}), colors.withColumnsRenamed({"name": "nb", "color": "cb"})

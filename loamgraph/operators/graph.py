@@ -36,6 +36,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def degrees_by_name(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(name, degree)``: ends of links at nodes of a name, parallel links and both ends of a self link counted each."""
+    ends = links.select(F.explode(F.array(F.lower("source"), F.lower("target"))).alias("id"))
+    return ends.join(nodes.select("id", "name"), "id").groupBy("name").agg(F.count("*").alias("degree"))
+
+
 def depth_profile(nodes: DataFrame, edges: DataFrame, shallow_sources: int = 2, deep_degree: int = 3) -> DataFrame:
     """``(id, n_sources, degree, depth)``: 'shallow' with sources but no link, 'deep' with many links; others left out."""
     n = nodes.select("id", F.size(F.array_distinct(F.filter(F.coalesce("source_captured_ids", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))).alias("n_sources"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from loamgraph.functions.text import json_object_in
 from loamgraph.operators.graph import bridge
 
 
@@ -46,6 +47,35 @@ def topic_insight(nodes: DataFrame, topics: DataFrame, asof, days: int = 7) -> D
     return heads.join(caps, "topic", "left").select("topic", "n_nodes", F.coalesce("n_captures", F.lit(0)).alias("n_captures"), "n_new")
 
 
+def topic_kinds(nodes: DataFrame, topics: DataFrame, most: int = 5) -> DataFrame:
+    """``(topic, kind, n, rn)``: the most frequent kinds of each topic's members; the smaller kind of equally frequent ones first."""
+    n = nodes.select("id", "kind").join(topics, "id").groupBy("topic", "kind").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("topic").orderBy(F.col("n").desc(), "kind")
+    return n.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+
+
+def related_topics(cross: DataFrame, most: int = 3) -> DataFrame:
+    """``(topic, related, n, rn)``: the topics that a topic has most links to, of ``cross`` as :func:`cross_topic_edges` gives them."""
+    both = cross.select("topic_a", "topic_b", "n").union(cross.select("topic_b", "topic_a", "n")).toDF("topic", "related", "n")
+    w = Window.partitionBy("topic").orderBy(F.col("n").desc(), "related")
+    return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+
+
+def resolved_answers(answers: DataFrame, asked: DataFrame, known: list[str]) -> DataFrame:
+    """``(batch, id, topic)`` from a model's answers ``(batch, answer)``: a JSON object of topics by number, name or id of what was asked.
+
+    asked: ``(batch, pos, id, name)``, pos from 0. Talk around the object is cut off; a key is tried as number, then as name without letter
+    case, then as id; topics that are not known are left out, and of several answers for a node the one whose key comes first counts.
+    """
+    said = answers.select("batch", F.posexplode(F.from_json(json_object_in("answer"), "map<string,string>")).alias("at", "k", "topic"))
+    said = said.select("batch", "at", F.trim("k").alias("k"), F.trim("topic").alias("topic")).where(F.col("topic").isin(known))
+    ways = F.array(*[F.struct(F.lit(p).alias("way"), k.alias("k")) for p, k in enumerate((F.col("pos").cast("string"), F.lower(F.trim("name")), F.col("id")))])
+    keyed = asked.select("batch", "id", F.inline(ways)).where("k <> ''")
+    hit = said.join(keyed.withColumnRenamed("k", "key"), "batch").where((F.col("k") == F.col("key")) | (F.col("way") == 1) & (F.lower("k") == F.col("key")))
+    best = hit.groupBy("batch", "at", "topic").agg(F.min(F.struct("way", "id"))["id"].alias("id"))
+    return best.groupBy("batch", "id").agg(F.min(F.struct("at", "topic"))["topic"].alias("topic"))
+
+
 def topic_top_members(nodes: DataFrame, topics: DataFrame, degree: DataFrame, groups: int = 6, members: int = 4) -> DataFrame:
     """``(topic, id, rn)``: the best members of the largest topics, by sources, then links, then id."""
     m = nodes.select("id", F.size(F.array_distinct(F.coalesce("source_captured_ids", F.array().cast("array<string>")))).alias("n")).join(topics, "id").join(degree, "id", "left").fillna(0, ["degree"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamgraph.functions import text
+
 ASOF_TEXT = "2025-12-31 00:00:00"
 DIM = 64
 
@@ -30,3 +32,35 @@ BRIDGE = "bridge AS (SELECT DISTINCT id AS node_id, lower(c) AS capture_id FROM
 
 def sql(*ctes: str, query: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + query
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def noise_sql(t: str) -> str:
+    """Whether a capture of the alias ``t`` is noise."""
+    title, summary, content = (f"coalesce({t}.{c}, '')" for c in ("title", "summary", "content"))
+    whole = f"trim(lower({title} || ' ' || {summary} || ' ' || {content}))"
+    words = " OR ".join(f"contains({whole}, {_quoted(w)})" for w in text.NOISE_WORDS)
+    titles = " OR ".join(f"regexp_matches({title}, {_quoted(p)})" for p in text.NOISE_TITLES)
+    facts = _quoted(text.FILE_FACTS)
+    rest = rf"length(regexp_replace(regexp_replace({content}, {facts}, ''), '[\s\p{{P}}\p{{N}}A-Za-z]', '', 'g'))"
+    body = rf"length(regexp_replace({summary} || ' ' || {content}, '[\s，。、！？；：,.!?;:\"“”‘’（）()\-—…\dA-Za-z]', '', 'g'))"
+    return f"({whole} = '' OR {words} OR {titles} OR (regexp_matches({content}, {facts}) AND {rest} <= 10) OR (coalesce(len({t}.tags), 0) = 0 AND {body} > 0 AND {body} <= 10))"
+
+
+def trivial_sql(name: str) -> str:
+    """Whether a node's name says nothing."""
+    s = f"trim(coalesce({name}, ''))"
+    left = s
+    for n in sorted({len(w) for w in text.STOP_WORDS}, reverse=True):
+        left = f"regexp_replace({left}, {_quoted('|'.join(w for w in dict.fromkeys(text.STOP_WORDS) if len(w) == n))}, '', 'g')"
+    left = f"regexp_replace({left}, {_quoted(PUNCTUATION)}, '', 'g')"
+    left = f"regexp_replace({left}, {_quoted('|'.join(text.VAGUE_WORDS))}, '', 'g')"
+    left = rf"length(regexp_replace({left}, '[^一-鿿\p{{L}}]', '', 'g'))"
+    inside = _quoted("|".join(text.TIME_INSIDE))
+    return rf"({s} = '' OR {s} IN ({', '.join(_quoted(w) for w in text.STOP_WORDS + text.VAGUE_WORDS)}) OR regexp_matches({s}, '^[一-鿿]$') OR regexp_matches({s}, '^[\s\p{{P}}`~$^+=<>|]+$') OR regexp_matches({s}, {_quoted('^(?:' + '|'.join(text.TIME_NAMES) + ')$')}) OR regexp_matches({s}, {inside}) OR {left} <= 1)"
+
+
+PUNCTUATION = r"""[\d.,;:!?，。；：！？、…—\-·'\"“”‘’【】《》（）()\[\]{}<>+\s]+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loamgraph.functions.scores import kind_priority
 from loamgraph.operators import communities, graph, records, topics
+from loamgraph.plans import views
 from loamgraph.queries.common import ASOF, BRIDGE, CAP, EDGE, LABEL, LINK, NODE, asof, sql
 from loamgraph.schemas import OTHER_TOPIC, topic_rows
 from loamgraph.sources.tables import captures, labels, links, nodes
@@ -140,6 +141,51 @@ def topic_top_members(spark: SparkSession, d: str) -> DataFrame:
     return topics.topic_top_members(nodes(spark, d, "source_captured_ids"), _topics(spark, d), graph.degrees(_edges(spark, d)))
 
 
+def degree_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees_by_name(links(spark, d), nodes(spark, d, "name"))
+
+
+def topic_kind_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topic_kinds(nodes(spark, d, "kind"), _topics(spark, d))
+
+
+def related_topics(spark: SparkSession, d: str) -> DataFrame:
+    return topics.related_topics(cross_topic_edges(spark, d))
+
+
+def drill_down_topic(spark: SparkSession, d: str) -> DataFrame:
+    """The topics beside the largest one, with the number of links to each."""
+    t = _topics(spark, d)
+    first = t.where(F.col("topic") != OTHER_TOPIC).groupBy("topic").count().orderBy(F.col("count").desc(), "topic").limit(1).head()
+    return topics.drill_down(_edges(spark, d), t, first["topic"] if first else "")[1]
+
+
+def node_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links at the node with the most links."""
+    n = nodes(spark, d, "source_captured_ids")
+    e = links(spark, d)
+    hub = graph.degrees(_edges(spark, d)).orderBy(F.col("degree").desc(), "id").limit(1).head()
+    return views.node_detail(hub["id"] if hub else "", n, e, captures(spark, d, "title", "created_at"))[0].select("id", F.lower("source").alias("source"), F.lower("target").alias("target"))
+
+
+def node_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The captures that the node with the most links and those links name, the first eight of them."""
+    hub = graph.degrees(_edges(spark, d)).orderBy(F.col("degree").desc(), "id").limit(1).head()
+    return views.node_detail(hub["id"] if hub else "", nodes(spark, d, "source_captured_ids"), links(spark, d), captures(spark, d, "title", "created_at"))[1].select("id", "title")
+
+
+def kind_filter_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by kind on the display's list, others as unknown."""
+    return nodes(spark, d, "kind").groupBy(views.known_kind("kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def recent_sub_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a span of time, both ends included, with their size by the links among themselves."""
+    at = lambda t: F.lit(t + "+00:00").cast("timestamp")
+    shown, _ = views.sub_graph(nodes(spark, d, "kind", "created_at"), _edges(spark, d), since=at("2025-01-01 00:00:00"), until=at("2025-12-31 23:59:59.999"))
+    return shown.select("id", "size")
+
+
 def nodes_without_topic(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d, "name").select("id").join(_topics(spark, d), "id", "left_anti")
 
@@ -202,6 +248,8 @@ _SEEDS = f"seed AS (SELECT DISTINCT cap.scope_id AS grp, node_id AS id FROM brid
 _TOPIC = "topic AS (SELECT label.* FROM label WHERE id IN (SELECT id FROM node))"
 _CROSS = "cr AS (SELECT least(x.topic, y.topic) AS topic_a, greatest(x.topic, y.topic) AS topic_b, count(*) AS n FROM edge JOIN topic x ON x.id = a JOIN topic y ON y.id = b WHERE x.topic <> y.topic GROUP BY 1, 2)"
 _VOTE = "vote AS (SELECT capture_id, topic, votes FROM (SELECT capture_id, topic, count(*) AS votes, sum(val) AS w FROM bridge JOIN node ON node.id = node_id JOIN topic ON topic.id = node_id WHERE topic <> '其他' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY votes DESC, w DESC, topic) = 1)"
+_HUB = "hub AS (SELECT src AS id FROM adj GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_NORM = r"""trim(regexp_replace(translate(lower(trim(coalesce({c}, ''))), '，。！？、,.!?;；:"''“”‘’（）()【】[]{{}}<>', repeat(' ', 29)), '[\s\p{{Z}}\x0b\x{{85}}]+', ' ', 'g'))"""
 _KNOWN = "known(fine, broad) AS (VALUES " + ", ".join(f"('{f}', '{b}')" for f, b, _ in topic_rows()) + ")"
 
 
@@ -218,6 +266,7 @@ QUERIES = {
     for f in (
         capture_node_bridge_stats, unlinked_captures, links_with_names, links_touching_recent_nodes, undirected_degree, depth_profile, implicit_pairs, two_hop_bridges, bfs_distance_from_seeds, paths_to_seeds, connected_components,
         ppr_3_iterations, ppr_bridges, communities_greedy, community_profile, topic_hierarchy, broad_topic_rollup, cross_topic_edges, topic_edge_degree, capture_topic_vote, topic_capture_groups, topic_insight, topic_top_members,
+        degree_by_name, topic_kind_histogram, related_topics, drill_down_topic, node_links, node_evidence, kind_filter_unknown, recent_sub_graph,
         nodes_without_topic, topic_signatures, topic_view_edges, kind_ranks, link_merge_upsert, dangling_reference_repair, deleted_refs_removed, alias_first_match, latest_snapshot_merge, insert_ignore_duplicates, status_timeout_reconcile,
     )
 }
@@ -248,6 +297,17 @@ ORACLES = {
     "topic_insight": sql(NODE, LABEL, _TOPIC, BRIDGE, query=f"SELECT topic, count(DISTINCT node.id) AS n_nodes, count(DISTINCT capture_id) AS n_captures, count(DISTINCT node.id) FILTER (WHERE created_at >= {ASOF} - INTERVAL 60 DAY) AS n_new FROM node JOIN topic ON topic.id = node.id LEFT JOIN bridge ON node_id = node.id GROUP BY 1"),
     "topic_top_members": sql(NODE, EDGE, LABEL, _TOPIC, "g AS (SELECT src, count(*) AS degree FROM adj GROUP BY src)", "m AS (SELECT node.id, topic, len(list_distinct(node.src)) + CASE WHEN list_contains(list_transform(node.src, lambda x: x IS NULL), true) THEN 1 ELSE 0 END AS n, coalesce(degree, 0) AS degree FROM node JOIN topic ON topic.id = node.id LEFT JOIN g ON g.src = node.id)",
         "tops AS (SELECT topic FROM m GROUP BY 1 ORDER BY count(*) DESC, topic LIMIT 6)", query="SELECT topic, id, rn FROM (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY n DESC, degree DESC, id) AS rn FROM m WHERE topic IN (SELECT topic FROM tops)) WHERE rn <= 4"),
+    "degree_by_name": sql(NODE, LINK, query="SELECT name, count(*) AS degree FROM (SELECT lower(source) AS id FROM link UNION ALL SELECT lower(target) FROM link) e JOIN node USING (id) GROUP BY name"),
+    "topic_kind_histogram": sql(NODE, LABEL, _TOPIC, query="SELECT topic, kind, n, rn FROM (SELECT topic, kind, count(*) AS n, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, kind) AS rn FROM node JOIN topic USING (id) GROUP BY 1, 2) WHERE rn <= 5"),
+    "related_topics": sql(NODE, EDGE, LABEL, _TOPIC, _CROSS, query="SELECT topic, related, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, related) AS rn FROM (SELECT topic_a AS topic, topic_b AS related, n FROM cr UNION ALL SELECT topic_b, topic_a, n FROM cr)) WHERE rn <= 3"),
+    "drill_down_topic": sql(NODE, EDGE, LABEL, _TOPIC, _CROSS, "top AS (SELECT topic FROM topic WHERE topic <> '其他' GROUP BY 1 ORDER BY count(*) DESC, topic LIMIT 1)", query="SELECT CASE WHEN topic_a = top.topic THEN topic_b ELSE topic_a END AS topic, n FROM cr, top WHERE topic_a = top.topic OR topic_b = top.topic"),
+    "node_links": sql(NODE, EDGE, LINK, _HUB, query="SELECT link.id, lower(source) AS source, lower(target) AS target FROM link, hub WHERE lower(source) = hub.id OR lower(target) = hub.id"),
+    "node_evidence": sql(CAP, NODE, EDGE, LINK, _HUB, "named AS (SELECT 0 AS src, generate_subscripts(n.src, 1) AS pos, unnest(n.src) AS c FROM node n JOIN hub ON hub.id = n.id UNION ALL SELECT 1, generate_subscripts(evidence_captured_ids, 1), unnest(evidence_captured_ids) FROM link, hub WHERE lower(source) = hub.id OR lower(target) = hub.id)",
+        "firsts AS (SELECT lower(c) AS id FROM named WHERE c IS NOT NULL AND c <> '' GROUP BY 1 ORDER BY min({'s': src, 'p': pos}), id LIMIT 8)", query="SELECT id, title FROM cap WHERE id IN (SELECT id FROM firsts)"),
+    "kind_filter_unknown": sql(NODE, query="SELECT CASE WHEN kind IN ('person', 'event', 'object', 'concept', 'view', 'conclusion', 'todo', 'question', 'time', 'location', 'organization', 'role') THEN kind ELSE 'unknown' END AS kind, count(*) AS n FROM node GROUP BY 1"),
+    "recent_sub_graph": sql(NODE, EDGE, "shown AS (SELECT id FROM node WHERE created_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AND created_at <= TIMESTAMPTZ '2025-12-31 23:59:59.999+00')", query="SELECT id, least(14, 6 + count(dst))::BIGINT AS size FROM shown LEFT JOIN (SELECT * FROM adj WHERE dst IN (SELECT id FROM shown)) x ON x.src = shown.id GROUP BY id"),
+    "alias_first_match": sql(NODE, f"asked AS (SELECT scope_id, id AS key, generate_subscripts(aliases, 1) AS pos, {_NORM.format(c='unnest(aliases)')} AS n FROM node)", f"known AS (SELECT scope_id, id AS node_id, 0 AS prio, {_NORM.format(c='name')} AS n FROM node UNION ALL SELECT scope_id, id, 1, {_NORM.format(c='unnest(aliases)')} FROM node)",
+        query="SELECT key, node_id FROM (SELECT key, node_id, row_number() OVER (PARTITION BY a.scope_id, key ORDER BY pos, prio, node_id) AS rn FROM asked a JOIN known k ON k.scope_id = a.scope_id AND k.n = a.n WHERE a.n <> '') WHERE rn = 1"),
     "nodes_without_topic": sql(NODE, LABEL, query="SELECT id FROM node WHERE id NOT IN (SELECT id FROM label)"),
     "topic_signatures": sql(NODE, LABEL, _TOPIC, query="SELECT topic, sha1(string_agg(id, '|' ORDER BY id)) AS signature FROM topic GROUP BY 1"),
     "kind_ranks": sql(NODE, query="SELECT kind, CASE kind WHEN 'person' THEN 10 WHEN 'event' THEN 9 WHEN 'object' THEN 8 WHEN 'concept' THEN 7 WHEN 'view' THEN 6 WHEN 'conclusion' THEN 6 WHEN 'todo' THEN 6 WHEN 'question' THEN 6 WHEN 'time' THEN 5 WHEN 'location' THEN 5 ELSE 0 END AS priority, count(*) AS n FROM node GROUP BY kind"),

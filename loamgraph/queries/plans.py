@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.operators import evaluation, graph, layout
+from loamgraph.functions.text import clip, is_noise_capture, is_trivial_name
+from loamgraph.operators import evaluation, graph, layout, records, trends
 from loamgraph.plans import backup, recommend, summary, views
-from loamgraph.queries.common import CAP, EDGE, NODE, asof, sql
+from loamgraph.queries.common import ASOF, CAP, EDGE, LINK, NODE, asof, noise_sql, sql, trivial_sql
 from loamgraph.queries.graph import cross_topic_edges
 from loamgraph.runtime import cut
-from loamgraph.schemas import KIND_COLOR
+from loamgraph.queries.trends import ORACLES as TREND_SQL
+from loamgraph.schemas import KIND_COLOR, topic_rows
 from loamgraph.sources.tables import captures, labels, links, nodes
 
 _TEXT = ("title", "content", "summary", "tags", "created_at")
@@ -37,6 +39,46 @@ def summary_communities(spark: SparkSession, d: str) -> DataFrame:
     return s.communities.select("community", "name", "n_nodes", "n_captures", "evolution")
 
 
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Changes of the last month against the one before, directions of themes, hubs, and the tags of the month."""
+    c, n = captures(spark, d, "tags", "created_at"), nodes(spark, d, "name", "source_captured_ids", "created_at")
+    changes = trends.period_changes({"captures": c, "nodes": n, "links": links(spark, d)}, asof(), 30)
+    directions = trends.theme_directions(c, asof(), 30, 30)
+    hubs = n.select("id", "name", F.size("source_captured_ids").alias("n_sources")).where((F.col("n_sources") > 0) & ~is_trivial_name("name"))
+    return changes, directions, hubs, trends.tag_frequency(c.where(trends.period_of("created_at", asof(), 30) == "recent"))
+
+
+def trend_list(spark: SparkSession, d: str) -> DataFrame:
+    changes, directions, _, _ = _facts(spark, d)
+    return summary.trend_list(changes, directions).select("pos", "trend", "direction", "now", "before", "percent", F.array_join("names", "|").alias("names"))
+
+
+def next_actions(spark: SparkSession, d: str) -> DataFrame:
+    return summary.next_actions(*_facts(spark, d)).select("pos", "action", "subject", "now", "before", F.array_join("names", "|").alias("names"))
+
+
+def summary_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of the three newest captures of each scope that say something."""
+    c = captures(spark, d, *_TEXT)
+    sound = c.where(~is_noise_capture("title", "summary", "content", "tags"))
+    return records.newest(sound, 3, partition=["scope_id"]).select("id", clip(F.coalesce(F.nullif("summary", F.lit("")), "content"), 120).alias("excerpt"))
+
+
+def shared_tag_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of the ten newest captures of a scope that share a tag."""
+    few = records.newest(captures(spark, d, "tags", "created_at"), 10, partition=["scope_id"]).select("scope_id", "id", "tags")
+    x, y = few.withColumnsRenamed({"id": "a", "tags": "ta"}), few.withColumnsRenamed({"id": "b", "tags": "tb"})
+    shared = F.filter(F.array_intersect("ta", "tb"), lambda t: t.isNotNull())
+    return x.join(y, "scope_id").where("a < b").withColumn("s", shared).where(F.size("s") > 0).select("scope_id", "a", "b", F.size("s").alias("n_shared"))
+
+
+def themes_to_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The fine topics' names matched to the tags that stand in them."""
+    tags = trends.tag_frequency(captures(spark, d, "tags")).select("tag")
+    known = spark.createDataFrame([(r[0],) for r in topic_rows()] + [("morning sleep debt",), ("weekly plan and budget",)], "theme string")
+    return views.themes_to_tags(known, tags)
+
+
 def markdown_archive(spark: SparkSession, d: str) -> DataFrame:
     m = backup.markdown(captures(spark, d, "title", "content", "summary", "tags", "note", "created_at"))
     return m.select("id", F.md5("value").alias("digest"), F.length("value").alias("n"))
@@ -66,8 +108,32 @@ def component_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BODY = "coalesce(nullif(content, ''), nullif(summary, ''), '')"
-QUERIES = {f.__name__: f for f in (recommend_candidates, recommend_with_graph, summary_themes, summary_communities, markdown_archive, topic_layout_quality, kind_color_spread, capture_cards, component_view)}
+QUERIES = {f.__name__: f for f in (recommend_candidates, recommend_with_graph, summary_themes, summary_communities, markdown_archive, topic_layout_quality, kind_color_spread, capture_cards, component_view, trend_list, next_actions, summary_excerpts, shared_tag_pairs, themes_to_tags)}
+_CHANGES = "changes AS (" + TREND_SQL["period_activity_change"] + ")"
+_DIRS = "dirs AS (SELECT name, direction, recent, older, total FROM (" + TREND_SQL["theme_order"].replace("SELECT name, direction, total, row_number()", "SELECT name, direction, recent, older, total, row_number()") + "))"
+_HUBS = f"hubs AS (SELECT id, name, len(src) AS n FROM node WHERE len(src) > 0 AND NOT {trivial_sql('name')} ORDER BY len(src) DESC, id LIMIT 1)"
+_MONTH = f"month AS (SELECT t, count(*) AS n FROM (SELECT unnest(tags) AS t FROM cap WHERE created_at >= {ASOF} - INTERVAL 30 DAY AND created_at < {ASOF}) WHERE t IS NOT NULL AND trim(t) <> '' GROUP BY t ORDER BY n DESC, t LIMIT 3)"
+_COLORS = "c(n, r, g, b) AS (VALUES " + ", ".join(f"('{k}', {int(v[1:3], 16)}, {int(v[3:5], 16)}, {int(v[5:7], 16)})" for k, v in KIND_COLOR.items()) + ")"
 ORACLES = {
+    "trend_list": sql(_CHANGES, _DIRS, "q AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY total DESC, name) AS rn FROM dirs WHERE direction <> 'stable')",
+        query="""SELECT * FROM (SELECT CASE measure WHEN 'captures' THEN 0 WHEN 'nodes' THEN 1 ELSE 2 END AS pos, measure AS trend, change AS direction, now, before, percent, '' AS names FROM changes
+        WHERE measure = 'captures' AND change IS NOT NULL OR measure = 'nodes' AND change IN ('up', 'down') OR measure = 'links' AND change = 'up'
+        UNION ALL SELECT CASE direction WHEN 'up' THEN 3 WHEN 'new' THEN 4 ELSE 5 END, 'themes', direction, sum(recent)::BIGINT, sum(older)::BIGINT, NULL, string_agg(name, '|' ORDER BY rn) FROM q WHERE rn <= 2 GROUP BY direction) ORDER BY pos LIMIT 5"""),
+    "next_actions": sql(CAP, NODE, _CHANGES, _DIRS, _HUBS, _MONTH, "cc AS (SELECT * FROM changes WHERE measure = 'captures')", "nn AS (SELECT * FROM changes WHERE measure = 'nodes')",
+        query="""SELECT 1 AS pos, 'record' AS action, NULL::VARCHAR AS subject, now, before, '' AS names FROM cc WHERE now <= 3
+        UNION ALL SELECT 2, 'link', NULL, cc.now, NULL, '' FROM cc, nn WHERE nn.now = 0 AND cc.now > 0
+        UNION ALL (SELECT 3, 'deepen', name, recent, older, direction FROM dirs WHERE direction IN ('up', 'new') AND recent >= 2 ORDER BY recent DESC, name LIMIT 2)
+        UNION ALL (SELECT 4, 'resume', name, recent, older, '' FROM dirs WHERE direction = 'down' ORDER BY older DESC, name LIMIT 1)
+        UNION ALL SELECT 5, 'review', name, n, NULL, (SELECT string_agg(t, '|' ORDER BY n DESC, t) FROM month) FROM hubs
+        UNION ALL SELECT 6, 'keep', NULL, now, before, '' FROM cc WHERE change = 'up'"""),
+    "summary_excerpts": sql(CAP, f"s AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY created_at DESC NULLS LAST, id) AS rn FROM cap WHERE NOT {noise_sql('cap')})", query="SELECT id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS excerpt FROM (SELECT id, coalesce(nullif(summary, ''), content, '') AS t FROM s WHERE rn <= 3)"),
+    "shared_tag_pairs": sql(CAP, "few AS (SELECT scope_id, id, list_distinct(list_filter(tags, lambda t: t IS NOT NULL)) AS tags FROM cap QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY created_at DESC NULLS LAST, id) <= 10)", query="SELECT * FROM (SELECT x.scope_id, x.id AS a, y.id AS b, len(list_intersect(x.tags, y.tags))::INTEGER AS n_shared FROM few x JOIN few y ON x.scope_id = y.scope_id AND x.id < y.id) WHERE n_shared > 0"),
+    "themes_to_tags": sql(CAP, "tag AS (SELECT DISTINCT t FROM (SELECT unnest(tags) AS t FROM cap) WHERE trim(t) <> '')", "known(theme) AS (VALUES " + ", ".join(f"('{r[0]}')" for r in topic_rows()) + ", ('morning sleep debt'), ('weekly plan and budget'))", query="SELECT theme, t AS tag FROM known JOIN tag ON contains(lower(theme), lower(t)) QUALIFY row_number() OVER (PARTITION BY theme ORDER BY instr(lower(theme), lower(t)), length(t) DESC, t) = 1"),
+    "summary_themes": sql(CAP, "tag AS (SELECT created_at, t FROM (SELECT created_at, unnest(tags) AS t FROM cap) WHERE t IS NOT NULL AND trim(t) <> '')",
+        f"w AS (SELECT t AS name, count(*) FILTER (WHERE created_at >= {ASOF} - INTERVAL 30 DAY AND created_at < {ASOF}) AS recent, count(*) FILTER (WHERE created_at < {ASOF} - INTERVAL 30 DAY) AS older FROM tag GROUP BY 1)",
+        "dirs AS (SELECT *, recent + older AS total, CASE WHEN older = 0 AND recent > 0 THEN 'new' WHEN recent = 0 AND older > 0 THEN 'down' WHEN recent >= older + 1 AND recent * 2 >= older * 3 THEN 'up' WHEN older >= recent + 1 AND older * 2 >= recent * 3 THEN 'down' ELSE 'stable' END AS direction FROM w WHERE recent + older >= 3)",
+        query=f"SELECT name, direction, name || ': ' || direction || ' (' || recent || ' now, ' || older || ' before)' AS line FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY total DESC, name) AS rn FROM dirs WHERE NOT {trivial_sql('name')}) WHERE rn <= CASE direction WHEN 'up' THEN 3 WHEN 'new' THEN 3 WHEN 'down' THEN 4 ELSE 0 END"),
+    "kind_color_spread": sql(_COLORS, "p AS (SELECT sqrt(power(x.r - y.r, 2) + power(x.g - y.g, 2) + power(x.b - y.b, 2)) AS d FROM c x JOIN c y ON x.n < y.n)", query="SELECT round(min(d), 6) AS least, round(median(d), 6) AS median, count(*) FILTER (WHERE d = 0) AS n_same FROM p"),
     "capture_cards": sql(CAP, query="SELECT id, coalesce(title, '') AS title, coalesce(nullif(summary, ''), nullif(content, ''), '') AS body, coalesce(len(tags), 0) AS n_tags FROM cap"),
     "component_view": sql(NODE, EDGE, "g AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY 1)", "walk AS (SELECT id FROM (SELECT id FROM g ORDER BY degree DESC, id LIMIT 1) UNION SELECT dst FROM walk JOIN adj ON adj.src = walk.id)", query="SELECT id, least(14, 6 + degree) AS size FROM g WHERE id IN (SELECT id FROM walk)"),
     "markdown_archive": sql(CAP, "m AS (SELECT id, concat_ws(chr(10) || chr(10), '## ' || coalesce(nullif(title, ''), 'Untitled'), concat_ws(' · ', strftime(created_at, '%Y-%m-%d %H:%M'), nullif(array_to_string(coalesce(tags, []), ', '), '')), nullif(regexp_replace(" + _BODY + ", '(?m)^#', '\\\\#', 'g'), ''), nullif(coalesce(note, ''), '')) AS value FROM cap)", query="SELECT id, md5(value) AS digest, length(value) AS n FROM m"),

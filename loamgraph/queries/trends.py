@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamgraph.functions.text import days_ago_text, is_noise_capture, is_trivial_name, normalize_name
+from loamgraph.functions.scores import direction_rank
+from loamgraph.functions.text import days_ago_text, has_signal, is_noise_capture, is_trivial_name, normalize_name
 from loamgraph.operators import records, retrieval, trends
-from loamgraph.queries.common import ASOF, CAP, LINK, NODE, asof, sql
+from loamgraph.queries.common import ASOF, CAP, LINK, NODE, asof, noise_sql, sql, trivial_sql
 from loamgraph.runtime import table
 from loamgraph.sources.tables import captures, links, nodes
 
@@ -46,6 +47,29 @@ def kind_facets_with_total(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.when(F.col("g") == 1, "all").otherwise(F.col("kind")).alias("kind"), "n")
 
 
+def hub_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The five nodes that most captures are named for, among those whose name says something."""
+    n = nodes(spark, d, "name", "source_captured_ids").select("id", "name", F.size("source_captured_ids").alias("n_sources"))
+    return n.where((F.col("n_sources") > 0) & ~is_trivial_name("name")).orderBy(F.col("n_sources").desc(), "id").limit(5)
+
+
+def theme_order(spark: SparkSession, d: str) -> DataFrame:
+    """The themes of the last month with their place: rising, new, falling, steady, then by uses."""
+    t = trends.theme_directions(captures(spark, d, "tags", "created_at"), asof(), 30, 30)
+    w = records.Window.orderBy(direction_rank("direction"), F.col("total").desc(), "name")
+    return t.withColumn("place", F.row_number().over(w)).select("name", "direction", "total", "place")
+
+
+def kind_month_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by kind and month with all sub-totals, and about how many names each has."""
+    n = nodes(spark, d, "kind", "name", "created_at").withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    return n.cube("kind", "month").agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"), F.grouping_id().cast("int").alias("level"))
+
+
+def signal_gate(spark: SparkSession, d: str) -> DataFrame:
+    return captures(spark, d, "content", "summary", "tags").groupBy("scope_id").agg(F.count_if(has_signal("content", "summary", "tags")).alias("n_signal"), F.count("*").alias("n"))
+
+
 def high_water_mark(spark: SparkSession, d: str) -> DataFrame:
     return captures(spark, d, "created_at").groupBy("scope_id").agg(F.unix_millis(F.max("created_at")).alias("watermark_ms"))
 
@@ -128,6 +152,7 @@ QUERIES = {
     for f in (
         tag_frequency, tag_frequency_with_blanks, recent_older_split, theme_directions_by_scope, theme_quota_pick, period_activity_change, weekly_timeline_top_tags, kind_facets_with_total, high_water_mark, days_ago,
         fixed_window_rate_limit, nearest_rank_quantile, sliding_week_counts, normalize_names, noise_flags, trivial_node_names, bm25_corpus_score, bm25_top_documents,
+        hub_nodes, theme_order, kind_month_cube, signal_gate,
     )
 }
 ORACLES = {
@@ -148,6 +173,12 @@ ORACLES = {
     "nearest_rank_quantile": sql(NODE, query="SELECT kind, list_sort(list(val))[CAST(floor((count(val) - 1) * 0.85) AS BIGINT) + 1] AS quantile FROM node GROUP BY kind"),
     "sliding_week_counts": "SELECT start_s, count(*) AS n FROM (SELECT unnest(range(day - 6 * 86400, day + 1, 86400)) AS start_s FROM (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS day FROM events)) GROUP BY 1",
     "normalize_names": sql(NODE, query=r"SELECT id, trim(regexp_replace(translate(lower(trim(name)), '，。！？、,.!?;；:\"''“”‘’（）()【】[]{}<>', repeat(' ', 29)), '[\s\p{Z}\x0b\x{85}]+', ' ', 'g')) AS norm FROM node".replace('\\"', '"')),
+    "noise_flags": sql(CAP, query=f"SELECT id, {noise_sql('cap')} AS noise FROM cap"),
+    "trivial_node_names": sql(NODE, query=f"SELECT id, name FROM node WHERE {trivial_sql('name')}"),
+    "hub_nodes": sql(NODE, query=f"SELECT id, name, len(src)::INTEGER AS n_sources FROM node WHERE len(src) > 0 AND NOT {trivial_sql('name')} ORDER BY len(src) DESC, id LIMIT 5"),
+    "theme_order": sql(CAP, _TAG, _WINDOWS.replace("scope_id, t AS name", "t AS name").replace("SELECT scope_id, name", "SELECT name"), query="SELECT name, direction, total, row_number() OVER (ORDER BY CASE direction WHEN 'up' THEN 0 WHEN 'new' THEN 1 WHEN 'down' THEN 2 ELSE 3 END, total DESC, name) AS place FROM dirs"),
+    "kind_month_cube": sql(NODE, query="SELECT kind, strftime(created_at, '%Y-%m') AS month, count(*) AS n, count(DISTINCT name) AS n_names, grouping_id(kind, strftime(created_at, '%Y-%m'))::INTEGER AS level FROM node GROUP BY CUBE (kind, strftime(created_at, '%Y-%m'))"),
+    "signal_gate": sql(CAP, query="SELECT scope_id, count(*) FILTER (WHERE coalesce(len(tags), 0) > 0 OR greatest(length(coalesce(content, '')), length(coalesce(summary, ''))) >= 24) AS n_signal, count(*) AS n FROM cap GROUP BY 1"),
     "bm25_corpus_score": _BM25 + "SELECT query, round(sum(score), 4) AS score FROM s GROUP BY query",
     "bm25_top_documents": _BM25 + "SELECT query, doc_id, score, rn FROM (SELECT query, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rn FROM s) WHERE rn <= 10",
 }
