@@ -58,3 +58,14 @@ def layout_quality(placed: DataFrame, radius: float = 30.0, width: float = 1000.
     over = a.join(b, "view").where((F.col("ia") < F.col("ib")) & near).groupBy("view").agg(F.count("*").alias("overlaps"))
     out = placed.groupBy("view").agg(F.count("*").alias("n"), F.count_if((F.abs("x") > width / 2 - radius) | (F.abs("y") > height / 2 - radius)).alias("clipped"))
     return out.join(over, "view", "left").fillna(0, ["overlaps"])
+
+
+def legible_labels(sizes: DataFrame, zoom: float = 1.0, least: float = 5.5) -> DataFrame:
+    """``(view, n_legible, n_small)`` of circles ``(view, name, radius)``: labels whose letters fit at ``least`` pixels and more.
+
+    A label has 0.62 of the radius for a letter's height, less where its first letters, at most seven, do not fit the width of 1.55 radii.
+    """
+    width, high = F.col("radius") * 1.55, F.col("radius") * 0.62
+    letters = F.greatest(F.least(F.greatest(F.lit(2), F.floor(width / high)), F.lit(7), F.length("name")), F.lit(1))
+    ok = F.least(high, width / letters) * zoom >= least
+    return sizes.groupBy("view").agg(F.count_if(ok).alias("n_legible"), F.count_if(~ok).alias("n_small"))

@@ -131,9 +131,10 @@ def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame | None, as
     return ranking.picked(ranking.scored(keyword_scores(cut(out), signal), feedback), most)
 
 
-def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason") -> DataFrame:
-    """``picked`` with reasons as a language model puts them; where it fails or answers nothing, the reason as it is."""
+def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason", longest: int = 80) -> DataFrame:
+    """``picked`` with reasons as a language model puts them; where it fails, answers nothing, more than one line or too much, the reason as it is."""
     said = answered(picked, reason_col, provider).select("id", F.nullif(F.trim("answer"), F.lit("")).alias("_said"))
+    said = said.where((F.length("_said") <= longest) & ~F.col("_said").contains("\n"))
     return picked.join(said, "id", "left").withColumn(reason_col, F.coalesce("_said", reason_col)).drop("_said")
 
 

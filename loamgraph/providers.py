@@ -50,6 +50,31 @@ class EchoAnswerer:
         return [self.f(p) for p in prompts]
 
 
+class FirstThatWorks:
+    """Embedders tried in turn (keys, models, addresses): what one fails at, or gives another length for, the next is asked."""
+
+    def __init__(self, *providers: Embedder):
+        self.providers, self.dim = providers, providers[0].dim
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        out: list[list[float] | None] = [None] * len(texts)
+        error = None
+        for p in self.providers:
+            todo = [i for i, v in enumerate(out) if v is None]
+            try:
+                got = p.embed([texts[i] for i in todo])
+            except Exception as e:  # noqa: BLE001
+                error = e
+                continue
+            for i, v in zip(todo, got):
+                out[i] = v if v is not None and len(v) == self.dim else None
+            if None not in out:
+                return out
+        if error is not None and all(v is None for v in out):
+            raise error
+        return out
+
+
 def _patient(call, texts: list[str], attempts: int, wait: float) -> tuple[list, str | None]:
     error = None
     for i in range(attempts):
@@ -62,15 +87,24 @@ def _patient(call, texts: list[str], attempts: int, wait: float) -> tuple[list,
     return [None] * len(texts), error
 
 
-def embedded(df: DataFrame, text_col: str, provider: Embedder, key: str = "id", attempts: int = 4, wait: float = 2.0) -> DataFrame:
-    """``(key, embedding, error)``: a vector for each text, null with an error where the service fails or gives another length."""
+def embedded(df: DataFrame, text_col: str, provider: Embedder, key: str = "id", attempts: int = 4, wait: float = 2.0, budget: float | None = None, at_once: int = 64) -> DataFrame:
+    """``(key, embedding, error)``: a vector for each text, null with an error where the service fails or gives another length.
+
+    budget: seconds that a task may take; the texts that it has not come to by then have the error 'out of time', and the rest is kept.
+    """
     schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got, error = _patient(provider.embed, list(pdf[text_col].fillna("")), attempts, wait)
-            bad = [error if g is None else None if len(g) == provider.dim else f"{len(g)} numbers" for g in got]
-            yield pd.DataFrame({key: pdf[key], "embedding": [g if b is None else None for g, b in zip(got, bad)], "error": bad})
+        started = time.monotonic()
+        for whole in frames:
+            for at in range(0, len(whole), at_once):
+                pdf = whole.iloc[at : at + at_once]
+                if budget is not None and time.monotonic() - started >= budget:
+                    got, error = [None] * len(pdf), "out of time"
+                else:
+                    got, error = _patient(provider.embed, list(pdf[text_col].fillna("")), attempts, wait)
+                bad = [error or "no vector" if g is None else None if len(g) == provider.dim else f"{len(g)} numbers" for g in got]
+                yield pd.DataFrame({key: pdf[key], "embedding": [g if b is None else None for g, b in zip(got, bad)], "error": bad})
 
     return df.select(key, text_col).mapInPandas(run, schema)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loamgraph.functions.scores import topic_radius
 from loamgraph.functions.text import clip, is_noise_capture, is_trivial_name
 from loamgraph.operators import evaluation, graph, layout, records, trends
 from loamgraph.plans import backup, recommend, summary, views
-from loamgraph.queries.common import ASOF, CAP, EDGE, LINK, NODE, asof, noise_sql, sql, trivial_sql
+from loamgraph.queries.common import ASOF, CAP, EDGE, LABEL, NODE, asof, noise_sql, sql, trivial_sql
 from loamgraph.queries.graph import cross_topic_edges
 from loamgraph.runtime import cut
 from loamgraph.queries.trends import ORACLES as TREND_SQL
@@ -90,6 +91,11 @@ def topic_layout_quality(spark: SparkSession, d: str) -> DataFrame:
     return layout.layout_quality(layout.force_layout(n, e))
 
 
+def topic_label_legibility(spark: SparkSession, d: str) -> DataFrame:
+    n = labels(spark, d).groupBy("name").agg(F.count("*").alias("members"))
+    return layout.legible_labels(n.select(F.lit("all").alias("view"), "name", topic_radius("members").alias("radius")))
+
+
 def kind_color_spread(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.color_spread(spark.createDataFrame(list(KIND_COLOR.items()), "name string, color string"))
 
@@ -108,7 +114,7 @@ def component_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BODY = "coalesce(nullif(content, ''), nullif(summary, ''), '')"
-QUERIES = {f.__name__: f for f in (recommend_candidates, recommend_with_graph, summary_themes, summary_communities, markdown_archive, topic_layout_quality, kind_color_spread, capture_cards, component_view, trend_list, next_actions, summary_excerpts, shared_tag_pairs, themes_to_tags)}
+QUERIES = {f.__name__: f for f in (recommend_candidates, recommend_with_graph, summary_themes, summary_communities, markdown_archive, topic_layout_quality, topic_label_legibility, kind_color_spread, capture_cards, component_view, trend_list, next_actions, summary_excerpts, shared_tag_pairs, themes_to_tags)}
 _CHANGES = "changes AS (" + TREND_SQL["period_activity_change"] + ")"
 _DIRS = "dirs AS (SELECT name, direction, recent, older, total FROM (" + TREND_SQL["theme_order"].replace("SELECT name, direction, total, row_number()", "SELECT name, direction, recent, older, total, row_number()") + "))"
 _HUBS = f"hubs AS (SELECT id, name, len(src) AS n FROM node WHERE len(src) > 0 AND NOT {trivial_sql('name')} ORDER BY len(src) DESC, id LIMIT 1)"
@@ -133,6 +139,7 @@ ORACLES = {
         f"w AS (SELECT t AS name, count(*) FILTER (WHERE created_at >= {ASOF} - INTERVAL 30 DAY AND created_at < {ASOF}) AS recent, count(*) FILTER (WHERE created_at < {ASOF} - INTERVAL 30 DAY) AS older FROM tag GROUP BY 1)",
         "dirs AS (SELECT *, recent + older AS total, CASE WHEN older = 0 AND recent > 0 THEN 'new' WHEN recent = 0 AND older > 0 THEN 'down' WHEN recent >= older + 1 AND recent * 2 >= older * 3 THEN 'up' WHEN older >= recent + 1 AND older * 2 >= recent * 3 THEN 'down' ELSE 'stable' END AS direction FROM w WHERE recent + older >= 3)",
         query=f"SELECT name, direction, name || ': ' || direction || ' (' || recent || ' now, ' || older || ' before)' AS line FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY total DESC, name) AS rn FROM dirs WHERE NOT {trivial_sql('name')}) WHERE rn <= CASE direction WHEN 'up' THEN 3 WHEN 'new' THEN 3 WHEN 'down' THEN 4 ELSE 0 END"),
+    "topic_label_legibility": sql(LABEL, "m AS (SELECT topic AS name, greatest(9.0, least(24.0, 7 + 19 * sqrt(least(count(*), 400) / 400.0))) AS r FROM label GROUP BY 1)", "f AS (SELECT least(r * 0.62, r * 1.55 / greatest(least(greatest(2, floor(r * 1.55 / (r * 0.62))), 7, length(name)), 1)) >= 5.5 AS ok FROM m)", query="SELECT 'all' AS view, count(*) FILTER (WHERE ok) AS n_legible, count(*) FILTER (WHERE NOT ok) AS n_small FROM f"),
     "kind_color_spread": sql(_COLORS, "p AS (SELECT sqrt(power(x.r - y.r, 2) + power(x.g - y.g, 2) + power(x.b - y.b, 2)) AS d FROM c x JOIN c y ON x.n < y.n)", query="SELECT round(min(d), 6) AS least, round(median(d), 6) AS median, count(*) FILTER (WHERE d = 0) AS n_same FROM p"),
     "capture_cards": sql(CAP, query="SELECT id, coalesce(title, '') AS title, coalesce(nullif(summary, ''), nullif(content, ''), '') AS body, coalesce(len(tags), 0) AS n_tags FROM cap"),
     "component_view": sql(NODE, EDGE, "g AS (SELECT src AS id, count(*) AS degree FROM adj GROUP BY 1)", "walk AS (SELECT id FROM (SELECT id FROM g ORDER BY degree DESC, id LIMIT 1) UNION SELECT dst FROM walk JOIN adj ON adj.src = walk.id)", query="SELECT id, least(14, 6 + degree) AS size FROM g WHERE id IN (SELECT id FROM walk)"),
