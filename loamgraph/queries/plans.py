@@ -8,10 +8,10 @@ from loamgraph.functions.scores import topic_radius
 from loamgraph.functions.text import clip, is_noise_capture, is_trivial_name
 from loamgraph.operators import evaluation, graph, layout, records, trends
 from loamgraph.plans import backup, recommend, summary, views
-from loamgraph.queries.common import ASOF, CAP, EDGE, LABEL, NODE, asof, noise_sql, sql, trivial_sql
+from loamgraph.queries.common import ASOF, BRIDGE, CAP, EDGE, LABEL, NODE, asof, noise_sql, sql, trivial_sql
 from loamgraph.queries.graph import cross_topic_edges
 from loamgraph.runtime import cut
-from loamgraph.queries.trends import ORACLES as TREND_SQL
+from loamgraph.queries.trends import ORACLES as TREND_SQL, _terms
 from loamgraph.schemas import KIND_COLOR, topic_rows
 from loamgraph.sources.tables import captures, labels, links, nodes
 
@@ -119,8 +119,30 @@ _CHANGES = "changes AS (" + TREND_SQL["period_activity_change"] + ")"
 _DIRS = "dirs AS (SELECT name, direction, recent, older, total FROM (" + TREND_SQL["theme_order"].replace("SELECT name, direction, total, row_number()", "SELECT name, direction, recent, older, total, row_number()") + "))"
 _HUBS = f"hubs AS (SELECT id, name, len(src) AS n FROM node WHERE len(src) > 0 AND NOT {trivial_sql('name')} ORDER BY len(src) DESC, id LIMIT 1)"
 _MONTH = f"month AS (SELECT t, count(*) AS n FROM (SELECT unnest(tags) AS t FROM cap WHERE created_at >= {ASOF} - INTERVAL 30 DAY AND created_at < {ASOF}) WHERE t IS NOT NULL AND trim(t) <> '' GROUP BY t ORDER BY n DESC, t LIMIT 3)"
+_AGE = f"(epoch_ms({ASOF}) - epoch_ms(created_at))"
+_CANDIDATES = sql(
+    CAP, NODE, BRIDGE,
+    f"s AS (SELECT *, scope_id AS grp, row_number() OVER (PARTITION BY scope_id ORDER BY created_at DESC NULLS LAST, id) AS newest FROM cap WHERE NOT {noise_sql('cap')} QUALIFY newest <= 40)",
+    "review AS (SELECT grp, 'review-' || id AS id, 'review' AS type, 0.4::DOUBLE AS base, 1 AS pos, coalesce(title, '') || ' ' || coalesce(summary, '') AS text FROM s WHERE (coalesce(len(tags), 0) > 0 OR greatest(length(coalesce(content, '')), length(coalesce(summary, ''))) >= 24) AND id NOT IN (SELECT capture_id FROM bridge))",
+    "tag AS (SELECT grp, id, created_at, long, t FROM (SELECT grp, id, created_at, greatest(length(coalesce(content, '')), length(coalesce(summary, ''))) >= 24 AS long, unnest(tags) AS t FROM s) WHERE t IS NOT NULL AND trim(t) <> '')",
+    f"th AS (SELECT grp, t, count(*) FILTER (WHERE {_AGE} > 0 AND {_AGE} <= 604800000) AS recent, count(*) FILTER (WHERE {_AGE} > 604800000) AS older, count(DISTINCT id) FILTER (WHERE long) AS n_long FROM tag GROUP BY 1, 2)",
+    f"forming AS (SELECT grp, 'forming-' || t AS id, 'forming' AS type, 0.6::DOUBLE AS base, 4 AS pos, t AS text FROM th WHERE recent >= 2 AND (older = 0 OR recent >= older + 1 AND recent * 2 >= older * 3) AND n_long >= 2 AND NOT {trivial_sql('t')})",
+    "few AS (SELECT grp, id, list_filter(tags, lambda t: t IS NOT NULL) AS tags, coalesce(title, '') AS title, created_at FROM s WHERE newest <= 40 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY created_at DESC NULLS LAST, id) <= 10)",
+    "related AS (SELECT x.grp, 'related-' || x.id || '-' || y.id AS id, 'related' AS type, 0.2::DOUBLE AS base, 5 AS pos, CASE WHEN x.created_at > y.created_at OR x.created_at = y.created_at THEN x.title || ' ' || y.title ELSE y.title || ' ' || x.title END AS text FROM few x JOIN few y ON x.grp = y.grp AND x.id < y.id WHERE list_has_any(x.tags, y.tags))",
+    "cand AS (SELECT * FROM review UNION ALL SELECT * FROM forming UNION ALL SELECT * FROM related)",
+    f"doc AS (SELECT grp, id, {_terms('text')} AS w FROM (SELECT grp, id, coalesce(title, '') || ' ' || coalesce(summary, '') || ' ' || coalesce(content, '') AS text FROM s))",
+    "size AS (SELECT grp, count(*) AS n, avg(len(w)) AS avg_len FROM doc GROUP BY grp)",
+    "tf AS (SELECT grp, id, len, term, count(*) AS tf FROM (SELECT grp, id, len(w) AS len, unnest(w) AS term FROM doc) GROUP BY ALL)",
+    "wt AS (SELECT grp, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) * sum(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS w FROM tf JOIN size USING (grp) GROUP BY grp, term)",
+    f"asked AS (SELECT DISTINCT grp, id, unnest(w) AS term FROM (SELECT grp, id, {_terms('text')} AS w FROM cand WHERE text <> ''))",
+    "kw AS (SELECT grp, id, round(least(1.0, sum(w) / 50), 9) AS k FROM asked JOIN wt USING (grp, term) GROUP BY 1, 2)",
+    "scored AS (SELECT cand.grp, cand.id, type, pos, 0.3 * coalesce(k, 0) + 0.3 * base AS score FROM cand LEFT JOIN kw ON kw.grp = cand.grp AND kw.id = cand.id)",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY grp, type ORDER BY score DESC, pos, id) AS rn FROM scored QUALIFY rn <= 2)",
+    query="SELECT grp, id, type, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rn <> 1, score DESC, pos, id) AS place FROM ranked) WHERE place <= 6",
+)
 _COLORS = "c(n, r, g, b) AS (VALUES " + ", ".join(f"('{k}', {int(v[1:3], 16)}, {int(v[3:5], 16)}, {int(v[5:7], 16)})" for k, v in KIND_COLOR.items()) + ")"
 ORACLES = {
+    "recommend_candidates": _CANDIDATES,
     "trend_list": sql(_CHANGES, _DIRS, "q AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY total DESC, name) AS rn FROM dirs WHERE direction <> 'stable')",
         query="""SELECT * FROM (SELECT CASE measure WHEN 'captures' THEN 0 WHEN 'nodes' THEN 1 ELSE 2 END AS pos, measure AS trend, change AS direction, now, before, percent, '' AS names FROM changes
         WHERE measure = 'captures' AND change IS NOT NULL OR measure = 'nodes' AND change IN ('up', 'down') OR measure = 'links' AND change = 'up'
