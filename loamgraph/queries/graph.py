@@ -261,6 +261,18 @@ def _ppr_sql(n: int) -> str:
     return sql(CAP, NODE, EDGE, BRIDGE, _SEEDS, *ctes, query=f"SELECT grp, id, round(rank, 9) AS rank FROM r{n}")
 
 
+def _ppr_bridges_sql(n: int) -> str:
+    """Two-hop bridges of each scope by the rank of their middle node from the first capture's nodes, the ten best."""
+    ways = ORACLES["two_hop_bridges"].replace("SELECT capture_a, capture_b, w.node_a AS node_a", "SELECT z.grp, capture_a, capture_b, w.node_a AS node_a")
+    ctes = [f"ways AS ({ways})", "seed AS (SELECT DISTINCT capture_a AS grp, node_id AS id FROM ways JOIN bridge ON capture_id = capture_a)"]
+    ctes += ["deg AS (SELECT src, count(*) AS deg FROM adj GROUP BY src)", "tp AS MATERIALIZED (SELECT grp, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY grp) AS tp FROM seed)", "r0 AS (SELECT grp, id, tp AS rank FROM tp)"]
+    for i in range(1, n + 1):
+        ctes.append(f"f{i} AS (SELECT grp, id, sum(v) AS v FROM (SELECT grp, dst AS id, rank * 0.85::DOUBLE / deg AS v FROM r{i - 1} r JOIN adj ON adj.src = r.id JOIN deg ON deg.src = r.id UNION ALL SELECT grp, id, tp * (1 - 0.85::DOUBLE) FROM tp) GROUP BY grp, id)")
+        ctes.append(f"r{i} AS MATERIALIZED (SELECT grp, id, v / sum(v) OVER (PARTITION BY grp) AS rank FROM f{i})")
+    query = f"SELECT * FROM (SELECT w.*, coalesce(round(rank, 9), 0) AS rank, row_number() OVER (PARTITION BY w.grp ORDER BY coalesce(round(rank, 9), 0) DESC, capture_a, capture_b) AS rn FROM ways w LEFT JOIN r{n} ON r{n}.grp = capture_a AND r{n}.id = mid) WHERE rn <= 10"
+    return sql(CAP, NODE, EDGE, BRIDGE, *ctes, query=query)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -287,6 +299,11 @@ ORACLES = {
         JOIN c ca ON ca.id = capture_a JOIN c cb ON cb.id = capture_b
         WHERE len(list_intersect(list_filter(ca.tags, lambda t: t IS NOT NULL), list_filter(cb.tags, lambda t: t IS NOT NULL))) = 0 AND NOT (list_contains(list_transform(ca.tags, lambda t: t IS NULL), true) AND list_contains(list_transform(cb.tags, lambda t: t IS NULL), true))"""),
     "bfs_distance_from_seeds": sql(CAP, NODE, EDGE, BRIDGE, _SEEDS, "walk AS (SELECT DISTINCT id, 0 AS depth FROM seed UNION SELECT dst, depth + 1 FROM walk JOIN adj ON adj.src = walk.id WHERE depth < 4)", query="SELECT id, min(depth) AS depth FROM walk GROUP BY id"),
+    "paths_to_seeds": sql(CAP, NODE, EDGE, BRIDGE, _SEEDS, "walk AS (SELECT DISTINCT id, 0 AS depth FROM seed UNION SELECT dst, depth + 1 FROM walk JOIN adj ON adj.src = walk.id WHERE depth < 4)", "dd AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)",
+        "pv AS (SELECT x.id, min(y.id) AS prev FROM dd x JOIN adj ON adj.src = x.id JOIN dd y ON y.id = adj.dst AND y.depth = x.depth - 1 GROUP BY x.id)", "nm AS (SELECT id, name FROM node)",
+        "pa AS (SELECT dd.id, depth, dd.id AS at, name AS path FROM dd JOIN nm USING (id) UNION ALL SELECT pa.id, depth, pv.prev, path || ' > ' || nm.name FROM pa JOIN pv ON pv.id = pa.at JOIN nm ON nm.id = pv.prev)", query="SELECT pa.id, pa.depth, path FROM pa JOIN dd e ON e.id = pa.at WHERE e.depth = 0"),
+    "topic_view_edges": sql(NODE, EDGE, LABEL, _TOPIC, _CROSS, "e AS (SELECT 'all' AS view, topic_a AS a, topic_b AS b, n, row_number() OVER (ORDER BY n DESC, topic_a, topic_b) AS rn, count(*) OVER () AS total FROM cr)", "v AS (SELECT x, min(rn) AS first FROM (SELECT a AS x, rn FROM e UNION ALL SELECT b, rn FROM e) GROUP BY x)", "k AS (SELECT count(*) AS nodes, greatest(count(*), floor(1.6 * count(*) + 0.5)) AS keep FROM v)",
+        query="SELECT view, a, b, n FROM e, k WHERE total <= 2 * nodes OR rn <= keep OR rn IN (SELECT first FROM v)"),
     "connected_components": sql(NODE, EDGE, "reach AS (SELECT src AS id, src AS component FROM adj UNION SELECT adj.dst, component FROM reach JOIN adj ON adj.src = reach.id)", query="SELECT id, min(component) AS component FROM reach GROUP BY id"),
     "ppr_3_iterations": _ppr_sql(3),
     "broad_topic_rollup": sql(NODE, LABEL, _KNOWN, query="SELECT coalesce(broad, '其他') AS broad, CASE WHEN broad IS NULL THEN '其他' ELSE topic END AS fine, count(*) AS n_nodes FROM node LEFT JOIN label ON label.id = node.id LEFT JOIN known ON fine = topic GROUP BY 1, 2"),
@@ -319,3 +336,4 @@ ORACLES = {
     "insert_ignore_duplicates": sql(CAP, query=f"SELECT id FROM cap WHERE created_at >= {ASOF} - INTERVAL 200 DAY"),
     "status_timeout_reconcile": sql(CAP, query=f"SELECT CASE WHEN processing_status IS NULL THEN 'pending' WHEN processing_status <> 'failed' AND embedding_status = 'completed' AND graph_status = 'completed' THEN 'completed' WHEN processing_status = 'processing' AND coalesce(processed_at, created_at) < {ASOF} - INTERVAL 3 MINUTE THEN 'failed' ELSE processing_status END AS state, count(*) AS n FROM cap GROUP BY 1"),
 }
+ORACLES["ppr_bridges"] = _ppr_bridges_sql(15)
