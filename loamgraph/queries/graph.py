@@ -102,6 +102,10 @@ def communities_greedy(spark: SparkSession, d: str) -> DataFrame:
     return communities.detect(_edges(spark, d))
 
 
+def communities_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return communities.detect_in_rounds(_edges(spark, d))
+
+
 def community_profile(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
     return communities.describe(communities.detect(e), nodes(spark, d, "name", "created_at", "source_captured_ids"), e, asof(), 30)
@@ -277,7 +281,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         capture_node_bridge_stats, unlinked_captures, links_with_names, links_touching_recent_nodes, undirected_degree, depth_profile, implicit_pairs, two_hop_bridges, bfs_distance_from_seeds, paths_to_seeds, connected_components,
-        ppr_3_iterations, ppr_bridges, communities_greedy, community_profile, topic_hierarchy, broad_topic_rollup, cross_topic_edges, topic_edge_degree, capture_topic_vote, topic_capture_groups, topic_insight, topic_top_members,
+        ppr_3_iterations, ppr_bridges, communities_greedy, communities_in_rounds, community_profile, topic_hierarchy, broad_topic_rollup, cross_topic_edges, topic_edge_degree, capture_topic_vote, topic_capture_groups, topic_insight, topic_top_members,
         degree_by_name, topic_kind_histogram, related_topics, drill_down_topic, node_links, node_evidence, kind_filter_unknown, recent_sub_graph,
         nodes_without_topic, topic_signatures, topic_view_edges, kind_ranks, link_merge_upsert, dangling_reference_repair, deleted_refs_removed, alias_first_match, latest_snapshot_merge, insert_ignore_duplicates, status_timeout_reconcile,
     )

@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, by a table in the shared folder: what is known of the columns (constraints) starts anew too.
+
+    In loops that rename and join what they make, these would grow with every round until planning takes all the time.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession, least: int = 1) -> int:
     """Number of tasks that the cluster can run at once."""
     return max(least, spark.sparkContext.defaultParallelism)

@@ -161,3 +161,31 @@ def test_modularity_against_all_pairs(seed):
             break
         group[best[1]] |= group.pop(best[2])
     assert communities.greedy_modularity(pairs, m) == of
+
+
+def test_communities_in_rounds_against_greedy(spark):
+    import random
+
+    from loamgraph.operators import communities
+
+    rng = random.Random(5)
+    graphs = {
+        "triangle and edge": [("a1", "a2"), ("a2", "a3"), ("a1", "a3"), ("b1", "b2")],
+        "two stars": [(f"{s}00", f"{s}{i:02d}") for s in "xy" for i in range(1, 15)] + [("x03", "y05")],
+        "ring": [(f"r{i:02d}", f"r{(i + 1) % 24:02d}") for i in range(24)],
+        "groups": sorted({tuple(sorted(rng.sample(range(g * 8, g * 8 + 8), 2))) for g in range(6) for _ in range(18)} | {tuple(sorted((rng.randrange(48), rng.randrange(48)))) for _ in range(20)}),
+    }
+    rows = [(f"{k}:{min(str(a), str(b))}", f"{k}:{max(str(a), str(b))}") for k, es in graphs.items() for a, b in es if a != b]
+    e = spark.createDataFrame(sorted(set(rows)), "a string, b string")
+    many = communities.detect_in_rounds(e)
+    got = {r["id"]: r["community"] for r in many.collect()}
+    exact = communities.detect(e)
+    assert set(got) == {r["id"] for r in exact.collect()} and all(got[c] == c and c == min(i for i in got if got[i] == c) for c in set(got.values()))
+    assert all(i.split(":")[0] == c.split(":")[0] for i, c in got.items())
+    assert len({c for i, c in got.items() if i.startswith("triangle")}) == 2
+    stars = [c for i, c in got.items() if i.startswith("two")]
+    assert len(set(stars)) >= 2 and max(stars.count(c) for c in stars) < 28
+    assert communities.modularity(many, e) >= 0.95 * communities.modularity(exact, e) > 0.5
+    assert communities.detect_in_rounds(e.limit(0)).isEmpty()
+    parts = communities.hierarchy(e, split_over=10, in_rounds=True)
+    assert parts.count() == len(got)
