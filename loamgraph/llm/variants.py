@@ -405,6 +405,14 @@ def links(names: DataFrame, told: DataFrame | None = None) -> DataFrame:
     mult = (rng.integers(1, 1 << 62, n_bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     plus = rng.integers(0, 1 << 62, n_bands * rows, dtype=np.uint64)
 
+    def keyed(b: pa.RecordBatch, at: list[int], key: list[int], sides: list[list[int]], columns: list[str]) -> Iterator[pa.RecordBatch]:
+        """Keys with the hashes of their spelling; scope and kind are mixed into the key."""
+        own = b.column(5).to_numpy()[np.array(at, dtype=np.int64)] if at else np.empty(0, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            mixed = (np.array(key, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ own.view(np.uint64)
+        t = b.select([3, 4]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), *t.columns, *[pa.array(c, pa.int32()) for c in sides]], names=["bucket", "i", "j", *columns])
+
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -424,8 +432,7 @@ def links(names: DataFrame, told: DataFrame | None = None) -> DataFrame:
                 key += [*own, *got]
                 # 0 exact, 1 acronym, 2 what it may stand for, 3 a band
                 side += [0 if kind != "organization" or not exact[0].startswith("acr:") else 1 if parse(name, kind).upper else 2] * len(own) + [3] * len(got)
-            t = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(np.array(key, dtype=np.uint64).astype(np.int64)), pa.array(side, pa.int32())], names=["scope", "kind", "name", "bucket", "side"])
+            yield from keyed(b, at, key, [side], ["side"])
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -435,24 +442,26 @@ def links(names: DataFrame, told: DataFrame | None = None) -> DataFrame:
             for start in range(0, b.num_rows, 100):  # some hundred keys a spelling
                 part = b.slice(start, 100)
                 got = [(i, *k) for i, (kind, name) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())) for k in finer_keys(name, kind, common)]
-                t = part.take(pa.array([g[0] for g in got], pa.int64()))
-                key = np.array([xxhash.xxh64_intdigest(g[1], seed=2) for g in got], dtype=np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(key), *[pa.array([g[c] for g in got], pa.int32()) for c in (2, 3)]], names=["scope", "kind", "name", "bucket", "s", "t"])
+                yield from keyed(part, [g[0] for g in got], [xxhash.xxh64_intdigest(g[1], seed=2) for g in got], [[g[2] for g in got], [g[3] for g in got]], ["s", "t"])
 
-    group = ["scope", "kind", "bucket"]
-    placed = cut(names.select("scope", "kind", "name").mapInArrow(buckets, "scope string, kind string, name string, bucket bigint, side int"))
-    crowds = cut(placed.where("side = 3").groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).drop("n"))
+    # buckets and spellings travel as hashes: 64 bits of scope, kind and key, 128 of scope, kind and spelling
+    named = cut(names.select("scope", "kind", "name", F.xxhash64("scope", "kind", "name").alias("i"), F.xxhash64("scope", "kind", "name", F.lit(5)).alias("j"), F.xxhash64("scope", "kind").alias("own")))
+    bucketed = lambda d, f, sides: d.mapInArrow(f, ", ".join(["bucket bigint, i bigint, j bigint", *[f"{c} int" for c in sides]]))
+    placed = cut(bucketed(named, buckets, ["side"]))
+    crowds = cut(placed.where("side = 3").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).drop("n"))
     few, crowded = placed, None
     if not crowds.isEmpty():
-        few = placed.join(crowds, group, "left_anti")
-        crowded = placed.where("side = 3").join(crowds, group, "left_semi").select("scope", "kind", "name").distinct().mapInArrow(finer, "scope string, kind string, name string, bucket bigint, s int, t int")
-    a, b = (lambda d: d.withColumnRenamed("name", "a")), (lambda d: d.withColumnsRenamed({"name": "b", **{c: c + "2" for c in ("side", "s", "t")}}))
+        few = placed.join(crowds, "bucket", "left_anti")
+        full = placed.where("side = 3").join(crowds, "bucket", "left_semi").select("i", "j").distinct()
+        crowded = cut(bucketed(named.join(full, ["i", "j"], "left_semi").select(named.columns), finer, ["s", "t"]))
+    other = lambda d: d.withColumnsRenamed({c: c + "2" for c in ("i", "j", "side", "s", "t")})
+    apart = "(i < i2 OR i = i2 AND j < j2)"
     # an acronym meets what it may stand for, spellings with the same one do not meet each other
-    near = a(few).join(b(few), group).where("a < b AND (side = side2 AND side IN (0, 3) OR side + side2 = 3 AND side IN (1, 2))").select("scope", "kind", "a", "b").distinct()
+    near = few.join(other(few), "bucket").where(f"{apart} AND (side = side2 AND side IN (0, 3) OR side + side2 = 3 AND side IN (1, 2))").select("i", "j", "i2", "j2").distinct()
     if crowded is not None:
-        crowded = cut(crowded)
-        more = a(crowded).join(b(crowded), group).where("a < b AND (s + s2) % 3 = 0 AND (t + t2) % 3 = 0").select("scope", "kind", "a", "b")
-        near = near.unionByName(more).distinct()
+        near = near.unionByName(crowded.join(other(crowded), "bucket").where(f"{apart} AND (s + s2) % 3 = 0 AND (t + t2) % 3 = 0").select("i", "j", "i2", "j2")).distinct()
+    x, y = named.select("i", "j", "scope", "kind", F.col("name").alias("x")), named.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("scope").alias("scope2"), F.col("kind").alias("kind2"), F.col("name").alias("y"))
+    near = near.join(x, ["i", "j"]).join(y, ["i2", "j2"]).where("scope = scope2 AND kind = kind2").select("scope", "kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, share = held.value
