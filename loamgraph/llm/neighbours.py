@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from loamgraph.llm.vectors import Index, Tile, fit, over_tiles, place, with_rank
-from loamgraph.runtime import cut
+from loamgraph.llm.vectors import COARSE, Index, Tile, fit, over_tiles, place, with_rank
+from loamgraph.runtime import cut, tidy
 
 #: Salts over which the copies of one vector are ranked before they meet.
 SALTS = 64
@@ -97,13 +97,15 @@ def nearest(rows: DataFrame, k: int, threshold: float, dim: int, index: Index |
     all but 2 in 1000. exact: every record visits every cell and every estimate is checked, for tables that all pairs can be
     worked out of. :func:`vectors.recall` measures what is found.
     """
-    index = index or fit(rows, dim, codes_for=threshold)
+    index = index or fit(rows, dim, codes_for=threshold, coarse=COARSE)
     if exact:
         index = replace(index, margin=4.0)
     placed = place(rows, index)
     crowds = _crowds(placed, k)
-    kept = with_rank(placed if crowds is None else placed.join(crowds.select("kind", "id"), ["kind", "id"], "left_anti"))
-    found = over_tiles(kept, index, _work(index, k, threshold, exact), NEIGHBOURS)
+    if crowds is not None:
+        placed = cut(placed.join(crowds.select("kind", "id"), ["kind", "id"], "left_anti"))
+    tidy(rows.sparkSession)
+    found = over_tiles(with_rank(placed), index, _work(index, k, threshold, exact), NEIGHBOURS)
     best = Window.partitionBy("kind", "id").orderBy(F.col("cosine").desc(), "other")
     top = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
     if crowds is None:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from loamgraph.runtime import broadcast_if, cut, parallelism
+from loamgraph.runtime import broadcast_if, cut, parallelism, tidy
 
 #: Vectors in the sample on which centroids and codebooks are fitted, about; at most twice as many are read.
 SAMPLE = 16_384
@@ -25,8 +25,16 @@ SAMPLE = 16_384
 CELL = 1_500
 #: How much less close than the closest centroid a visited one may be.
 MARGIN = 0.15
-#: Rows on either side of a tile, about.
+#: Rows on either side of a tile, about; on the left WIDE times as many where there are cells enough for all tasks, as each
+#: tile of a cell gets its members anew.
 TILE = 8_192
+WIDE = 4
+#: Centroids of the sample make cells of up to so many times the wanted size before these are cut by finer ones, whose cells are
+#: visited by far more vectors (67 instead of 22 on average, where four finer ones cut 2,048).
+COARSE = 4
+#: Rows of tiles that lie on disk at once, as a multiple of the placed rows, and at least. Cells beyond that wait for another pass.
+PASS = 2
+PASS_ROWS = 1_000_000
 #: Rows of a tile that are compared at once.
 BLOCK = 512
 
@@ -237,12 +245,13 @@ class Index:
         return own, np.concatenate([none, *who]), np.concatenate([none, *where])
 
 
-def fit(rows: DataFrame, dim: int, codes_for: float | None = None, cell: int = CELL, sample: int = SAMPLE, margin: float = MARGIN) -> Index:
-    """An index over ``rows (kind, id, vec)``; codes_for: the least similarity that the codes are made for."""
+def fit(rows: DataFrame, dim: int, codes_for: float | None = None, cell: int = CELL, sample: int = SAMPLE, margin: float = MARGIN, coarse: int = 1) -> Index:
+    """An index over ``rows (kind, id, vec)``; codes_for: the least similarity that the codes are made for; coarse: how many times the
+    wanted size cells may have before finer centroids cut them."""
     x, n = sample_units(rows, dim, sample)
     wanted = -(-n // cell)
     index = Index(dim, centroids(x, wanted), margin)
-    if wanted > len(index.centres) and len(x) >= 16:
+    if wanted > coarse * len(index.centres) and len(x) >= 16:
         left = (x - index.centres[(x @ index.centres.T).argmax(1)]).astype(np.float32)
         index.finer = _plain_centroids(left, -(-wanted // len(index.centres)))
     if codes_for is not None:
@@ -308,20 +317,30 @@ def place(rows: DataFrame, index: Index, packed: bool = False) -> DataFrame:
     return cut(placed)
 
 
-def tiles(placed: DataFrame, tile: int = TILE) -> DataFrame:
-    """Rows of every tile: ``placed`` with ``at`` (a cell), ``i``, ``j`` and ``role``.
+def loads(placed: DataFrame, tile: int = TILE) -> tuple[DataFrame, int, int]:
+    """``(kind, at, ni, nj, pass)``: by how many rows and columns of tiles each cell is cut, and in which pass it is worked on; the
+    number of cells and of passes."""
+    spark = placed.sparkSession
+    both = placed.select("kind", F.explode(F.concat(F.array("cell"), "visits")).alias("at"), "cell")
+    own = F.sum((F.col("at") == F.col("cell")).cast("long"))
+    load = cut(both.groupBy("kind", "at").agg(F.count("*").alias("all"), own.alias("own")))
+    n_cells = load.count()
+    left = tile * (WIDE if n_cells >= 16 * parallelism(spark) else 1)
+    cell = load.select("kind", "at", "all", "own", F.ceil(F.col("all") / left).cast("int").alias("ni"), F.greatest(F.ceil(F.col("own") / tile), F.lit(1)).cast("int").alias("nj"))
+    n, rows = cell.agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum(F.col("all") * F.col("nj") + F.when(F.col("ni") * F.col("nj") > 1, F.col("own") * F.col("ni")).otherwise(0)), F.lit(0))).head()
+    passes = max(1, -(-rows // max(PASS_ROWS, PASS * n)))
+    return cell.select("kind", "at", "ni", "nj", F.pmod(F.xxhash64("kind", "at", F.lit(19)), F.lit(passes)).alias("pass")), n_cells, passes
+
+
+def tiles(placed: DataFrame, load: DataFrame, n_cells: int) -> DataFrame:
+    """Rows of every tile of the cells in ``load``: ``placed`` with ``at`` (a cell), ``i``, ``j`` and ``role``.
 
     A tile compares its left rows (role 1), which are members or visitors of the cell, with its right rows (role 2),
     members only; a member of a cell of one tile is both (role 3).
     """
     spark = placed.sparkSession
-    both = placed.select("kind", F.explode(F.concat(F.array("cell"), "visits")).alias("at"), "cell")
-    load = both.groupBy("kind", "at").agg(
-        F.ceil(F.count("*") / tile).cast("int").alias("ni"), F.greatest(F.ceil(F.sum((F.col("at") == F.col("cell")).cast("int")) / tile), F.lit(1)).cast("int").alias("nj")
-    )
-    load = cut(load)
-    n_tiles, n_cells = load.agg(F.coalesce(F.sum(F.col("ni") * F.col("nj")), F.lit(1)), F.count("*")).head()
-    spread = placed.withColumn("at", F.explode(F.concat(F.array("cell"), "visits"))).join(broadcast_if(load, n_cells), ["kind", "at"])
+    n_tiles = load.agg(F.coalesce(F.sum(F.col("ni") * F.col("nj")), F.lit(1))).head()[0]
+    spread = placed.withColumn("at", F.explode(F.concat(F.array("cell"), "visits"))).join(broadcast_if(load.drop("pass"), n_cells), ["kind", "at"])
     # only members are asked which cells they visit
     spread = spread.withColumn("visits", F.when(F.col("at") == F.col("cell"), F.col("visits")).otherwise(F.array().cast("array<int>")))
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n).cast("long")).cast("int")
@@ -418,13 +437,29 @@ class Tile:
 
 
 def over_tiles(placed: DataFrame, index: Index, work: Callable[[Tile], pa.Table], schema: T.StructType, tile: int = TILE) -> DataFrame:
-    """``work`` over every tile of ``placed``, which has at least the columns of :func:`place` and ``h``."""
-    held = placed.sparkSession.sparkContext.broadcast(index)
+    """``work`` over every tile of ``placed``, which has at least the columns of :func:`place` and ``h``.
+
+    A vector lies in every cell that it visits, more the more cells there are, so cells are taken in passes of which each writes
+    what it found before the next begins; the rows of one pass at a time are on disk. Every cell is in one pass.
+    """
+    spark = placed.sparkSession
+    held = spark.sparkContext.broadcast(index)
 
     def run(t: pa.Table) -> pa.Table:
         return work(Tile(t, held.value))
 
-    return tiles(placed, tile).groupBy("kind", "at", "i", "j").applyInArrow(run, schema)
+    def over(load: DataFrame) -> DataFrame:
+        return tiles(placed, load, n_cells).groupBy("kind", "at", "i", "j").applyInArrow(run, schema)
+
+    load, n_cells, passes = loads(placed, tile)
+    if passes == 1:
+        return over(load)
+    found = None
+    for k in range(passes):
+        got = cut(over(load.where(F.col("pass") == k)))
+        found = got if found is None else found.unionByName(got)
+        tidy(spark)
+    return found
 
 
 def with_rank(placed: DataFrame) -> DataFrame:

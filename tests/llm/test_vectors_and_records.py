@@ -128,6 +128,19 @@ def test_cells_grow_beyond_the_sample_and_recall_is_measured(spark):
     assert {tuple(r)[1:] for r in neighbours.pairs(whole).collect()} == near
 
 
+def test_cells_beyond_what_may_lie_on_disk_wait_for_another_pass(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = vectors.vector_rows(_table(spark, _records(rng, [5] * 24, 60)), "id", "embedding", DIM, "k")
+    index = vectors.fit(df, DIM, codes_for=0.9, cell=6, margin=0.3)
+    pairs = lambda: sorted(map(tuple, neighbours.nearest(df, 5, 0.9, DIM, index).collect()))
+    labels = lambda: sorted(map(tuple, clusters.pivot_clusters(df, 0.9, DIM, index, rounds=2).collect()))
+    want, seen, tiles = (pairs(), labels()), [], vectors.tiles
+    monkeypatch.setattr(vectors, "PASS_ROWS", 300)
+    monkeypatch.setattr(vectors, "tiles", lambda *a: seen.append((t := tiles(*a)).count()) or t)
+    assert (pairs(), labels()) == want
+    assert len(seen) > 3 and max(seen) < sum(seen) / 2
+
+
 def test_cluster_description(spark):
     rng = np.random.default_rng(2)
     rows = _records(rng, [6, 4], 0)
