@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from loamgraph.llm.vectors import Index, Side, Tile, fit, matrix, over_tiles, place, unit, with_rank
-from loamgraph.runtime import cut
+from loamgraph.llm.vectors import COARSE, Index, Side, Tile, fit, matrix, over_tiles, place, unit, with_rank
+from loamgraph.runtime import cut, tidy
 
 #: Bytes of a record's hash that are summed over neighbourhoods to compare them.
 MARKS = 6
@@ -118,8 +118,10 @@ def _look(threshold: float):
 
 def _scan(active: DataFrame, index: Index, threshold: float, closest: bool = False) -> DataFrame:
     """One row for each asking record with a giving neighbour: smallest, closest, number and marks of its neighbours."""
-    seen = over_tiles(active.withColumn("closest", F.lit(closest)), index, _look(threshold), _SEEN)
-    return cut(seen.groupBy("kind", "id").agg(F.min("best").alias("best"), F.min("near").alias("near"), *[F.sum(c).alias(c) for c in ("n", *_MARKS)]))
+    least = [F.min("best").alias("best"), F.min("near").alias("near"), *[F.sum(c).alias(c) for c in ("n", *_MARKS)]]
+    seen = cut(over_tiles(active.withColumn("closest", F.lit(closest)), index, _look(threshold), _SEEN).groupBy("kind", "id").agg(*least))
+    tidy(active.sparkSession)  # else the rows of all tiles stay until the last scan
+    return seen
 
 
 def _weights(s: Side) -> np.ndarray:
@@ -182,13 +184,14 @@ def pivot_clusters(rows: DataFrame, threshold: float, dim: int, index: Index | N
     member is similar to it. Copies of one vector are united
     first. An empty table gives an empty result.
     """
-    index = index or fit(rows, dim, cell=CELL)
+    index = index or fit(rows, dim, cell=CELL, coarse=COARSE)
     plain = with_rank(place(rows, index, packed=True))
     copies = _copies(plain)
     if copies is not None:
         own = copies.where(F.col("id") == F.col("rep")).select("kind", "id", "sums")
         extra = copies.where(F.col("id") != F.col("rep")).select("kind", "id")
         plain = cut(plain.join(extra, ["kind", "id"], "left_anti").join(own, ["kind", "id"], "left"))
+    tidy(rows.sparkSession)
     flags = lambda asks, gives: [asks.alias("asks"), gives.alias("gives")]
     joined = _scan(plain.select("*", *flags(F.lit(True), F.lit(True))), index, threshold)
     if copies is not None:  # copies alone are a cluster too
