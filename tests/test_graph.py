@@ -189,3 +189,22 @@ def test_communities_in_rounds_against_greedy(spark):
     assert communities.detect_in_rounds(e.limit(0)).isEmpty()
     parts = communities.hierarchy(e, split_over=10, in_rounds=True)
     assert parts.count() == len(got)
+
+
+def test_ranks_within_components_are_those_of_the_iteration(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RANKED_A_TASK", 40)
+    monkeypatch.setattr(graph, "RANKED_AT_ONCE", 30)
+    pairs = [("a", "b"), ("b", "c"), ("b", "d"), ("d", "e"), ("a", "e"), ("p", "q"), ("q", "r"), ("x", "y")]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    seeds = spark.createDataFrame([("g", "a"), ("g", "p"), ("g", "alone"), ("h", "e"), ("h", "a"), ("i", "c"), ("j", "alone")], "grp string, id string")
+    want = {(r["grp"], r["id"]): r["rank"] for r in graph.personalized_pagerank(edges, seeds, iterations=7).collect()}
+    asked = spark.createDataFrame([(g, i) for g in "ghij" for i in "abcdepqrxy"], "grp string, id string")
+    ranks = graph.component_ranks(edges, seeds, asked, iterations=7)
+    got = {(r["grp"], r["id"]): r["rank"] for r in ranks.collect()}
+    assert got.keys() == {k for k in want if k[1] != "alone"} and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    listed = spark.createDataFrame([(i,) for i in "abdeqrx"], "id string")
+    out = spark.createDataFrame([("g", "a"), ("h", "b")], "grp string, id string")
+    top = {(r["grp"], r["id"]) for r in graph.component_ranks(edges, seeds, best=2, listed=listed, left_out=out, iterations=7).collect()}
+    open_ = {k: v for k, v in got.items() if k[1] in "abdeqrx" and k not in {("g", "a"), ("h", "b")}}
+    near = lambda k: [v for o, v in open_.items() if o[0] == k[0] and (o[1] < "p") == (k[1] < "p")]
+    assert top == {k for k, v in open_.items() if sum(o > v + 1e-11 for o in near(k)) < 2}
