@@ -61,10 +61,10 @@ def dormant_nodes(signal: DataFrame, nodes: DataFrame, edges: DataFrame, asof: C
     held = graph.bridge(nodes).join(signal.select("grp", F.col("id").alias("capture_id"), "created_at"), "capture_id")
     seeds = held.where(F.unix_millis("created_at") >= F.unix_millis(asof) - days * 86_400_000).select("grp", F.col("node_id").alias("id"))
     active = held.select("grp", F.col("node_id").alias("id")).distinct()
-    rank = graph.personalized_pagerank(edges, seeds, iterations=iterations).join(active, ["grp", "id"], "left_anti")
-    named = rank.join(nodes.select("id", "name").where(~is_trivial_name("name")), "id").withColumn("rank", F.round("rank", 12))
+    named = nodes.where(~is_trivial_name("name")).select("id")
+    rank = graph.component_ranks(edges, seeds, best=n, listed=named, left_out=active, iterations=iterations).withColumn("rank", F.round("rank", 12))
     w = Window.partitionBy("grp")
-    top = named.withColumn("rn", F.row_number().over(w.orderBy(F.col("rank").desc(), "id"))).withColumn("most", F.max("rank").over(w)).where(F.col("rn") <= n)
+    top = rank.withColumn("rn", F.row_number().over(w.orderBy(F.col("rank").desc(), "id"))).withColumn("most", F.max("rank").over(w)).where(F.col("rn") <= n)
     return _candidates(top.withColumn("id", F.concat(F.lit("knode-"), "id")), "knowledge_node", 0.7, 0, graph_signal=F.col("rank") / F.col("most"))
 
 
@@ -91,10 +91,11 @@ def graph_bridges(signal: DataFrame, nodes: DataFrame, edges: DataFrame, n: int
     """Captures tied over a middle node, by its rank from the first capture's nodes; varied over middles and first captures."""
     ways = graph.two_hop_bridges(signal.select("grp", "id", "tags"), nodes, edges)
     say = nodes.where(~is_trivial_name("name")).select(F.col("id").alias("mid"))
-    ways = ways.join(say, "mid", "left_semi")
+    ways = cut(ways.join(say, "mid", "left_semi"))
     held = graph.bridge(nodes).withColumnRenamed("capture_id", "capture_a")
     seeds = ways.select("capture_a").distinct().join(held, "capture_a").select(F.col("capture_a").alias("grp"), F.col("node_id").alias("id"))
-    rank = graph.personalized_pagerank(edges, seeds, iterations=iterations).select(F.col("grp").alias("capture_a"), F.col("id").alias("mid"), F.round("rank", 9).alias("score"))
+    middles = ways.select(F.col("capture_a").alias("grp"), F.col("mid").alias("id")).distinct()
+    rank = graph.component_ranks(edges, seeds, middles, iterations=iterations).select(F.col("grp").alias("capture_a"), F.col("id").alias("mid"), F.round("rank", 9).alias("score"))
     scored = ways.join(rank, ["capture_a", "mid"]).withColumn("rn", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("score").desc(), "capture_a", "capture_b"))).where(F.col("rn") <= n)
     short = scored.select("grp", F.concat_ws("-", F.lit("bridge"), "capture_a", "capture_b").alias("id"), "mid", F.col("capture_a").alias("first"), "capture_b", "score")
     kept = _titles(ranking.varied(short), signal, "first", "capture_b")
