@@ -46,8 +46,6 @@ def varied(rows: DataFrame, per_first: int = 2) -> DataFrame:
     return rows.groupBy("grp").applyInPandas(walk, rows.schema)
 
 
-def with_keyword_signal(candidates: DataFrame, bm25: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``candidates`` with ``keyword`` from corpus scores ``(by, query, score)`` by id; rounded, as sums differ by order."""
-    by = by or []
-    told = bm25.select(*by, F.col("query").alias("id"), F.round(keyword_signal("score"), 9).alias("_keyword"))
-    return candidates.join(told, [*by, "id"], "left").withColumn("keyword", F.coalesce("_keyword", F.lit(0.0))).drop("_keyword")
+def with_keyword_signal(candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``keyword`` from their corpus scores ``bm25``, which go; rounded, as sums differ by order."""
+    return candidates.withColumn("keyword", F.round(keyword_signal("bm25"), 9)).drop("bm25")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from loamgraph.functions.text import terms
+from loamgraph.runtime import free_name
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, per_document: bool = False) -> DataFrame:
@@ -30,17 +35,65 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return scored.groupBy("query", *(["doc_id"] if per_document else [])).agg(F.sum("w").alias("score"))
 
 
-def bm25_within(docs: DataFrame, queries: DataFrame, by: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``(by, query, score)``: BM25 of many queries, each over the documents of its own group.
+def bm25_within(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``queries`` with ``bm25`` in place of ``q_text``: the score of each over the documents of its own group, 0 without a term in them.
 
-    docs: ``(by, doc_id, text)``; queries: ``(by, query, q_text)``. The score is the sum over the group's documents, so a term's
-    weight is the same for all queries of a group and is worked out once.
+    docs: ``(grp, text)``; queries: ``(grp, q_text)`` and whatever else. The score is the sum over the group's documents. Groups are
+    short lists, of which a task has whole ones at once: texts are sent by group and cut up where they are counted, so no term is shuffled.
     """
-    asked = queries.select(*by, "query", F.explode(F.array_distinct(terms("q_text"))).alias("term"))
-    cut_up = docs.select(*by, "doc_id", terms("text").alias("terms"))
-    size = cut_up.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    tf = cut_up.select(*by, "doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(*by, "doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    held = tf.join(size, by).groupBy(*by, "term").agg(F.count("*").alias("df"), F.first("n_docs").alias("n_docs"), F.sum(part).alias("parts"))
-    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("parts")
-    return asked.join(held.select(*by, "term", weight.alias("w")), [*by, "term"]).groupBy(*by, "query").agg(F.sum("w").alias("score"))
+    keep = [c for c in queries.columns if c != "q_text"]
+    doc, words = free_name(queries, "_doc"), free_name(queries, "_words")
+    asked = queries.select(*keep, F.lit(False).alias(doc), F.col("q_text").alias(words))
+    both = asked.unionByName(docs.where(F.col("grp").isNotNull()).select("grp", F.lit(True).alias(doc), F.col("text").alias(words)), allowMissingColumns=True)
+    rows = both.repartition("grp").sortWithinPartitions("grp").select(*keep, doc, terms(words).alias(words))
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in queries.schema if f.name != "q_text"], T.StructField("bm25", T.DoubleType())])
+
+    def of_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        asks = ~t[doc].to_numpy()
+        score = _group_scores(t["grp"].combine_chunks(), ~asks, t[words].combine_chunks(), k1, b)
+        yield from t.select(keep).append_column("bm25", pa.array(score)).filter(pa.array(asks)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            code = _codes(t["grp"].combine_chunks())
+            whole = int(np.searchsorted(code, code[-1]))  # the last group may go on in the next batch
+            rest = t.slice(whole)
+            if whole:
+                yield from of_groups(t.slice(0, whole))
+        if rest is not None:
+            yield from of_groups(rest)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """A number for each distinct value (null is one), in order of their first row."""
+    return values.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+
+
+def _group_scores(grp: pa.Array, doc: np.ndarray, words: pa.ListArray, k1: float, b: float) -> np.ndarray:
+    """BM25 of the rows that are no ``doc`` over those of their group that are; 0 for the others."""
+    group, size = _codes(grp), words.value_lengths().to_numpy().astype(np.int64)
+    row, term = np.repeat(np.arange(len(size)), size), _codes(words.flatten())
+    most = int(term.max(initial=0)) + 1
+    each, tf = np.unique(row * most + term, return_counts=True)  # a row's distinct terms
+    row, term = each // most, each % most
+    key, of_doc = group[row] * most + term, doc[row]
+    n_docs = np.bincount(group, weights=doc)
+    mean = np.bincount(group, weights=size * doc) / np.maximum(n_docs, 1)
+    held, at, df = np.unique(key[of_doc], return_inverse=True, return_counts=True)
+    score = np.zeros(len(size))
+    if not len(held):
+        return score
+    n, r = tf[of_doc], row[of_doc]
+    parts = np.bincount(at, weights=n * (k1 + 1) / (n + k1 * (1 - b + b * size[r] / mean[group[r]])))
+    weight = np.log(1 + (n_docs[held // most] - df + 0.5) / (df + 0.5)) * parts
+    key, row = key[~of_doc], row[~of_doc]
+    at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+    hit = held[at] == key
+    return score + np.bincount(row[hit], weights=weight[at[hit]], minlength=len(size))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loamgraph.functions.text import has_signal, is_noise_capture, is_trivial_name, or_empty
 from loamgraph.operators import graph, ranking, records, retrieval, search, trends
 from loamgraph.providers import Answerer, answered
-from loamgraph.runtime import cut
+from loamgraph.runtime import cut, tidy
 from loamgraph.schemas import OTHER_TOPIC
 
 def _candidates(df: DataFrame, kind: str, base: float, pos: int, semantic=0.0, graph_signal=0.0, text=None) -> DataFrame:
@@ -16,14 +16,23 @@ def _candidates(df: DataFrame, kind: str, base: float, pos: int, semantic=0.0, g
     return df.select("grp", "id", F.lit(kind).alias("type"), num(semantic).alias("semantic"), F.lit(0.0).alias("keyword"), num(graph_signal).alias("graph"), F.lit(base).alias("base"), F.lit(pos).alias("pos"), (F.lit("") if text is None else text).alias("text"))
 
 
+def _titled(unnamed: str = "") -> Column:
+    """A capture's title, with what tells which of two captures is the newer one."""
+    return F.struct((-F.unix_micros("created_at")).alias("at"), "id", F.coalesce(F.nullif("title", F.lit("")), F.lit(unnamed)).alias("title"))
+
+
+def _both_titles(a: str, b: str) -> Column:
+    """The titles of two captures, that of the newer one first."""
+    order = lambda t: F.struct(F.col(f"{t}.at").isNull().alias("n"), F.col(f"{t}.at"), F.col(f"{t}.id"))
+    x, y = F.col(f"{a}.title"), F.col(f"{b}.title")
+    return F.when(order(a) > order(b), F.concat_ws(" ", y, x)).otherwise(F.concat_ws(" ", x, y))
+
+
 def _titles(pairs: DataFrame, signal: DataFrame, a: str, b: str, unnamed: str = "") -> DataFrame:
     """``pairs`` of captures with their titles as ``text``, that of the newer capture first."""
-    title = F.coalesce(F.nullif("title", F.lit("")), F.lit(unnamed))
-    t = signal.select("grp", "id", F.struct((-F.unix_micros("created_at")).alias("at"), "id", title.alias("title")).alias("t"))
+    t = signal.select("grp", "id", _titled(unnamed).alias("t"))
     both = pairs.join(t.withColumnsRenamed({"id": a, "t": "_a"}), ["grp", a]).join(t.withColumnsRenamed({"id": b, "t": "_b"}), ["grp", b])
-    late = F.struct(F.col("_a.at").isNull().alias("n"), F.col("_a.at"), F.col("_a.id")) > F.struct(F.col("_b.at").isNull().alias("n"), F.col("_b.at"), F.col("_b.id"))
-    x, y = F.col("_a.title"), F.col("_b.title")
-    return both.withColumn("text", F.when(late, F.concat_ws(" ", y, x)).otherwise(F.concat_ws(" ", x, y))).drop("_a", "_b")
+    return both.withColumn("text", _both_titles("_a", "_b")).drop("_a", "_b")
 
 
 def signal_captures(captures: DataFrame, n: int = 40) -> DataFrame:
@@ -34,7 +43,7 @@ def signal_captures(captures: DataFrame, n: int = 40) -> DataFrame:
 
 def review(signal: DataFrame, nodes: DataFrame) -> DataFrame:
     """Captures with a signal that no node comes from."""
-    held = graph.bridge(nodes).select(F.col("capture_id").alias("id")).distinct()
+    held = nodes.select(F.explode("source_captured_ids").alias("id")).where("id <> ''").select(F.lower("id").alias("id"))
     rows = signal.where(has_signal("content", "summary", "tags")).join(held, "id", "left_anti")
     return _candidates(rows.withColumn("id", F.concat(F.lit("review-"), "id")), "review", 0.4, 1, text=F.concat_ws(" ", or_empty("title"), or_empty("summary")))
 
@@ -49,11 +58,10 @@ def forming(signal: DataFrame, asof: Column, days: int = 7) -> DataFrame:
 
 def related(signal: DataFrame, n: int = 10) -> DataFrame:
     """Pairs with a tag in common among the n newest captures of a scope."""
-    few = records.newest(signal, n, partition=["grp"]).select("grp", "id", "tags")
-    x, y = few.withColumnsRenamed({"id": "a", "tags": "ta"}), few.withColumnsRenamed({"id": "b", "tags": "tb"})
+    few = records.newest(signal, n, partition=["grp"]).select("grp", "id", "tags", _titled().alias("t"))
+    x, y = few.withColumnsRenamed({"id": "a", "tags": "ta", "t": "_a"}), few.withColumnsRenamed({"id": "b", "tags": "tb", "t": "_b"})
     both = x.join(y, "grp").where((F.col("a") < F.col("b")) & F.coalesce(F.arrays_overlap("ta", "tb"), F.lit(False)))
-    both = _titles(both, signal, "a", "b")
-    return _candidates(both.withColumn("id", F.concat_ws("-", F.lit("related"), "a", "b")), "related", 0.2, 5, text=F.col("text"))
+    return _candidates(both.withColumn("id", F.concat_ws("-", F.lit("related"), "a", "b")), "related", 0.2, 5, text=_both_titles("_a", "_b"))
 
 
 def dormant_nodes(signal: DataFrame, nodes: DataFrame, edges: DataFrame, asof: Column, days: int = 14, n: int = 4, iterations: int = 20) -> DataFrame:
@@ -117,6 +125,7 @@ def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame | None, as
     captures have vectors.
     """
     signal = cut(signal_captures(captures))
+    tidy(captures.sparkSession)
     rules = [review(signal, nodes), forming(signal, asof), related(signal)]
     if "embedding" in captures.columns:
         rules.append(semantic_pairs(signal))
@@ -129,7 +138,7 @@ def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame | None, as
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)
-    return ranking.picked(ranking.scored(keyword_scores(cut(out), signal), feedback), most)
+    return ranking.picked(ranking.scored(keyword_scores(out, signal), feedback), most)
 
 
 def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason", longest: int = 80) -> DataFrame:
@@ -141,6 +150,5 @@ def reworded(picked: DataFrame, provider: Answerer, reason_col: str = "reason",
 
 def keyword_scores(candidates: DataFrame, signal: DataFrame) -> DataFrame:
     """``candidates`` with the keyword signal of their whole ``text``, which goes, over the signal captures of their scope."""
-    docs = signal.select("grp", F.col("id").alias("doc_id"), F.concat_ws(" ", or_empty("title"), or_empty("summary"), or_empty("content")).alias("text"))
-    asked = candidates.where("text <> ''").select("grp", F.col("id").alias("query"), F.col("text").alias("q_text")).dropDuplicates(["grp", "query"])
-    return ranking.with_keyword_signal(candidates, retrieval.bm25_within(docs, asked, ["grp"]), ["grp"]).drop("text")
+    docs = signal.select("grp", F.concat_ws(" ", or_empty("title"), or_empty("summary"), or_empty("content")).alias("text"))
+    return ranking.with_keyword_signal(retrieval.bm25_within(docs, candidates.withColumnRenamed("text", "q_text")))

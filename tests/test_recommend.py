@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loamgraph.operators import retrieval
 from loamgraph.plans import recommend
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda " * 6
@@ -48,3 +49,37 @@ def test_keyword_signal_counts(spark):
         assert (i, r["keyword"]) == (i, pytest.approx(keyword, abs=1e-8))
         assert r["score"] == pytest.approx(0.3 * keyword + 0.3 * r["base"], abs=1e-8)
     assert got["u", "review-c2"]["keyword"] > 0
+
+
+def _caps(spark, scopes: int, each: int):
+    at = datetime.datetime(2025, 1, 9)
+    rows = [(f"s{s}", f"s{s}c{k}", f"note {k} graph", f"summary of {s}, said at some length {k}", f"知识 {s} content {k}", ["图谱"], at - datetime.timedelta(hours=k)) for s in range(scopes) for k in range(each)]
+    return spark.createDataFrame(rows, "scope_id string, id string, title string, summary string, content string, tags array<string>, created_at timestamp")
+
+
+def test_terms_are_not_shuffled(spark):
+    asof = F.lit("2025-01-10 00:00:00").cast("timestamp")
+    nodes = spark.createDataFrame([], "id string, scope_id string, name string, source_captured_ids array<string>")
+    plan = recommend.recommend(_caps(spark, 3, 5), nodes, None, asof)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not any(re.search(r"\bterm#", k) for k in keys), keys
+
+
+def test_scores_of_groups_that_batches_cut(spark):
+    docs = [(g, f"{g} graph 知识图谱 " + "word " * k) for g in ("a", "b", "c", "d") for k in range(5)] + [(None, "graph"), ("e", ""), ("f", None)]
+    asks = [(g, i, t) for g in ("a", "b", "c", "d", "e", "f", "g", None) for i, t in enumerate(("graph graph 图谱", "word b", "", None, "nothing-here"))]
+    d, q = spark.createDataFrame(docs, "grp string, text string"), spark.createDataFrame(asks, "grp string, i int, q_text string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        got = []
+        for n in (1, 4, 10_000):
+            spark.conf.set(key, n)
+            got.append({(r["grp"], r["i"]): r["bm25"] for r in retrieval.bm25_within(d, q).collect()})
+    finally:
+        spark.conf.set(key, before)
+    for g, i, t in asks:
+        own = [x or "" for h, x in docs if h == g and g is not None]
+        score = 50 * brute(t or "", own) if any(own) else 0.0
+        assert [(g, i, x[g, i]) for x in got] == [(g, i, pytest.approx(score, abs=1e-9))] * 3
+    assert all(len(x) == len(asks) for x in got)
