@@ -36,15 +36,17 @@ def _titles(pairs: DataFrame, signal: DataFrame, a: str, b: str, unnamed: str =
 
 
 def signal_captures(captures: DataFrame, n: int = 40) -> DataFrame:
-    """The n newest captures of each scope that say something, as ``grp``."""
+    """The n newest captures of each scope that say something, as ``grp``; what the rules ask of them."""
     sound = captures.where(~is_noise_capture("title", "summary", "content", "tags")).withColumn("grp", F.col("scope_id"))
-    return records.newest(sound, n, partition=["grp"])
+    asked = ("grp", "id", "title", "summary", "content", "tags", "created_at", "embedding")
+    return records.newest(sound.select(*[c for c in asked if c in sound.columns]), n, partition=["grp"])
 
 
 def review(signal: DataFrame, nodes: DataFrame) -> DataFrame:
     """Captures with a signal that no node comes from."""
     held = nodes.select(F.explode("source_captured_ids").alias("id")).where("id <> ''").select(F.lower("id").alias("id"))
-    rows = signal.where(has_signal("content", "summary", "tags")).join(held, "id", "left_anti")
+    # as many as nodes have sources, which files tell little of: never in the driver
+    rows = signal.where(has_signal("content", "summary", "tags")).join(held.hint("merge"), "id", "left_anti")
     return _candidates(rows.withColumn("id", F.concat(F.lit("review-"), "id")), "review", 0.4, 1, text=F.concat_ws(" ", or_empty("title"), or_empty("summary")))
 
 
@@ -125,7 +127,7 @@ def recommend(captures: DataFrame, nodes: DataFrame, edges: DataFrame | None, as
     captures have vectors.
     """
     signal = cut(signal_captures(captures))
-    tidy(captures.sparkSession)
+    tidy(captures.sparkSession, wait_s=3)
     rules = [review(signal, nodes), forming(signal, asof), related(signal)]
     if "embedding" in captures.columns:
         rules.append(semantic_pairs(signal))

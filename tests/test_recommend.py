@@ -65,6 +65,13 @@ def test_terms_are_not_shuffled(spark):
     assert keys and not any(re.search(r"\bterm#", k) for k in keys), keys
 
 
+def test_sources_of_nodes_are_not_sent_to_the_driver(spark):
+    nodes = spark.createDataFrame([("n1", "s0", "graph", ["S0C1", "", None])], "id string, scope_id string, name string, source_captured_ids array<string>")
+    got = recommend.review(recommend.signal_captures(_caps(spark, 1, 3)), nodes)
+    assert {r["id"] for r in got.collect()} == {"review-s0c0", "review-s0c2"}
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores_of_groups_that_batches_cut(spark):
     docs = [(g, f"{g} graph 知识图谱 " + "word " * k) for g in ("a", "b", "c", "d") for k in range(5)] + [(None, "graph"), ("e", ""), ("f", None)]
     asks = [(g, i, t) for g in ("a", "b", "c", "d", "e", "f", "g", None) for i, t in enumerate(("graph graph 图谱", "word b", "", None, "nothing-here"))]
